@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, sharding, simhash
+from . import bpe, html_extract, packing, quality, sharding, simhash
 from .common import table
 
 #: Length of a training sequence, and the shards of the export.
@@ -42,5 +42,16 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_sharding, op4_bpe, op5_simhash)}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op3_sharding, op4_bpe, op5_simhash, op9_quality, op10_html)}
 ORACLES: dict[str, str] = {}
