@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, packing, quality, sharding, simhash
+from . import bpe, html_extract, media, packing, quality, sharding, simhash
 from .common import table
 
 #: Length of a training sequence, and the shards of the export.
@@ -24,6 +24,10 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest_media(media.store_texts(table(spark, sf_dir, "documents")))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), split_pattern(), capacity=SEQUENCE)
 
@@ -53,5 +57,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_sharding, op4_bpe, op5_simhash, op9_quality, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_packing, op3_sharding, op4_bpe, op5_simhash, op9_quality, op10_html)}
 ORACLES: dict[str, str] = {}
