@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +53,11 @@ def parts_for(n: int, per_part: int) -> int:
 def part_of(column: str, parts: int):
     """A hash part of a key, spread evenly and the same in every run."""
     return F.pmod(F.xxhash64(F.col(column)), F.lit(parts)).cast("int")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a compressed Parquet table in the shared folder: for wide or large intermediates."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, media, packing, quality, sharding, simhash
+from . import bpe, html_extract, lm, media, packing, quality, sharding, simhash, toxicity
 from .common import table
 
 #: Length of a training sequence, and the shards of the export.
@@ -46,6 +46,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -57,5 +69,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_packing, op3_sharding, op4_bpe, op5_simhash, op9_quality, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_packing, op3_sharding, op4_bpe, op5_simhash, op7_lm, op8_toxicity, op9_quality, op10_html)}
 ORACLES: dict[str, str] = {}
