@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, lm, media, packing, quality, sharding, simhash, toxicity
+from . import bpe, html_extract, lm, media, packing, quality, sharding, simhash, suffixes, toxicity
 from .common import table
 
 #: Length of a training sequence, and the shards of the export.
@@ -46,6 +46,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -69,5 +73,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_packing, op3_sharding, op4_bpe, op5_simhash, op7_lm, op8_toxicity, op9_quality, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_packing, op3_sharding, op4_bpe, op5_simhash, op6_repeats, op7_lm, op8_toxicity, op9_quality, op10_html)}
 ORACLES: dict[str, str] = {}

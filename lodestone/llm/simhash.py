@@ -198,3 +198,11 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, doc_id: str
     labels = components(block_links(reps, radius, limit))
     classes = reps.join(labels, reps["rep"] == labels["node"], "left").select(F.col("fp").alias("of_fp"), F.coalesce("component", "rep").alias("component_id"))
     return fps.join(classes, fps["fp"] == classes["of_fp"], "left").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose id is the smallest of its near-duplicate group; repeated rows once."""
+    groups = near_groups(docs, shingle, radius, doc_id, text)
+    first = cut(groups.filter("doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct())
+    kept = docs.join(first, F.col(doc_id) == F.col("first_id"), "left_semi")
+    return kept.dropDuplicates([doc_id])
