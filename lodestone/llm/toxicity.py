@@ -27,7 +27,7 @@ LENGTH, STRIDE = 32, 16
 POSITIVE, NEGATIVE, VOCABULARY = 800, 1200, 20_000
 WORD_DIMS, CHAR_DIMS, HIDDEN, ATTENTION = 8, 8, 8, 8
 BUCKETS = 1 << 13
-EPOCHS, RATE, ROWS = 5, 0.02, 128
+EPOCHS, MIN_STEPS, RATE, ROWS = 5, 200, 0.02, 128
 #: Windows scored together.
 WINDOWS = 8192
 EDGES = b".,;:!?\"'()[]{}*#$%&|<>-_"
@@ -124,8 +124,8 @@ class Model:
         return np.maximum.reduceat(all_scores, first).round(6).tolist()
 
 
-def gradients(model: Model, words: np.ndarray, none: int, buckets: np.ndarray, counts: np.ndarray, first: np.ndarray, rows: np.ndarray, y: np.ndarray) -> Params:
-    """Gradients of the log loss over windows ``rows`` of word numbers with labels ``y``."""
+def gradients(model: Model, words: np.ndarray, none: int, buckets: np.ndarray, counts: np.ndarray, first: np.ndarray, rows: np.ndarray, y: np.ndarray, weigh: np.ndarray) -> Params:
+    """Gradients of the weighted log loss over windows ``rows`` of word numbers with labels ``y``."""
     p = model.params
     used, inverse = np.unique(rows, return_inverse=True)
     inverse = inverse.reshape(rows.shape).T
@@ -145,7 +145,7 @@ def gradients(model: Model, words: np.ndarray, none: int, buckets: np.ndarray, c
     weight = e / (e.sum(axis=0) + np.float32(1e-9))
     pooled = np.einsum("tn,tnh->nh", weight, states)
     score = sigmoid(pooled @ p["out.w"] + p["out.b"][0])
-    d = ((score - y) / len(y)).astype(np.float32)
+    d = ((score - y) * weigh / weigh.sum()).astype(np.float32)
     out["out.w"], out["out.b"] = pooled.T @ d, d.sum(keepdims=True)
     d_pooled = d[:, None] * p["out.w"][None, :]
     d_weight = np.einsum("tnh,nh->tn", states, d_pooled)
@@ -210,8 +210,10 @@ def train(contents: list[bytes], labels: list[int], seed: int = 7) -> Model:
     sizes = np.array([len(x) for x in parts])
     starts = np.cumsum(sizes) - sizes
     adam = Adam(params, RATE)
-    for epoch in range(EPOCHS):
-        adam.rate = RATE * (1 - epoch / EPOCHS)
+    per_epoch = int(np.ceil((y.sum() + 4 * (len(y) - y.sum())) / ROWS))
+    epochs = max(EPOCHS, -(-MIN_STEPS // per_epoch))
+    for epoch in range(epochs):
+        adam.rate = RATE * (1 - epoch / epochs)
         x = np.concatenate((params["word"][numbers], means(params["char"][buckets], counts)), axis=1)
         s = model.window_scores(rows, none, {k: x @ params[f"{k}.W"] + params[f"{k}.b"] for k in ("right", "left")})
         if epoch == 0:  # an untrained network can't choose: the window with most evidence stands for a positive text
@@ -224,10 +226,11 @@ def train(contents: list[bytes], labels: list[int], seed: int = 7) -> Model:
             top += [(a + j, y[i]) for j in take.tolist()]
         picked = np.array([x for x, _ in top])
         target = np.array([x for _, x in top], dtype=np.float32)
+        heavy = max(1.0, (len(target) - target.sum()) / target.sum() / 3)  # positive texts have one window here, negative ones four
         order = rng.permutation(len(picked))
         for a in range(0, len(order), ROWS):
             k = order[a : a + ROWS]
-            adam.step(gradients(model, numbers, none, buckets, counts, first, rows[picked[k]], target[k]))
+            adam.step(gradients(model, numbers, none, buckets, counts, first, rows[picked[k]], target[k], np.where(target[k] > 0, heavy, 1).astype(np.float32)))
     return model
 
 
