@@ -27,15 +27,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import part_of, parts_for, small_batches, stored, text_bytes
+from .common import part_of, parts_for, small_batches, text_bytes
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text in a block, anchors in a hash bucket, bytes hashed together, hashes held by a scanning task.
-BLOCK_BYTES, BUCKET_ANCHORS, TOGETHER, HELD = 16 << 20, 2 << 20, 1 << 20, 3 << 20
+BLOCK_BYTES, BUCKET_ANCHORS, TOGETHER, HELD = 8 << 20, 1 << 20, 1 << 19, 2 << 20
+#: Suffixes compared at once.
+ROWS = 1 << 16
 POSITION_BITS = 24
 ODD = 0x9E3779B97F4A7C15
 
@@ -126,16 +129,19 @@ def enhanced_suffix_array(strings: list[bytes], owner: np.ndarray, start: np.nda
     flat = np.frombuffer(b"".join(strings) + b"\0" * width, dtype=np.uint8)
     at = (np.cumsum(sizes) - sizes)[owner] + start
     left = sizes[owner] - start
-    table = flat[at[:, None] + np.arange(width)]
-    table[np.arange(width) >= left[:, None]] = 0
+    table = np.lib.stride_tricks.sliding_window_view(flat, width)[at]
+    for a in range(0, len(table), ROWS):
+        part = table[a : a + ROWS]
+        part[np.arange(width) >= left[a : a + ROWS, None]] = 0
     # a zero byte sorts like the end of a suffix; the common prefix below is cut at either end, so equal order is enough
-    order = np.argsort(np.ascontiguousarray(table).view(f"S{width}").ravel(), kind="stable")
-    table = table[order]
-    differs = table[1:] != table[:-1]
-    common = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
+    order = np.argsort(table.view(f"S{width}").ravel(), kind="stable")
     left = left[order]
     lcp = np.zeros(len(order), dtype=np.int64)
-    lcp[1:] = np.minimum(common, np.minimum(left[1:], left[:-1]))
+    for a in range(1, len(order), ROWS):
+        own = table[order[a : a + ROWS]]
+        differs = own != table[order[a - 1 : a - 1 + len(own)]]
+        lcp[a : a + ROWS] = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
+    lcp[1:] = np.minimum(lcp[1:], np.minimum(left[1:], left[:-1]))
     return order, lcp
 
 
@@ -191,8 +197,18 @@ def smallest_documents(strings: list[bytes], low: list[int], high: list[int], le
                 yield s, at, at + common, least
 
 
+def squeeze(content: bytes) -> bytes:
+    return zstandard.compress(content, 3)
+
+
 def packed(*columns: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+    """Columns of numbers in one compressed value."""
+    return squeeze(b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
+
+
+def unpacked(content: bytes, kind: type = np.int64, columns: int = 1) -> np.ndarray:
+    """What ``packed`` took, a row for each column."""
+    return np.frombuffer(zstandard.decompress(content), dtype=kind).reshape(columns, -1)
 
 
 def spans_of(docs: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,7 +237,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id:
     total = text_bytes(docs, text)
     blocks = parts_for(total, BLOCK_BYTES)
     bits = max(0, (parts_for(total // 13, BUCKET_ANCHORS) - 1).bit_length())
-    stretch_parts = max(12, 2 * blocks)
+    stretch_parts = max(12, 4 * blocks)
     shift = np.uint64(32 - bits)
     short = lambda h: h >> shift  # noqa: E731  the bucket's bits and 32 more
 
@@ -324,23 +340,27 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id:
         own = packed(*[np.array(c, dtype=np.int64) for c in where])
         strings = list(index)
         by = np.argsort(np.array(part), kind="stable")
-        out = [(-1, key[0], own, None, None, None, None)]
-        for p in np.unique(part).tolist():
-            rows_of = [int(i) for i in by[np.searchsorted(np.array(part)[by], p) : np.searchsorted(np.array(part)[by], p, side="right")]]
+        in_order = np.array(part)[by]
+        out = [(-1 - key[0], key[0], own, None, None, None, None)]  # goes past the search, to its own block
+        for group in np.split(by, np.flatnonzero(in_order[1:] != in_order[:-1]) + 1):
+            rows_of = group.tolist()
             out.append((
-                p, key[0], np.array(rows_of, dtype=np.int64).tobytes(), np.array([len(strings[i]) for i in rows_of], dtype=np.uint16).tobytes(), b"".join([strings[i] for i in rows_of]),
-                np.array([low[i] for i in rows_of], dtype=np.int64).tobytes(), np.array([high[i] for i in rows_of], dtype=np.int64).tobytes(),
+                part[rows_of[0]], key[0], packed(np.array(rows_of, dtype=np.int64)), packed(np.array([len(strings[i]) for i in rows_of], dtype=np.uint16)), squeeze(b"".join([strings[i] for i in rows_of])),
+                packed(np.array([low[i] for i in rows_of], dtype=np.int64)), packed(np.array([high[i] for i in rows_of], dtype=np.int64)),
             ))
         return pd.DataFrame(out, columns=columns)
 
     def resolve(key: tuple[int], part: pd.DataFrame) -> pd.DataFrame:
+        columns = ["block", "answer", "own"]
+        if key[0] < 0:
+            return pd.DataFrame({"block": part["block"], "answer": None, "own": part["own"]})
         index: dict[bytes, int] = {}
         low: list[int] = []
         high: list[int] = []
         holders: list[tuple[int, np.ndarray, np.ndarray]] = []
         for block, own, sizes, joined, lo, hi in zip(part["block"], part["own"], part["sizes"], part["bytes"], part["low"], part["high"]):
-            at, numbers = 0, []
-            for n, a, b in zip(np.frombuffer(sizes, dtype=np.uint16).tolist(), np.frombuffer(lo, dtype=np.int64).tolist(), np.frombuffer(hi, dtype=np.int64).tolist()):
+            at, numbers, joined = 0, [], zstandard.decompress(joined)
+            for n, a, b in zip(unpacked(sizes, np.uint16)[0].tolist(), unpacked(lo)[0].tolist(), unpacked(hi)[0].tolist()):
                 one = joined[at : at + n]
                 at += n
                 i = index.get(one)
@@ -351,9 +371,8 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id:
                 else:
                     low[i], high[i] = min(low[i], a), max(high[i], b)
                 numbers.append(i)
-            holders.append((block, np.frombuffer(own, dtype=np.int64), np.array(numbers, dtype=np.int64)))
+            holders.append((block, unpacked(own)[0], np.array(numbers, dtype=np.int64)))
         found = list(smallest_documents(list(index), low, high, length))
-        columns = ["block", "answer"]
         if not found:
             return pd.DataFrame([], columns=columns)
         table = np.array(found, dtype=np.int64)
@@ -364,7 +383,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id:
             n = b - a
             if n.sum():
                 rows_of = table[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                out.append((block, packed(np.repeat(own, n), rows_of[:, 1], rows_of[:, 2], rows_of[:, 3])))
+                out.append((block, packed(np.repeat(own, n), rows_of[:, 1], rows_of[:, 2], rows_of[:, 3]), None))
         return pd.DataFrame(out, columns=columns)
 
     def remove(key: tuple[int], left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -372,8 +391,8 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id:
         ids = left["doc_id"].fillna(0).astype("int64").to_numpy()
         contents = left["content"].tolist()
         gone: dict[int, list[tuple[int, int]]] = {}
-        answers = [np.frombuffer(x, dtype=np.int64).reshape(4, -1) for x in right["answer"] if x is not None]
-        owns = [np.frombuffer(x, dtype=np.int64).reshape(3, -1) for x in right["own"] if x is not None]
+        answers = [unpacked(x, columns=4) for x in right["answer"] if x is not None]
+        owns = [unpacked(x, columns=3) for x in right["own"] if x is not None]
         if answers and owns:
             one = np.concatenate(answers, axis=1)
             one = one[:, np.argsort(one[0], kind="stable")]
@@ -401,9 +420,9 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id:
     hashes = rows.select("doc_id", "content", "block").mapInArrow(scan, "bucket int, block int, hashes binary, twice binary")
     often = hashes.groupBy("bucket").applyInPandas(shared, SHARED)
     by_block = rows.groupBy("block")
-    found = stored(by_block.cogroup(often.groupBy("block")).applyInPandas(stretches, FOUND))
-    answers = found.filter("part >= 0").groupBy("part").applyInPandas(resolve, "block int, answer binary")
-    back = answers.select("block", "answer", F.lit(None).cast("binary").alias("own")).union(found.filter("part = -1").select("block", F.lit(None).cast("binary"), "own"))
+    # one plan from here on: both cogroups read the same exchange of the texts, which is written once
+    found = by_block.cogroup(often.groupBy("block")).applyInPandas(stretches, FOUND)
+    back = found.groupBy("part").applyInPandas(resolve, "block int, answer binary, own binary")
     out = by_block.cogroup(back.groupBy("block")).applyInPandas(remove, "doc_id long, content binary, n_removed long, n_spans long, rest string")
     if not names:
         return out.drop("rest")
