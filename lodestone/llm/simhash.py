@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, small_batches, stored
 from .components import components
 
 SEED = 42
@@ -200,9 +200,144 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, doc_id: str
     return fps.join(classes, fps["fp"] == classes["of_fp"], "left").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the smallest of its near-duplicate group; repeated rows once."""
-    groups = near_groups(docs, shingle, radius, doc_id, text)
+# ---------------------------------------------------------------- by similarity of shingle sets
+
+#: Smallest shingle hashes kept of a document (32 bits each): all of them, and so exact, up to this number.
+SKETCH = 1024
+#: Words of a segment (about), segments of a document that are join keys, bits that similar documents differ in at most.
+SEGMENT, KEYS, APART = 12, 16, 20
+PROFILE = "doc_id long, fp long, n long, sketch binary, keys array<long>"
+
+
+def profile(content: bytes, shingle: int = 5) -> tuple[int, int, bytes, list[int]]:
+    """(fingerprint, distinct shingles, sketch, keys) of a text.
+
+    Segments begin where a shingle's hash says so, so an edit leaves the other segments as they are. The ``KEYS`` of least
+    hash are the keys: documents that share most segments share some of these.
+    """
+    words = content.lower().split()
+    if not words:
+        return 0, 0, b"", [0]
+    whole = b" ".join(words)
+    view = memoryview(whole)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    k = min(shingle, len(words))
+    starts = np.concatenate(([0], ends[: len(words) - k] + 1))
+    digest = xxhash.xxh64_digest
+    raw = np.frombuffer(b"".join([digest(view[a:b], SEED) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist())]), dtype=np.uint8).reshape(-1, 8)
+    ones = np.zeros(64, dtype=np.int64)
+    for a in range(0, len(raw), 4096):
+        ones += np.unpackbits(raw[a : a + 4096], axis=1).sum(axis=0, dtype=np.int64)
+    fp = int.from_bytes(np.packbits(2 * ones > len(raw)).tobytes(), "big")
+    hashes = raw.view(">u8").ravel().astype(np.uint64)
+    distinct = np.unique(hashes)
+    sketch = np.unique((distinct >> np.uint64(32)).astype(np.uint32))[:SKETCH]
+    cuts = np.append(starts[np.flatnonzero(hashes % np.uint64(SEGMENT) == 0)], len(whole) + 1)
+    cuts = cuts if cuts[0] == 0 else np.append(0, cuts)
+    segments = sorted({xxhash.xxh64_intdigest(view[a : b - 1], SEED) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())})
+    return fp, len(distinct), sketch.tobytes(), [signed(x) for x in segments[:KEYS]]
+
+
+def profiles(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    small_batches(docs.sparkSession)
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [profile(t.as_py() or b"", shingle) for t in batch.column(1)]
+            columns = list(zip(*found)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([signed(x) for x in columns[0]], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.list_(pa.int64())),
+            ], names=["doc_id", "fp", "n", "sketch", "keys"])
+
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    return slim.mapInArrow(compute, PROFILE)
+
+
+def similarity(a: bytes, na: int, b: bytes, nb: int) -> float:
+    """Jaccard similarity of two shingle sets from their sketches."""
+    if not na or not nb:
+        return float(na == nb)
+    x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
+    both = np.union1d(x, y)
+    if max(len(x), len(y)) >= SKETCH:
+        both = both[:SKETCH]
+    return float(np.isin(both, np.intersect1d(x, y)).mean())
+
+
+def segment_pairs(reps: DataFrame, least: float) -> DataFrame:
+    """Candidate pairs ``a, b`` of representatives that share a key: each with at most two of its key's leaders.
+
+    Rows come by key, then by number of shingles. A document whose fingerprint is far from every leader of fitting size
+    becomes a leader; leaders too small to be similar any more are dropped. What is held is the leaders, what is written is
+    at most two rows for each row read, however many documents share a key.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fps, sizes, ids = None, np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        for batch in batches:
+            k, n, f, r = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            f = f.view(np.uint64)
+            edge = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            end = np.append(edge[1:], len(k))
+            out: list[tuple[int, int]] = []
+            work = np.flatnonzero((end - edge > 1) | (np.arange(len(edge)) == 0) | (np.arange(len(edge)) == len(edge) - 1))
+            for s, e in zip(edge[work].tolist(), end[work].tolist()):
+                if k[s] != key:
+                    key, fps, sizes, ids = k[s], f[:0], n[:0], r[:0]
+                for i in range(s, e):
+                    fit = sizes >= least * n[i]
+                    if not fit.all():
+                        fps, sizes, ids = fps[fit], sizes[fit], ids[fit]
+                    apart = np.bitwise_count(fps ^ f[i])
+                    near = np.flatnonzero(apart <= APART)
+                    if len(near):
+                        out += [(int(ids[j]), int(r[i])) for j in near[np.argsort(apart[near], kind="stable")[:2]]]
+                    else:
+                        fps, sizes, ids = np.append(fps, f[i]), np.append(sizes, n[i]), np.append(ids, r[i])
+            pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    rows = reps.select(F.explode("keys").alias("key"), "n", "fp", "rep")
+    return rows.repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(scan, "a long, b long")
+
+
+def similar(pairs: DataFrame, every: DataFrame, least: float) -> DataFrame:
+    """The pairs whose shingle sets are at least so similar; sketches move only for documents in some pair."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, sa, na, sb, nb = (c.to_pylist() for c in batch.columns)
+            on = pa.array([similarity(w, x, y, z) >= least for w, x, y, z in zip(sa, na, sb, nb)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(on), batch.column(1).filter(on)], names=["a", "b"])
+
+    involved = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    own = stored(every.join(involved, "doc_id", "left_semi").select("doc_id", "n", "sketch").dropDuplicates(["doc_id"]))
+    side = lambda c: own.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
+    full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "na", "sb", "nb")
+    return full.mapInArrow(check, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, component_id``: groups of documents whose shingle sets are at least ``least`` similar.
+
+    Fingerprints of documents at 0.8 differ by 8 bits on average and by up to 16: no split of 64 bits into blocks brings
+    those together and keeps others apart. So the blocks here are, besides those of fingerprints within ``radius`` bits,
+    segments of the text; the similarity of the sets decides in either case.
+    """
+    every = stored(profiles(docs, shingle, doc_id, text).withColumn("same", F.xxhash64("fp", "n", "sketch")))
+    slim = F.min_by(F.struct("fp", "n", "keys"), "doc_id")
+    reps = cut(every.groupBy("same").agg(F.min("doc_id").alias("rep"), slim.alias("x")).filter("rep is not null").select("same", "rep", "x.*"))
+    one_per_fp = reps.groupBy("fp").agg(F.min("rep").alias("rep"))
+    equal = reps.join(one_per_fp.withColumnRenamed("rep", "first"), "fp").filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    pairs = block_links(one_per_fp, radius).union(equal).union(segment_pairs(reps, least)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    labels = components(similar(cut(pairs), every, least))
+    classes = reps.join(labels, reps["rep"] == labels["node"], "left").select(F.col("same").alias("of_same"), F.coalesce("component", "rep").alias("component_id"))
+    return every.select("doc_id", "same").join(classes, F.col("same") == F.col("of_same"), "left").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose id is the smallest of its group of similar documents; repeated rows once."""
+    groups = similar_groups(docs, shingle, least, doc_id=doc_id, text=text)
     first = cut(groups.filter("doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct())
     kept = docs.join(first, F.col(doc_id) == F.col("first_id"), "left_semi")
     return kept.dropDuplicates([doc_id])
