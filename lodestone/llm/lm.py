@@ -32,11 +32,11 @@ from .nn import Adam, Params, gru_backward, gru_forward, gru_step, init_gru
 ADD = 0.1
 END = b""
 #: Words with an output of their own, words in a class, classes for all others, words whose counts travel with the tasks.
-KNOWN, CLASS_SIZE, TAILS, HEAD = 2000, 45, 128, 100_000
+KNOWN, CLASS_SIZE, TAILS, HEAD = 2000, 45, 64, 100_000
 EMBED, HIDDEN = 16, 16
 TRAIN_DOCS, EPOCHS, RATE, WINDOW, BATCH = 800, 2, 0.015, 32, 64
 #: Distinct words that a counting task holds, and tokens scored together.
-HELD, TOGETHER = 400_000, 400_000
+HELD, TOGETHER = 400_000, 1_500_000
 
 
 def words_of(content: bytes) -> list[bytes]:
@@ -100,11 +100,13 @@ class Model:
         p = self.params
         gates = p["embed"] @ p["gru.W"] + p["gru.b"]
         total = np.zeros(len(texts))
+        if not texts:
+            return total
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         order = np.argsort(-sizes, kind="stable")
         first = np.cumsum(sizes) - sizes
-        flat = np.concatenate(texts) if texts else np.empty(0, dtype=np.int64)
-        before = np.concatenate(([self.start], flat[:-1])) if len(flat) else flat
+        flat = np.concatenate(texts)
+        before = np.concatenate(([self.start], flat[:-1]))
         before[first[sizes > 0]] = self.start
         h = np.zeros((len(texts), HIDDEN), dtype=np.float32)
         step = 0
@@ -122,7 +124,7 @@ class Model:
             at = np.concatenate([first[r] + step + i for i, r in enumerate(rows)])
             for a in range(0, len(docs), 1 << 15):
                 s = slice(a, a + (1 << 15))
-                np.add.at(total, docs[s], self.log_likelihood(joined[s], flat[at[s]]).astype(np.float64))
+                total += np.bincount(docs[s], weights=self.log_likelihood(joined[s], flat[at[s]]), minlength=len(total))
             step += span
         return total / math.log(10)
 
@@ -279,45 +281,44 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        model, head, known = own.model, own.head, own.model.known
-        share = {w: math.log10(c + ADD) for w, c in head.items()}
+        model, known = own.model, own.model.known
+        at = {w: i for i, w in enumerate(own.head)}
+        # by place in the head, and a last row for words outside it
+        share = np.array([math.log10(c + ADD) for c in own.head.values()] + [0.0])
+        numbers = np.array([model.number(w) for w in own.head] + [-1], dtype=np.int32)
+        minus = np.where(numbers < len(known), share, 0.0)
         # a tail word's probability in its class; the class itself is the network's
-        norm = [math.log10(n + ADD * (v + 1)) for n, v in zip(own.tail_tokens, own.tail_types)]
-        numbers = {w: model.number(w) for w in head}
-        k = len(known)
+        norm = np.array([math.log10(n + ADD * (v + 1)) for n, v in zip(own.tail_tokens, own.tail_types)])
+        none = len(at)
 
         def flush(rows: list, texts: list[np.ndarray]) -> pa.RecordBatch:
             found = model.scores(texts).tolist() if known else [0.0] * len(rows)
             full = [(r[0], r[1], r[2], r[3], r[4], r[5] + s, r[6], r[7]) for r, s in zip(rows, found)]
             return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*full), kinds)], names=names)
 
+        rows, texts, size = [], [], 0
         for batch in batches:
-            rows, texts, size = [], [], 0
             for row, d, x in zip(*(c.to_pylist() for c in batch.columns)):
                 words = words_of(x or b"")
                 words.append(END)
-                ids = [numbers.get(w, -1) for w in words]
+                places = np.array([at.get(w, none) for w in words], dtype=np.int64)
+                ids = numbers[places]
+                outside = np.flatnonzero(places == none).tolist()
                 rest: dict[bytes, int] = {}
-                for i, n in enumerate(ids):
-                    if n < 0:
-                        w = words[i]
-                        ids[i] = model.number(w)
-                        rest[w] = rest.get(w, 0) + 1
-                in_head = [share[w] for w in words if w in share] if rest else [share[w] for w in words]
-                own_ids = np.array(ids, dtype=np.int64)
-                outside = own_ids[own_ids >= k] - k
+                for i in outside:
+                    w = words[i]
+                    ids[i] = model.number(w)
+                    rest[w] = rest.get(w, 0) + 1
                 # every token's log10(c + ADD) enters both scores; the known ones leave the model's again, which has its own
-                minus = sum(share[w] for w in words if w in known) if known else 0.0
-                times = np.bincount(outside, minlength=TAILS)
-                log_classes = -minus - float(sum(t * n for t, n in zip(times.tolist(), norm) if t))
-                rows.append((row, d, len(words), len(in_head), math.fsum(in_head), log_classes, list(rest), list(rest.values())))
-                texts.append(own_ids)
+                log_classes = -float(minus[places].sum()) - float(norm[ids[ids >= len(known)] - len(known)].sum())
+                rows.append((row, d, len(words), len(words) - len(outside), float(share[places].sum()), log_classes, list(rest), list(rest.values())))
+                texts.append(ids)
                 size += len(ids)
                 if size > TOGETHER:
                     yield flush(rows, texts)
                     rows, texts, size = [], [], 0
-            if rows:
-                yield flush(rows, texts)
+        if rows:
+            yield flush(rows, texts)
 
     scored = stored(slim.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(score, out))
     tail = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("own"), F.col("x.times").alias("times"))
