@@ -452,3 +452,27 @@ def test_pipeline(spark):
         if name != "packing":
             assert d.columns == names
     assert len(d.columns) == 7
+
+
+def test_similar_documents_are_one_group(spark):
+    """Copies with one word in sixty changed (similarity above 0.8) go, halves and strangers stay, copies are cheap."""
+    rng = np.random.default_rng(8)
+    rows, near = [], {}
+    for i in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 4000, int(rng.integers(60, 500)))]
+        rows.append((i, " ".join(words)))
+        for k in range(i % 3):
+            edited = list(words)
+            for at in rng.choice(len(words), len(words) // 70 + (len(words) < 70), replace=False):
+                edited[at] = "changed"
+            near[1000 + 10 * i + k] = i
+            rows.append((1000 + 10 * i + k, " ".join(edited)))
+        rows.append((5000 + i, " ".join(words[: len(words) // 2] + [f"z{x}" for x in rng.integers(0, 4000, len(words) // 2)])))
+    rows += [(9000 + i, "one very common text of many words that thousands of documents hold as it is") for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: simhash.profile(t.encode())[1:3] for i, t in rows}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(d).collect()}
+    close = {c: o for c, o in near.items() if simhash.similarity(sets[o][1], sets[o][0], sets[c][1], sets[c][0]) >= 0.8}
+    assert len(close) > 40 and all(got[c] == got[o] for c, o in close.items())
+    assert all(got[5000 + i] == 5000 + i and got[i] == i for i in range(60))
+    assert {got[9000 + i] for i in range(300)} == {9000}
