@@ -261,10 +261,10 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of every question with their reasons; content joins only what fusion kept."""
-    f = views.files(spark, sf_dir).select(F.col("path").alias("handle"), "path", "language", "content", F.col("sha256").alias("content_hash"))
+    f = views.files(spark, sf_dir).select(F.col("path").alias("handle"), "path", "language", "content", F.col("sha256").alias("content_hash"), T.estimate_tokens(F.col("content")).alias("tokens"))
     rows = fused(spark, sf_dir).join(f, "handle").join(questions(spark, sf_dir), "query_id")
     rows = rows.withColumn("symbol", first_word(F.col("content"))).withColumn("kind", F.when(F.length("content") % 5 == 0, "class-outline").when(F.length("content") % 5 == 1, "interface").otherwise("method"))
-    rows = rows.withColumn("tokens", T.estimate_tokens(F.col("content"))).withColumn("relation", F.when(F.col("query_id") % 4 == 0, "references").otherwise("")).withColumn("signature", F.substring("content", 1, 40))
+    rows = rows.withColumn("relation", F.when(F.col("query_id") % 4 == 0, "references").otherwise("")).withColumn("signature", F.substring("content", 1, 40))
     c = {k: F.col(k) for k in ("symbol", "signature", "path", "content", "kind", "language", "terms", "relation", "tokens")}
     c |= {"identifiers": F.slice("terms", 1, 2), "fused": F.col("fused") / 1e9, "changed": F.col("hits") > 1, "intent": F.lit("callers"), "test_intent": F.lit(False), "reference_intent": F.col("query_id") % 2 == 0}
     return rank.with_score(rows, c)
