@@ -12,6 +12,7 @@ copies cost nothing; repeated rows are kept; an empty table gives no rows; other
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -206,18 +207,19 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, doc_id: str
 SKETCH = 1024
 #: Words of a segment (about), segments of a document that are join keys, bits that similar documents differ in at most.
 SEGMENT, KEYS, APART = 12, 16, 20
-PROFILE = "doc_id long, fp long, n long, sketch binary, keys array<long>"
+PROFILE = "doc_id long, fp long, n long, sketch binary, keys array<long>, same long"
+#: Documents (about) whose shingles set the order of the prefix filter, common shingles kept, bits of a parity map. Any order
+#: and any number of bits give the same pairs; these only spare comparisons.
+ORDERED_BY, COMMON, PARITY = 10_000, 50_000, 256
+#: Guards bounds on counts against the rounding of floats.
+EPS = 1e-9
 
 
-def profile(content: bytes, shingle: int = 5) -> tuple[int, int, bytes, list[int]]:
-    """(fingerprint, distinct shingles, sketch, keys) of a text.
-
-    Segments begin where a shingle's hash says so, so an edit leaves the other segments as they are. The ``KEYS`` of least
-    hash are the keys: documents that share most segments share some of these.
-    """
+def hashed(content: bytes, shingle: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(words joined by one space, where each shingle starts in them, digests of the shingles as rows of eight bytes)."""
     words = content.lower().split()
     if not words:
-        return 0, 0, b"", [0]
+        return b"", np.empty(0, dtype=np.int64), np.empty((0, 8), dtype=np.uint8)
     whole = b" ".join(words)
     view = memoryview(whole)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
@@ -225,17 +227,40 @@ def profile(content: bytes, shingle: int = 5) -> tuple[int, int, bytes, list[int
     starts = np.concatenate(([0], ends[: len(words) - k] + 1))
     digest = xxhash.xxh64_digest
     raw = np.frombuffer(b"".join([digest(view[a:b], SEED) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist())]), dtype=np.uint8).reshape(-1, 8)
+    return whole, starts, raw
+
+
+def shingle_set(raw: np.ndarray) -> np.ndarray:
+    """Distinct shingle hashes, in order."""
+    return np.unique(raw.view(">u8").ravel().astype(np.uint64))
+
+
+def name_of(distinct: np.ndarray) -> int:
+    """A number that stands for a shingle set."""
+    return signed(xxhash.xxh64_intdigest(distinct.tobytes(), SEED))
+
+
+def profile(content: bytes, shingle: int = 5) -> tuple[int, int, bytes, list[int], int]:
+    """(fingerprint, distinct shingles, sketch, keys, number of the shingle set) of a text.
+
+    Segments begin where a shingle's hash says so, so an edit leaves the other segments as they are. The ``KEYS`` of least
+    hash are the keys: documents that share most segments share some of these.
+    """
+    whole, starts, raw = hashed(content, shingle)
+    distinct = shingle_set(raw)
+    if not len(raw):
+        return 0, 0, b"", [0], name_of(distinct)
+    view = memoryview(whole)
     ones = np.zeros(64, dtype=np.int64)
     for a in range(0, len(raw), 4096):
         ones += np.unpackbits(raw[a : a + 4096], axis=1).sum(axis=0, dtype=np.int64)
     fp = int.from_bytes(np.packbits(2 * ones > len(raw)).tobytes(), "big")
     hashes = raw.view(">u8").ravel().astype(np.uint64)
-    distinct = np.unique(hashes)
     sketch = np.unique((distinct >> np.uint64(32)).astype(np.uint32))[:SKETCH]
     cuts = np.append(starts[np.flatnonzero(hashes % np.uint64(SEGMENT) == 0)], len(whole) + 1)
     cuts = cuts if cuts[0] == 0 else np.append(0, cuts)
     segments = sorted({xxhash.xxh64_intdigest(view[a : b - 1], SEED) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())})
-    return fp, len(distinct), sketch.tobytes(), [signed(x) for x in segments[:KEYS]]
+    return fp, len(distinct), sketch.tobytes(), [signed(x) for x in segments[:KEYS]], name_of(distinct)
 
 
 def profiles(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -244,10 +269,10 @@ def profiles(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: st
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [profile(t.as_py() or b"", shingle) for t in batch.column(1)]
-            columns = list(zip(*found)) or [()] * 4
+            columns = list(zip(*found)) or [()] * 5
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([signed(x) for x in columns[0]], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.list_(pa.int64())),
-            ], names=["doc_id", "fp", "n", "sketch", "keys"])
+                batch.column(0), pa.array([signed(x) for x in columns[0]], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.list_(pa.int64())), pa.array(columns[4], pa.int64()),
+            ], names=["doc_id", "fp", "n", "sketch", "keys", "same"])
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     return slim.mapInArrow(compute, PROFILE)
@@ -301,8 +326,130 @@ def segment_pairs(reps: DataFrame, least: float) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(scan, "a long, b long")
 
 
+def common_shingles(docs: DataFrame, of_id: str, text: str, shingle: int) -> np.ndarray:
+    """Shingles met several times in a sample, rarest first: put last in the order, they are seldom keys."""
+    k = max(1, docs.count() // ORDERED_BY)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(hashed(t.as_py() or b"", shingle)[2]) for t in batch.column(0)]
+            hashes, times = np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(times.astype(np.int64))], names=["h", "c"])
+
+    sample = docs.filter(F.pmod(F.xxhash64(of_id, text), F.lit(k)) == 0).select(F.col(text).cast("binary").alias("text"))
+    counts = sample.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 2")
+    top = counts.orderBy(F.desc("c"), "h").limit(COMMON).collect()
+    return np.array([r["h"] for r in reversed(top)], dtype=np.int64).view(np.uint64)
+
+
+def prefix_of(distinct: np.ndarray, common: np.ndarray, places: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles of a set, so many that any set at least so similar has one of them among its own first ones.
+
+    ``common`` is sorted, ``places`` are its places in the order; all other shingles come before, by hash.
+    """
+    n = len(distinct)
+    place = np.full(n, -1, dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, distinct), len(common) - 1)
+        place = np.where(common[at] == distinct, places[at], place)
+    order = np.lexsort((distinct, place))
+    return distinct[order[: n - math.ceil(least * n - EPS) + 1]]
+
+
+def parity(distinct: np.ndarray) -> bytes:
+    """Whether an odd number of shingles fall on each bit: two maps differ in no more bits than the sets in shingles."""
+    return np.packbits((np.bincount((distinct % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).tobytes()
+
+
+def prefixes(docs: DataFrame, common: np.ndarray, shingle: int, least: float, text: str) -> DataFrame:
+    """``same, n, bits, prefix`` of every distinct shingle set that is not empty."""
+    order = np.argsort(common)
+    sent = docs.sparkSession.sparkContext.broadcast((common[order], order))  # at most COMMON
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [x for t in batch.column(0) if len(x := shingle_set(hashed(t.as_py() or b"", shingle)[2]))]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([name_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity(x) for x in sets], pa.binary()),
+                pa.array([prefix_of(x, *sent.value, least).view(np.int64) for x in sets], pa.list_(pa.int64())),
+            ], names=["same", "n", "bits", "prefix"])
+
+    rows = docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(compute, "same long, n long, bits binary, prefix array<long>")
+    return rows.dropDuplicates(["same"])
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of batches that come sorted by their first column, cut only where that changes."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = [np.array(c.to_pylist(), dtype=object) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            own = [np.concatenate(x) for x in zip(held, own)]
+        last = int(np.searchsorted(own[0], own[0][-1]))
+        if last:
+            yield [x[:last] for x in own]
+        held = [x[last:] for x in own]
+    if held is not None:
+        yield held
+
+
+def apart_still(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``key, same, comp`` whose key has rows of several components."""
+    for key, same, comp in whole_runs(batches):
+        edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        mixed = np.minimum.reduceat(comp, edge) != np.maximum.reduceat(comp, edge)
+        on = np.repeat(mixed, np.diff(np.append(edge, len(key))))
+        yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (key, same, comp)], names=["key", "same", "comp"])
+
+
+def prefix_pairs(rows: DataFrame, of: DataFrame, least: float) -> DataFrame:
+    """Every pair ``a, b`` of different components that shares a key and that sizes and parity maps allow, none left out.
+
+    ``rows`` are ``key, same, comp``; ``of`` has ``same, n, bits``. Rows come by key and size; a key's rows are compared with
+    all before them whose sizes fit.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share = (1 - least) / (1 + least)
+        for key, n, same, comp, bits in whole_runs(batches):
+            maps = np.frombuffer(b"".join(bits.tolist()), dtype=np.uint64).reshape(len(key), -1)
+
+            def fits(i, j):
+                """Whether rows i can be similar to earlier rows j."""
+                ok = (comp[i] != comp[j]) & (n[j] >= least * n[i] - EPS)
+                i, j = np.broadcast_arrays(i, j)
+                i, j = i[ok], j[ok]
+                near = np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1, dtype=np.int64) <= share * (n[i] + n[j]) + EPS
+                return i[near], j[near]
+
+            edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            end = np.append(edge[1:], len(key))
+            size = end - edge
+            stop = np.repeat(np.where(size <= SMALL, end, edge), size)
+            found, at = [], np.arange(len(key))
+            for d in range(1, int(min(SMALL, size.max()))):
+                at = at[at + d < stop[at]]
+                found.append(fits(at + d, at))
+            for s, e in zip(edge[size > SMALL].tolist(), end[size > SMALL].tolist()):
+                for i in range(s + 1, e):
+                    found.append(fits(np.int64(i), np.arange(s + int(np.searchsorted(n[s:i], least * n[i] - EPS)), i)))
+                    if len(found) >= 4096:
+                        yield both(found, same)
+                        found = []
+            yield both(found, same)
+
+    def both(found, same) -> pa.RecordBatch:
+        i, j = (np.concatenate([np.empty(0, dtype=np.int64), *x]) for x in ([f[0] for f in found], [f[1] for f in found]))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(same[i], same[j])), pa.array(np.maximum(same[i], same[j]))], names=["a", "b"])
+
+    full = rows.join(of.select("same", "n", "bits"), "same").select("key", "n", "same", "comp", "bits")
+    return full.repartition("key").sortWithinPartitions("key", "n").mapInArrow(scan, "a long, b long").distinct()
+
+
 def similar(pairs: DataFrame, every: DataFrame, least: float) -> DataFrame:
-    """The pairs whose shingle sets are at least so similar; sketches move only for documents in some pair."""
+    """The pairs whose shingle sets are at least so similar; sketches move only for sets in some pair."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,9 +457,9 @@ def similar(pairs: DataFrame, every: DataFrame, least: float) -> DataFrame:
             on = pa.array([similarity(w, x, y, z) >= least for w, x, y, z in zip(sa, na, sb, nb)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(on), batch.column(1).filter(on)], names=["a", "b"])
 
-    involved = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    own = stored(every.join(involved, "doc_id", "left_semi").select("doc_id", "n", "sketch").dropDuplicates(["doc_id"]))
-    side = lambda c: own.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
+    involved = pairs.select(F.col("a").alias("same")).union(pairs.select("b")).distinct()
+    own = stored(every.join(involved, "same", "left_semi").select("same", "n", "sketch").dropDuplicates(["same"]))
+    side = lambda c: own.select(F.col("same").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "na", "sb", "nb")
     return full.mapInArrow(check, "a long, b long")
 
@@ -320,18 +467,26 @@ def similar(pairs: DataFrame, every: DataFrame, least: float) -> DataFrame:
 def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, component_id``: groups of documents whose shingle sets are at least ``least`` similar.
 
-    Fingerprints of documents at 0.8 differ by 8 bits on average and by up to 16: no split of 64 bits into blocks brings
-    those together and keeps others apart. So the blocks here are, besides those of fingerprints within ``radius`` bits,
-    segments of the text; the similarity of the sets decides in either case.
+    Nodes are distinct shingle sets. A first round links what fingerprints within ``radius`` bits and shared segments of the
+    text bring together; it is quick on large groups of near copies, and may miss links. The second round misses none: two
+    sets at ``least`` share a shingle among their first ones in one order of all shingles (the prefix filter), so all pairs
+    that share such a key and are not in one group yet are compared.
     """
-    every = stored(profiles(docs, shingle, doc_id, text).withColumn("same", F.xxhash64("fp", "n", "sketch")))
-    slim = F.min_by(F.struct("fp", "n", "keys"), "doc_id")
-    reps = cut(every.groupBy("same").agg(F.min("doc_id").alias("rep"), slim.alias("x")).filter("rep is not null").select("same", "rep", "x.*"))
+    every = stored(profiles(docs, shingle, doc_id, text))
+    reps = cut(every.groupBy("same").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("fp", "n", "keys")).alias("x")).select("same", F.col("same").alias("rep"), "least_id", "x.*"))
     one_per_fp = reps.groupBy("fp").agg(F.min("rep").alias("rep"))
     equal = reps.join(one_per_fp.withColumnRenamed("rep", "first"), "fp").filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
     pairs = block_links(one_per_fp, radius).union(equal).union(segment_pairs(reps, least)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    labels = components(similar(cut(pairs), every, least))
-    classes = reps.join(labels, reps["rep"] == labels["node"], "left").select(F.col("same").alias("of_same"), F.coalesce("component", "rep").alias("component_id"))
+    links = cut(similar(cut(pairs), every, least))
+    labels = components(links)
+    first = stored(prefixes(docs, common_shingles(docs, doc_id, text, shingle), shingle, least, text))
+    keyed = first.join(labels, first["same"] == labels["node"], "left").select(F.explode("prefix").alias("key"), "same", F.coalesce("component", "same").alias("comp"))
+    rows = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(apart_still, "key long, same long, comp long"))
+    found = cut(similar(cut(prefix_pairs(rows, first, least)), every, least))
+    labels = components(links.union(found))
+    of = cut(reps.join(labels, reps["rep"] == labels["node"], "left").select(F.col("same").alias("of_same"), F.coalesce("component", "rep").alias("c"), "least_id"))
+    names = of.groupBy("c").agg(F.min("least_id").alias("component_id"))
+    classes = of.join(names, "c").select("of_same", "component_id")
     return every.select("doc_id", "same").join(classes, F.col("same") == F.col("of_same"), "left").select("doc_id", "component_id")
 
 

@@ -476,3 +476,46 @@ def test_similar_documents_are_one_group(spark):
     assert len(close) > 40 and all(got[c] == got[o] for c, o in close.items())
     assert all(got[5000 + i] == 5000 + i and got[i] == i for i in range(60))
     assert {got[9000 + i] for i in range(300)} == {9000}
+
+
+def shingles_of(text, k=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def brute_groups(rows, least=0.8):
+    """Smallest id of the group of every id, by all pairs."""
+    ids, sets = [i for i, _ in rows], [shingles_of(t) for _, t in rows]
+    up = {i: i for i in ids}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= least * len(a | sets[j]):
+                x, y = sorted((root(ids[i]), root(ids[j])))
+                up[y] = x
+    return {i: root(i) for i in ids}
+
+
+def test_no_similar_pair_is_missed(spark):
+    """Short texts edited at their ends, which share no whole segment, and a hot group of near copies: as by all pairs."""
+    rng = np.random.default_rng(21)
+    rows = []
+    draw = lambda n: [f"w{x}" for x in rng.integers(0, 3000, n)]
+    for i in range(150):
+        words = draw(int(rng.integers(14, 60)))
+        rows.append((10 * i, " ".join(words)))
+        rows.append((10 * i + 1, " ".join([*words[:-1], "other"])))
+        rows.append((10 * i + 2, " ".join(["another", *words[1:-1], "end"])))
+    hot = draw(90)
+    for i in range(80):
+        words = list(hot)
+        for at in rng.choice(90, int(rng.integers(1, 4)), replace=False):
+            words[at] = f"x{rng.integers(0, 50)}"
+        rows.append((5000 + i, " ".join(words)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows)
