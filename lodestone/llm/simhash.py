@@ -203,8 +203,9 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, doc_id: str
 
 # ---------------------------------------------------------------- by similarity of shingle sets
 
-#: Smallest shingle hashes kept of a document (32 bits each): all of them, and so exact, up to this number.
-SKETCH = 1024
+#: Smallest shingle hashes kept of a document (32 bits each): all of them up to this number. Estimates from more shingles
+#: only rule out what is this far below the threshold.
+SKETCH, MARGIN = 1024, 0.1
 #: Words of a segment (about), segments of a document that are join keys, bits that similar documents differ in at most.
 SEGMENT, KEYS, APART = 12, 16, 20
 PROFILE = "doc_id long, fp long, n long, sketch binary, keys array<long>, same long"
@@ -448,20 +449,64 @@ def prefix_pairs(rows: DataFrame, of: DataFrame, least: float) -> DataFrame:
     return full.repartition("key").sortWithinPartitions("key", "n").mapInArrow(scan, "a long, b long").distinct()
 
 
-def similar(pairs: DataFrame, every: DataFrame, least: float) -> DataFrame:
-    """The pairs whose shingle sets are at least so similar; sketches move only for sets in some pair."""
+def judged(a: bytes, na: int, b: bytes, nb: int, least: float) -> bool | None:
+    """What the sketches say for certain about ``least``, or None: then the whole sets must be compared.
+
+    An estimate from bottom sketches has a standard error of about 0.0125, and ``MARGIN`` is eight of them.
+    """
+    near = similarity(a, na, b, nb)
+    if max(len(a), len(b)) // 4 >= SKETCH:
+        return False if near < least - MARGIN else None
+    return near >= least if abs(near - least) * max(na, nb) > 4 else None  # hashes of 32 bits may meet by chance
+
+
+def overlap(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two whole sets of shingle hashes."""
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def whole_sets(docs: DataFrame, every: DataFrame, wanted: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
+    """``same, members binary``: the shingle sets that ``wanted`` names, made again from one text each."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                own = shingle_set(hashed(t.as_py() or b"", shingle)[2])
+                yield pa.RecordBatch.from_arrays([pa.array([name_of(own)], pa.int64()), pa.array([own.tobytes()], pa.binary())], names=["same", "members"])
+
+    ids = every.join(wanted, "same", "left_semi").groupBy("same").agg(F.min("doc_id").alias("of_id")).select("of_id").distinct()
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    rows = slim.join(ids, F.col("doc_id").eqNullSafe(F.col("of_id")), "left_semi").select("text").mapInArrow(compute, "same long, members binary")
+    return rows.join(wanted, "same", "left_semi").dropDuplicates(["same"])
+
+
+def similar(pairs: DataFrame, every: DataFrame, least: float, docs: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
+    """The pairs whose shingle sets are at least so similar; sketches move only for sets in some pair, whole sets only for
+    those in a pair that sketches do not settle."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, _, sa, na, sb, nb = (c.to_pylist() for c in batch.columns)
-            on = pa.array([similarity(w, x, y, z) >= least for w, x, y, z in zip(sa, na, sb, nb)], pa.bool_())
+            sure = pa.array([judged(w, x, y, z, least) for w, x, y, z in zip(sa, na, sb, nb)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sure], names=["a", "b", "sure"])
+
+    def check_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            on = pa.array([overlap(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(on), batch.column(1).filter(on)], names=["a", "b"])
 
-    involved = pairs.select(F.col("a").alias("same")).union(pairs.select("b")).distinct()
-    own = stored(every.join(involved, "same", "left_semi").select("same", "n", "sketch").dropDuplicates(["same"]))
+    named = lambda p: p.select(F.col("a").alias("same")).union(p.select("b")).distinct()
+    own = stored(every.join(named(pairs), "same", "left_semi").select("same", "n", "sketch").dropDuplicates(["same"]))
     side = lambda c: own.select(F.col("same").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "na", "sb", "nb")
-    return full.mapInArrow(check, "a long, b long")
+    told = cut(full.mapInArrow(check, "a long, b long, sure boolean").filter("sure is null or sure"))
+    open_pairs = told.filter("sure is null").select("a", "b")
+    sets = stored(whole_sets(docs, every, named(open_pairs), shingle, doc_id, text))
+    side = lambda c: sets.select(F.col("same").alias(c), F.col("members").alias(f"m{c}"))
+    settled = open_pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb").mapInArrow(check_whole, "a long, b long")
+    return told.filter("sure").select("a", "b").union(settled)
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -477,12 +522,12 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius
     one_per_fp = reps.groupBy("fp").agg(F.min("rep").alias("rep"))
     equal = reps.join(one_per_fp.withColumnRenamed("rep", "first"), "fp").filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
     pairs = block_links(one_per_fp, radius).union(equal).union(segment_pairs(reps, least)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = cut(similar(cut(pairs), every, least))
+    links = cut(similar(cut(pairs), every, least, docs, shingle, doc_id, text))
     labels = components(links)
     first = stored(prefixes(docs, common_shingles(docs, doc_id, text, shingle), shingle, least, text))
     keyed = first.join(labels, first["same"] == labels["node"], "left").select(F.explode("prefix").alias("key"), "same", F.coalesce("component", "same").alias("comp"))
     rows = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(apart_still, "key long, same long, comp long"))
-    found = cut(similar(cut(prefix_pairs(rows, first, least)), every, least))
+    found = cut(similar(cut(prefix_pairs(rows, first, least)), every, least, docs, shingle, doc_id, text))
     labels = components(links.union(found))
     of = cut(reps.join(labels, reps["rep"] == labels["node"], "left").select(F.col("same").alias("of_same"), F.coalesce("component", "rep").alias("c"), "least_id"))
     names = of.groupBy("c").agg(F.min("least_id").alias("component_id"))

@@ -519,3 +519,24 @@ def test_no_similar_pair_is_missed(spark):
         rows.append((5000 + i, " ".join(words)))
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_groups(rows)
+
+
+def test_long_documents_are_held_against_their_whole_sets(spark):
+    """Above 1024 shingles, pairs just above and just below 0.8, where estimates err on either side."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 50_000, 2400)]
+        edited = list(words)
+        n, k = len(words) - 4, 0
+        target = 0.803 if i % 2 else 0.797
+        while (n - 5 * k) / (n + 5 * k) > target:
+            edited[8 + 9 * k] = f"y{i}_{k}"
+            k += 1
+        k -= i % 2
+        if i % 2:
+            edited[8 + 9 * k] = words[8 + 9 * k]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited))]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_groups(rows)
+    assert got == want and sorted(want[2 * i + 1] == 2 * i for i in range(40)) == [False] * 20 + [True] * 20
