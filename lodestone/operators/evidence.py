@@ -1,6 +1,6 @@
 """Context under a token budget: bundles of items, and role-labelled evidence packets.
 
-Both are greedy and order-dependent, over at most the fused cap of candidates a question: grouped-map Python, one question a
+Both are greedy and order-dependent, over the windows of at most the fused cap of files a question: grouped-map Python, one question a
 group, so that a table of questions runs in parallel.
 """
 

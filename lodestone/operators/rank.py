@@ -111,7 +111,7 @@ def first_of_content(rows: DataFrame, *order) -> DataFrame:
 def without_contained(rows: DataFrame) -> DataFrame:
     """Greedy: a candidate whose span holds, or lies in, that of an accepted one of its path goes.
 
-    Order-dependent, so one question's candidates (at most the fused cap) are taken together.
+    Order-dependent, so one question's candidates (the windows of at most the fused cap of files) are taken together.
     """
 
     def accept(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -300,8 +300,8 @@ def candidate_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of the twenty best files of every question, as candidates with spans."""
-    best = scored(spark, sf_dir).select("query_id", "path", "score", "reasons", "relation", "kind", "symbol", "signature", "terms", "position").filter("position <= 20")
+    """Windows of all fused files of every question, as candidates with spans."""
+    best = scored(spark, sf_dir).select("query_id", "path", "score", "reasons", "relation", "kind", "symbol", "signature", "terms", "position")
     w = windows(spark, sf_dir)
     rows = best.withColumnRenamed("position", "file_position").join(w, "path")
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "start_line")
@@ -312,7 +312,8 @@ def chunk_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def span_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunk_candidates(spark, sf_dir).select("query_id", "path", "handle", "start_line", "end_line", "position")
-    wide = rows.unionByName(rows.withColumn("end_line", F.col("end_line") + 3).withColumn("handle", F.concat("handle", F.lit("+"))).withColumn("position", F.col("position") + 400))
+    last = F.max("position").over(Window.partitionBy("query_id"))  # wider spans come after all others
+    wide = rows.unionByName(rows.withColumn("end_line", F.col("end_line") + 3).withColumn("handle", F.concat("handle", F.lit("+"))).withColumn("position", F.col("position") + last))
     return rank.without_contained(wide)
 
 
