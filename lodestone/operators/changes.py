@@ -32,8 +32,12 @@ def file_delta(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def apply_delta(state: DataFrame, delta: DataFrame) -> DataFrame:
-    """The state after upserts and deletions; delta: the state's columns, ``version`` and ``deleted``; the last version of a path counts."""
-    last = delta.withColumn("nth", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("version")))).filter("nth = 1")
+    """The state after upserts and deletions; delta: the state's columns, ``version`` and ``deleted``; the last version of a path counts.
+
+    Rows of one path and version come by a hash of all their columns, so that the same one counts in every run.
+    """
+    order = (F.desc("version"), F.xxhash64(*[F.col(c) for c in sorted(delta.columns)]))
+    last = delta.withColumn("nth", F.row_number().over(Window.partitionBy("path").orderBy(*order))).filter("nth = 1").drop("nth")
     kept = state.join(last.select("path"), "path", "left_anti")
     return kept.unionByName(last.filter("not deleted").select(*state.columns))
 

@@ -32,13 +32,15 @@ def retriever_weight() -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair]), F.col("retriever"))
 
 
-def fuse(lists: DataFrame, key: str = "handle", limit: int = FUSED_LIMIT, order: tuple = ()) -> DataFrame:
+def fuse(lists: DataFrame, key: str = "handle", limit: int = FUSED_LIMIT, order: tuple = (), carry: tuple[str, ...] = ()) -> DataFrame:
     """``query_id, key, fused, hits, position`` of ``query_id, retriever, rank, key``; every contribution counts.
 
+    ``carry`` names columns that depend on the key, kept for ``order``, which decides between equal scores and counts.
+
     Scores are sums of scaled integers, so that their order does not depend on the order of addition.
     """
     part = F.floor(retriever_weight() / (RRF_K + F.col("rank")) * 1e9 + 0.5).cast("long")
-    summed = lists.groupBy("query_id", key).agg(F.sum(part).alias("fused"), F.count(F.lit(1)).alias("hits"))
+    summed = lists.groupBy("query_id", key).agg(F.sum(part).alias("fused"), F.count(F.lit(1)).alias("hits"), *[F.max(c).alias(c) for c in carry])
     place = Window.partitionBy("query_id").orderBy(F.desc("fused"), F.desc("hits"), *order, key)
     return summed.withColumn("position", F.row_number().over(place).cast("long")).filter(F.col("position") <= limit)
 
@@ -58,7 +60,7 @@ def symbol_reason(symbol: Column, signature: Column, terms: Column, identifiers:
     return F.when(exact, EXACT), F.when(first.isNotNull(), F.when(is_id(first), PREFIX).otherwise(NATURAL_PREFIX))
 
 
-def reasons(c: dict[str, Column]) -> list[tuple[str, Column]]:
+def reasons(c: dict[str, Column]) -> list[tuple[str | Column, Column]]:
     """Named weights in the order in which they are reported; null where a reason doesn't apply.
 
     ``c``: symbol, signature, path, content, kind, language, terms, identifiers, fused (0 to 1), changed, relation, intent,
@@ -81,7 +83,7 @@ def reasons(c: dict[str, Column]) -> list[tuple[str, Column]]:
         ("test-context-penalty", F.when(~c["test_intent"] & is_test(c["kind"], c["symbol"], c["path"]), NON_TEST)),
         ("changed-file", F.when(c["changed"], CHANGED)),
         ("documentation-penalty", F.when(doc, DOCUMENTATION)),
-        ("relation", relation),
+        (F.concat(F.lit("relation-"), c["relation"]), F.when(relation > 0, relation)),
         ("reference-kind", F.when(c["reference_intent"] & is_reference_kind(c["kind"]), REFERENCE_KIND)),
         ("large-span", F.when(c["tokens"] > LARGE_TOKENS, LARGE_SPAN)),
     ]
@@ -90,11 +92,28 @@ def reasons(c: dict[str, Column]) -> list[tuple[str, Column]]:
 def with_score(rows: DataFrame, c: dict[str, Column]) -> DataFrame:
     """Adds ``reasons`` (code, weight) and ``score``."""
     named = reasons(c)
-    each = F.array(*[F.struct(F.lit(code).alias("code"), w.cast("double").alias("weight")) for code, w in named])
+    each = F.array(*[F.struct((F.lit(code) if isinstance(code, str) else code).alias("code"), w.cast("double").alias("weight")) for code, w in named])
     kept = rows.withColumn("reasons", F.filter(each, lambda x: x["weight"].isNotNull()))
     return kept.withColumn("score", F.aggregate("reasons", F.lit(0.0), lambda s, x: s + x["weight"]))
 
 
+def ranked_order() -> tuple:
+    """Score, confidence, short spans, path, line, handle; null confidence counts as 0."""
+    return (F.desc("score"), F.desc(F.coalesce("confidence", F.lit(0.0))), F.col("end_line") - F.col("start_line"), F.col("path"), F.col("start_line"), F.col("handle"))
+
+
+def fused_order() -> tuple:
+    """What decides between candidates of equal fused score and as many lists, before the handle."""
+    return ranked_order()[1:-1]
+
+
+def final_rank(rows: DataFrame, limit: int | None = None, changed_first: bool = False) -> DataFrame:
+    """Adds ``position`` by ``ranked_order`` (changed candidates before all others, if asked for), cut at ``limit``."""
+    order = ((F.desc("changed"),) if changed_first else ()) + ranked_order()
+    out = rows.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long"))
+    return out.filter(F.col("position") <= limit) if limit else out
+
+
 def drop_outlines(rows: DataFrame) -> DataFrame:
     """Without outlines of paths that have a specific candidate, unless by relation or exact symbol."""
     specific = F.bool_or(~is_outline(F.col("kind"))).over(Window.partitionBy("query_id", "path"))

@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import is_outline
+from lodestone.sources.store import stored
 
 #: Caps of the retrievers' lists and of the fused list.
 SYMBOL_LIMIT, PATH_LIMIT, TEXT_LIMIT, FUSED_LIMIT = 50, 50, 100, 400
 #: BM25's parameters, and the least idf.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 TOKEN = r"[\p{L}\p{N}]+"
+#: Asked terms that are broadcast.
+FEW_TERMS = 10_000
 
 
 def ranked(rows: DataFrame, limit: int, *order) -> DataFrame:
@@ -42,62 +45,56 @@ def qualified(symbols: DataFrame, values: DataFrame, limit: int = SYMBOL_LIMIT)
     return ranked(once(best), limit, *symbol_order())
 
 
-def prefix(symbols: DataFrame, values: DataFrame, limit: int = SYMBOL_LIMIT, key: int = 3) -> DataFrame:
-    """Names or qualified names that begin with a value; both sides meet on their first ``key`` characters.
+def prefix(symbols: DataFrame, values: DataFrame, limit: int = SYMBOL_LIMIT) -> DataFrame:
+    """Names or qualified names that begin with a value.
 
-    Shorter values are met by an equi-join on their own length, so no pair is lost and none is compared blindly.
+    A symbol's keys are the beginnings of its names of just those lengths that some value has (a short list, read first), so
+    both sides meet on whole values: no pair is lost, and none is compared that doesn't match.
     """
-    v = values.withColumn("n", F.least(F.length("value"), F.lit(key))).withColumn("k", F.lower(F.substring("value", 1, key))).filter("n > 0")
-    keys = lambda c: F.transform(F.sequence(F.lit(1), F.lit(key)), lambda i: F.lower(F.substring(c, F.lit(1), i)))
-    s = symbols.withColumn("k", F.explode(F.array_distinct(F.concat(keys(F.col("name")), keys(F.col("qualified_name"))))))
-    low = F.lower("value")
-    hits = v.join(s, "k").filter(F.lower("name").startswith(low) | F.lower("qualified_name").startswith(low)).withColumn("tier", F.when(F.lower("name") == low, 0).otherwise(1))
-    hits = hits.select("query_id", "value_pos", "value", "tier", *symbols.columns).distinct()
-    return ranked(once(hits), limit, F.col("value_pos"), F.col("tier"), *symbol_order()[1:])
+    v = values.withColumn("k", F.lower("value")).filter("k <> ''")
+    sizes = sorted(r[0] for r in v.select(F.length("k")).distinct().collect())  # names are short: some dozens at most
+    low = (F.lower("name"), F.lower("qualified_name"))
+    keys = F.array(*[F.when(F.length(c) >= n, F.substring(c, 1, n)) for n in sizes for c in low]) if sizes else F.array().cast("array<string>")
+    s = symbols.withColumn("k", F.explode(F.array_distinct(F.array_compact(keys))))
+    hits = v.join(s, "k").withColumn("tier", F.when(F.lower("name") == F.col("k"), 0).otherwise(1))
+    return ranked(once(hits.select("query_id", "value_pos", "value", "tier", *symbols.columns)), limit, F.col("value_pos"), F.col("tier"), *symbol_order()[1:])
 
 
 def path(files: DataFrame, hints: DataFrame, limit: int = PATH_LIMIT) -> DataFrame:
     """Paths equal to a hint, ending in it, below it, or holding it, in that order; hints: ``query_id, value``.
 
-    Hints share their first trigram with every path that holds them: that is the join key.
+    Hints share their first trigram with every path that holds them (shorter ones are a gram themselves): that is the join
+    key, and a path has only grams of the lengths that hints have.
     """
-    h = hints.withColumn("low", F.lower("value")).filter(F.length("value") >= 3).withColumn("k", F.substring("low", 1, 3))
+    size = F.least(F.length("value"), F.lit(3))
+    h = hints.withColumn("low", F.lower("value")).filter("value <> ''").withColumn("n", size).withColumn("k", F.substring(F.col("low"), F.lit(1), F.col("n")))
+    sizes = sorted(r[0] for r in h.select("n").distinct().collect())  # 1 to 3
     f = files.select("path", F.lower("path").alias("p"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("p") - 2, F.lit(1))), lambda i: F.substring(F.col("p"), i, F.lit(3))))
-    hits = h.join(f.withColumn("k", F.explode(grams)), "k").filter(F.col("p").contains(F.col("low")))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("p") - (n - 1), F.lit(1))), lambda i: F.substring(F.col("p"), i, F.lit(n)))
+    keys = F.array_distinct(F.concat(*[grams(n) for n in sizes])) if sizes else F.array().cast("array<string>")
+    hits = h.join(f.withColumn("k", F.explode(keys)), "k").filter(F.col("p").contains(F.col("low")))
     place = F.when(F.col("p") == F.col("low"), 0).when(F.col("p").endswith(F.concat(F.lit("/"), "low")), 1).when(F.col("p").startswith(F.concat("low", F.lit("/"))), 2).otherwise(3)
     best = hits.groupBy("query_id", "path").agg(F.min(place).alias("place"))
     return ranked(best, limit, "place", "path")
 
 
-def postings(files: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
-    """``key, term, tf, dl``: one row per document and distinct term."""
-    tokens = files.select(key, F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)).alias("tokens")).withColumn("dl", F.size("tokens"))
-    return tokens.select(key, "dl", F.explode("tokens").alias("term")).groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def lengths(files: DataFrame, text: str = "content") -> tuple[int, float]:
-    """Documents and mean tokens of a document."""
-    row = files.agg(F.count(F.lit(1)).alias("n"), F.sum(F.regexp_count(F.lower(text), F.lit(TOKEN))).alias("t")).first()
-    return row["n"], (row["t"] or 0) / max(1, row["n"])
-
-
 def bm25(files: DataFrame, terms: DataFrame, limit: int = TEXT_LIMIT, key: str = "path", text: str = "content") -> DataFrame:
     """``query_id, key, score, rank``; terms: ``query_id, term`` in lower case, distinct.
 
-    Documents keep only the asked terms before anything is exploded or shuffled, where the asked terms are few enough to
-    travel (checked); document lengths come from the whole text.
+    The texts are read once. Where the asked terms are few enough to travel (checked), tokens meet them right where they are
+    exploded, before anything is shuffled. Every document also has one row for the empty term, which carries its length into
+    the corpus statistics.
     """
-    n, mean = lengths(files, text)
     asked = terms.select("term").distinct()
-    few = [r["term"] for r in asked.limit(10_001).collect()]
-    if len(few) <= 10_000:
-        tokens = files.select(key, F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)).alias("tokens"))
-        wanted = F.broadcast(asked)
-        hits = tokens.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-        found = hits.groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    else:
-        found = postings(files, key, text).join(asked, "term", "left_semi")
+    few = asked.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    wanted = asked.union(asked.sparkSession.createDataFrame([("",)], "term string"))
+    tokens = files.select(key, F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)).alias("tokens"))
+    each = tokens.select(key, F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term"))
+    rows = each.join(F.broadcast(wanted) if few else wanted, "term", "left_semi").groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    found = stored(rows)
+    whole = found.filter("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).first()
+    n, mean = whole["n"], whole["mean"] or 0.0
+    found = found.filter("term <> ''")
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = found.join(df.select("term", F.when(idf > 0, idf).otherwise(LEAST_IDF).alias("idf")), "term")

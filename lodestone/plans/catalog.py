@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +10,9 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import changes as C
 from lodestone.operators import chunking, evaluate, evidence, graph, rank, search
+from lodestone.plans import planner
 from lodestone.sources import diff, scan, views
+from lodestone.sources.store import shared_folder, stored
 from lodestone.sources.views import CHANGES, FILES, RELATIONS, SYMBOLS, table
 from lodestone.streaming import apply
 
@@ -58,14 +59,20 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.files(spark, sf_dir).select("path", T.estimate_tokens(F.col("content")).alias("tokens"))
 
 
-@query(f"""WITH {FILES}, s AS (SELECT path, language, trim(regexp_replace(left(content, 80), '\\s+', ' ', 'g')) AS signature FROM files)
-SELECT path, signature, 'sym_' || substr(translate(base64(unhex(sha256(chr(0) || path || chr(0) || language || chr(0) || 'window' || chr(0) || signature))), '+/', '-_'), 1, 16) AS handle,
-CAST(row_number() OVER (PARTITION BY language, signature ORDER BY path) - 1 AS BIGINT) AS occurrence FROM s""")
+LINES = r"lined AS (SELECT path, language, string_split(regexp_replace(replace(content, chr(13) || chr(10), chr(10)), '\n\z', ''), chr(10)) AS lines FROM files), each AS (SELECT path, language, unnest(generate_series(1, len(lines))) AS line, trim(regexp_replace(unnest(lines), '\s+', ' ', 'g')) AS signature FROM lined)"
+
+
+@query(f"""WITH {FILES}, {LINES}, n AS (SELECT *, row_number() OVER (PARTITION BY path, language, signature ORDER BY line) - 1 AS nth FROM each)
+SELECT path, CAST(line AS BIGINT) AS line, CAST(nth AS BIGINT) AS occurrence, 'sym_' || substr(translate(base64(unhex(sha256(chr(0) || path || chr(0) || language || chr(0) || 'line' || chr(0) || signature || CASE WHEN nth > 0 THEN chr(0) || CAST(nth AS VARCHAR) ELSE '' END))), '+/', '-_'), 1, 16) AS handle FROM n""")
 def stable_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = views.files(spark, sf_dir).select("path", "language", T.normalize_signature(F.substring("content", 1, 80)).alias("signature"))
-    handle = T.stable_handle("sym", F.col("path"), F.col("language"), F.lit("window"), F.col("signature"))
-    nth = F.row_number().over(Window.partitionBy("language", "signature").orderBy("path")) - 1
-    return s.select("path", "signature", handle.alias("handle"), nth.cast("long").alias("occurrence"))
+    """Every line as a symbol; lines of one file that are alike are told apart by their occurrence."""
+    lines = views.files(spark, sf_dir).select("path", "language", F.posexplode(chunking.lines_of(F.col("content"))).alias("at", "text"))
+    s = lines.select("path", "language", (F.col("at") + 1).cast("long").alias("line"), T.normalize_signature(F.col("text")).alias("signature"))
+    nth = (F.row_number().over(Window.partitionBy("path", "language", "signature").orderBy("line")) - 1).cast("long")
+    numbered = s.withColumn("occurrence", nth)
+    fields = (F.col("path"), F.col("language"), F.lit("line"), F.col("signature"))
+    handle = F.when(F.col("occurrence") > 0, T.stable_handle("sym", *fields, F.col("occurrence"))).otherwise(T.stable_handle("sym", *fields))
+    return numbered.select("path", "line", "occurrence", handle.alias("handle"))
 
 
 WINDOWS = r"""lined AS (SELECT path, language, string_split(regexp_replace(replace(content, chr(13) || chr(10), chr(10)), '\n\z', ''), chr(10)) AS lines FROM files),
@@ -95,17 +102,15 @@ def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.files(spark, sf_dir).groupBy("sha256").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("copies"))
 
 
-@query(f"""WITH {FILES}, parts AS (SELECT substr(sha256(path), 1, 2) AS part, sha256(string_agg(path || chr(0) || sha256 || chr(0), '' ORDER BY path)) AS h FROM files GROUP BY 1)
-SELECT substr(sha256(string_agg(part || h, '' ORDER BY part)), 1, 16) AS revision, (SELECT count(*) FROM files) AS files FROM parts""")
+@query(f"""WITH {FILES}, rows AS (SELECT sha256(path || chr(0) || sha256) AS h FROM files)
+SELECT substr(sha256({" || ':' || ".join(f"CAST(sum(CAST(('0x' || substr(h, {1 + 8 * i}, 8))::UBIGINT AS HUGEINT)) AS VARCHAR)" for i in range(8))}), 1, 16) AS revision, count(*) AS files FROM rows""")
 def corpus_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fingerprint of paths and hashes, in two levels, so that no task gathers the whole corpus."""
-    f = views.files(spark, sf_dir)
-    row = F.concat("path", F.chr(F.lit(0)), "sha256", F.chr(F.lit(0)))
-    parts = f.groupBy(F.substring(F.sha2("path", 256), 1, 2).alias("part")).agg(
-        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", row.alias("r")))), lambda x: x["r"]), ""), 256).alias("h"), F.count(F.lit(1)).alias("n")
-    )
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "h"))), lambda x: F.concat(x["part"], x["h"])), "")
-    return parts.agg(F.substring(F.sha2(joined, 256), 1, 16).alias("revision"), F.sum("n").alias("files"))
+    """A fingerprint of paths and hashes that doesn't depend on their order: eight sums of the rows' hashes, so that no task
+    gathers more than a number."""
+    h = F.sha2(F.concat("path", F.chr(F.lit(0)), "sha256"), 256)
+    words = views.files(spark, sf_dir).select(*[F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)").alias(f"w{i}") for i in range(8)])
+    sums = words.agg(*[F.sum(f"w{i}").cast("string").alias(f"w{i}") for i in range(8)], F.count(F.lit(1)).alias("files"))
+    return sums.select(F.substring(F.sha2(F.concat_ws(":", *[f"w{i}" for i in range(8)]), 256), 1, 16).alias("revision"), "files")
 
 
 @query(r"""WITH names AS (SELECT 'part:' || CAST(p_partkey AS VARCHAR) AS handle, p_brand || '_' || p_name AS name FROM part UNION ALL SELECT 'customer:' || CAST(c_custkey AS VARCHAR), c_name || 'HTTPServer2Go' FROM customer)
@@ -187,8 +192,8 @@ def path_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``query_id, terms``: the first eight tokens of every benchmark item, each once, in order."""
-    words = F.array_distinct(F.slice(F.regexp_extract_all(F.lower("text"), F.lit(search.TOKEN), F.lit(0)), 1, 8))
+    """``query_id, terms``: the distinct tokens of every benchmark item in order, as many as the planner asks for."""
+    words = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(search.TOKEN), F.lit(0))), 1, planner.MAX_FTS_TERMS)
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), words.alias("terms"))
 
 
@@ -196,7 +201,8 @@ def asked_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions(spark, sf_dir).select("query_id", F.explode("terms").alias("term"))
 
 
-ASKED = f"asked AS (SELECT DISTINCT CAST(item_id AS BIGINT) AS query_id, unnest(list_slice({TOKENS.format('text')}, 1, 8)) AS term FROM benchmark)"
+UNIQ = f"uniq AS (SELECT query_id, list_slice(list_filter(raw, lambda x, i: list_position(raw, x) = i), 1, 32) AS terms FROM (SELECT CAST(item_id AS BIGINT) AS query_id, {TOKENS.format('text')} AS raw FROM benchmark))"
+ASKED = f"{UNIQ}, asked AS (SELECT query_id, unnest(terms) AS term FROM uniq)"
 
 
 def _bm25(files: str = "files") -> str:
@@ -270,7 +276,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.with_score(rows, c)
 
 
-SCORED = f"""{LISTS}, terms AS (SELECT CAST(item_id AS BIGINT) AS query_id, list_slice({TOKENS.format('text')}, 1, 8) AS raw FROM benchmark), uniq AS (SELECT query_id, list_filter(raw, lambda x, i: list_position(raw, x) = i) AS terms FROM terms),
+SCORED = f"""{LISTS},
 c AS (SELECT f.*, path, language, content, sha256 AS content_hash, terms, regexp_extract(lower(content), '{SEGMENT}') AS symbol, left(content, 40) AS signature, CASE length(content) % 5 WHEN 0 THEN 'class-outline' WHEN 1 THEN 'interface' ELSE 'method' END AS kind, CASE WHEN query_id % 4 = 0 THEN 'references' ELSE '' END AS relation FROM fused f JOIN files ON handle = path JOIN uniq USING (query_id)),
 n AS (SELECT *, list_filter(terms, lambda x: length(x) >= 3) AS long, list_slice(terms, 1, 2) AS ids, len(list_filter(terms, lambda x: contains(lower(path), x))) AS on_path, len(list_filter(terms, lambda x: contains(lower(concat_ws(' ', content, signature, path)), x))) AS lex FROM c),
 m AS (SELECT *, len(list_filter(long, lambda x: x = symbol AND list_contains(ids, x))) > 0 AS exact, list_filter(long, lambda x: NOT (x = symbol AND list_contains(ids, x)) AND symbol <> '' AND (list_contains(ids, x) OR signature <> '') AND (contains(symbol, x) OR (length(x) > 3 AND ends_with(x, 's') AND symbol = left(x, length(x) - 1)))) AS near,
@@ -278,9 +284,10 @@ CASE WHEN content = '' THEN 0 ELSE ceil((len(regexp_extract_all(content, '[\\x00
 scored AS (SELECT *, fused / 1e6 + CASE WHEN exact THEN 100 ELSE 0 END + CASE WHEN len(near) > 0 THEN CASE WHEN list_contains(ids, near[1]) THEN 70 ELSE 24 END ELSE 0 END + least(on_path * 4, 20) + least(lex * 8, 40) + CASE WHEN hits > 1 THEN 15 ELSE 0 END + CASE WHEN relation = 'references' THEN 60 ELSE 0 END + CASE WHEN query_id % 2 = 0 AND kind = 'interface' THEN 280 ELSE 0 END - CASE WHEN tokens > 4000 THEN 10 ELSE 0 END AS score FROM m)"""
 
 
-@query(f"WITH {SCORED} SELECT query_id, handle, CAST(round(score * 1000) AS BIGINT) AS score_milli, position FROM scored")
+@query(f"WITH {SCORED} SELECT query_id, handle, CAST(round(score * 1000) AS BIGINT) AS score_milli, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, handle) AS position FROM scored")
 def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).select("query_id", "handle", F.round(F.col("score") * 1000).cast("long").alias("score_milli"), "position")
+    rows = scored(spark, sf_dir).withColumns({"confidence": F.lit(0.0), "start_line": F.lit(1), "end_line": F.lit(1)})
+    return rank.final_rank(rows).select("query_id", "handle", F.round(F.col("score") * 1000).cast("long").alias("score_milli"), "position")
 
 
 OUTLINE_SQL = "quiet AS (SELECT * FROM (SELECT *, bool_or(kind NOT LIKE '%-outline') OVER (PARTITION BY query_id, folder) AS specific FROM (SELECT *, regexp_replace(path, '/[^/]*$', '') AS folder FROM scored)) WHERE NOT (kind LIKE '%-outline' AND specific AND NOT (exact OR relation <> '')))"
@@ -364,7 +371,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 FAMILY = "CASE {0} WHEN 'c' THEN 'c-family' WHEN 'cpp' THEN 'c-family' WHEN 'javascript' THEN 'js-family' WHEN 'typescript' THEN 'js-family' ELSE {0} END"
 LINKS = f"""wanted AS (SELECT r.from_handle, r.kind, r.unresolved_to, r.confidence, s.language FROM relations r JOIN symbols s ON r.from_handle = s.handle WHERE unresolved_to IS NOT NULL),
 named AS (SELECT handle, language, 0 AS tier, qualified_name AS target FROM symbols UNION ALL SELECT handle, language, 1, name FROM symbols),
-asked AS (SELECT DISTINCT unresolved_to, language, kind FROM wanted), met AS (SELECT a.*, n.handle, n.tier FROM asked a JOIN named n ON a.unresolved_to = n.target WHERE a.kind = 'references' OR {FAMILY.format('a.language')} = {FAMILY.format('n.language')}),
+asked AS (SELECT DISTINCT unresolved_to, language, kind FROM wanted), met AS (SELECT a.*, n.handle, n.tier FROM asked a JOIN named n ON a.unresolved_to = n.target WHERE a.kind IN ('imports', 'exports', 'references') OR {FAMILY.format('a.language')} = {FAMILY.format('n.language')}),
 best AS (SELECT unresolved_to, language, kind, tier, min(handle) AS lo, max(handle) AS hi FROM met GROUP BY unresolved_to, language, kind, tier QUALIFY tier = min(tier) OVER (PARTITION BY unresolved_to, language, kind)), uniq AS (SELECT * FROM best WHERE lo = hi)"""
 EDGES = f"""{SYMBOLS}, {RELATIONS}, {LINKS}, edges AS (SELECT from_handle, to_handle, kind, max(confidence) AS confidence FROM (SELECT from_handle, to_handle, kind, confidence FROM relations WHERE to_handle IS NOT NULL
 UNION ALL SELECT w.from_handle, u.lo, w.kind, w.confidence FROM wanted w JOIN uniq u ON w.unresolved_to = u.unresolved_to AND w.language = u.language AND w.kind = u.kind) GROUP BY ALL)"""
@@ -372,7 +379,7 @@ UNION ALL SELECT w.from_handle, u.lo, w.kind, w.confidence FROM wanted w JOIN un
 
 @query(f"WITH {SYMBOLS}, {RELATIONS}, {LINKS} SELECT w.from_handle, w.kind, w.unresolved_to, u.lo AS to_handle, CAST(u.tier AS BIGINT) AS tier FROM wanted w JOIN uniq u ON w.unresolved_to = u.unresolved_to AND w.language = u.language AND w.kind = u.kind")
 def link_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.link(views.relations(spark, sf_dir), views.symbols(spark, sf_dir))
+    return graph.link(views.relations(spark, sf_dir), views.symbols(spark, sf_dir)).drop("confidence")
 
 
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,12 +392,11 @@ ANCHORS = "anchors AS (SELECT handle AS anchor_handle FROM symbols WHERE kind IN
 
 def _hop(kind: str, direction: str) -> str:
     a, b = ("to_handle", "from_handle") if direction == "incoming" else ("from_handle", "to_handle")
-    return f"SELECT DISTINCT anchor_handle, {b} AS handle, '{direction}' AS direction, confidence FROM anchors JOIN edges ON anchor_handle = {a} WHERE kind = '{kind}'"
+    return f"SELECT DISTINCT anchor_handle, {b} AS handle, '{direction}' AS direction, confidence FROM anchors JOIN edges ON anchor_handle = {a} WHERE {f"kind = '{kind}'" if kind else 'true'}"
 
 
 RELATION_SQL = {
     "self": "SELECT anchor_handle, anchor_handle AS handle, 'related' AS direction, CAST(1 AS DOUBLE) AS confidence FROM anchors",
-    "neighbors": "SELECT a.anchor_handle, d.to_handle AS handle, 'related' AS direction, d.confidence FROM anchors a JOIN edges u ON a.anchor_handle = u.to_handle AND u.kind = 'contains' JOIN edges d ON u.from_handle = d.from_handle AND d.kind = 'contains' WHERE d.to_handle <> a.anchor_handle",
 } | {r: (_hop(k, d) if d != "both" else _hop(k, "incoming") + " UNION " + _hop(k, "outgoing")) for r, (k, d) in graph.EXPANSIONS.items()}
 
 
@@ -436,11 +442,11 @@ def nearest_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return up.join(cfg, "dir").groupBy("path").agg(F.max_by("dir", F.length("dir")).alias("config"))
 
 
-@query(f"""WITH {EDGES}, ch AS (SELECT handle FROM symbols WHERE kind = 'type' AND start_line % 40 = 1 OR kind = 'interface'), hops AS (SELECT e.from_handle AS handle, e.kind, ch.handle AS anchor_handle, e.confidence FROM ch JOIN edges e ON ch.handle = e.to_handle WHERE e.kind IN ('tests', 'calls', 'imports', 'exports', 'references'))
+@query(f"""WITH {EDGES}, ch AS (SELECT handle FROM symbols WHERE kind IN ('type', 'interface')), hops AS (SELECT e.from_handle AS handle, e.kind, ch.handle AS anchor_handle, e.confidence FROM ch JOIN edges e ON ch.handle = e.to_handle WHERE e.kind IN ('tests', 'calls', 'imports', 'exports', 'references'))
 SELECT * FROM hops WHERE handle NOT IN (SELECT handle FROM ch) QUALIFY row_number() OVER (PARTITION BY handle ORDER BY CASE WHEN kind = 'tests' THEN 0 ELSE 1 END, confidence DESC, anchor_handle, kind) = 1""")
 def impact_one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = views.symbols(spark, sf_dir)
-    changed = s.filter(((F.col("kind") == "type") & (F.col("start_line") % 40 == 1)) | (F.col("kind") == "interface")).select("handle")
+    changed = s.filter(F.col("kind").isin("type", "interface")).select("handle")
     return graph.impact(changed, edges(spark, sf_dir)).select("handle", "kind", "anchor_handle", "confidence")
 
 
@@ -511,7 +517,7 @@ def incremental_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LATEST} SELECT path, event_id, version, change FROM latest")
 def stream_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same state by Structured Streaming, everything available at once."""
-    base = (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-stream-")) + f"/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     return apply.run_available(spark, sf_dir, "events.parquet", schema, event_changes, f"{base}/state", f"{base}/checkpoint").select("path", "event_id", "version", "change")
 
@@ -541,21 +547,24 @@ def diff_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ evaluation
 
 
+#: Characters of an item's key.
+GRAM = 24
+
+
 def expected_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item: they meet on the item's second to fourth token before the whole is compared.
+    """Documents that hold a benchmark item, as substrings of their text.
 
-    Tokens inside an item are whole tokens of any text that holds it. Items with fewer than five are compared directly.
+    Both sides meet on a gram of so many characters as the shortest item has, at most ``GRAM``: an item has one key, its first
+    gram, and a document all of its grams, most of which end in the join with the items, before any shuffle while those are
+    few. Then the whole item is compared.
     """
-    tokens = lambda c: F.regexp_extract_all(c, F.lit(search.TOKEN), F.lit(0))
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), "text", tokens(F.col("text")).alias("t"))
-    f = views.files(spark, sf_dir).select("path", "content").withColumn("t", tokens(F.col("content")))
-    n = F.size("t")
-    triples = F.zip_with(F.zip_with("t", F.slice("t", 2, n + 1), lambda x, y: F.concat_ws(" ", x, y)), F.slice("t", 3, n + 1), lambda x, y: F.concat_ws(" ", x, y))
-    keyed = b.filter(n >= 5).select("query_id", "text", F.array_join(F.slice("t", 2, 3), " ").alias("k"))
-    near = f.select("path", F.explode(F.array_distinct(triples)).alias("k")).join(keyed, "k").select("path", "query_id", "text").distinct()
-    long = near.join(f.select("path", "content"), "path").filter(F.col("content").contains(F.col("text")))
-    short = f.join(b.filter(n < 5).select("query_id", "text"), F.col("content").contains(F.col("text")))
-    return long.select("query_id", F.col("path").alias("key")).union(short.select("query_id", F.col("path").alias("key"))).distinct()
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), "text").filter("text <> ''")
+    size = min(GRAM, b.agg(F.min(F.length("text")).alias("n")).first()["n"] or GRAM)
+    keyed = stored(b.withColumn("k", F.substring("text", 1, size)))
+    f = views.files(spark, sf_dir).select("path", "content")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("content") - (size - 1), F.lit(1))), lambda i: F.substring(F.col("content"), i, F.lit(size)))
+    met = f.select("path", F.explode(F.array_distinct(grams)).alias("k")).join(keyed, "k").select("path", "query_id", "text").distinct()
+    return met.join(f, "path").filter(F.col("content").contains(F.col("text"))).select("query_id", F.col("path").alias("key"))
 
 
 def forbidden_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,7 +67,11 @@ SYMBOLS = "symbols AS (" + " UNION ALL ".join([
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges ``from_handle, to_handle, unresolved_to, kind, confidence``: contains resolved; calls, tests and references by name."""
+    """Edges ``from_handle, to_handle, unresolved_to, kind, confidence``: contains resolved; all others by name.
+
+    Orders call or test parts and refer to suppliers, suppliers call the parts they deliver, customers import their nation,
+    suppliers export theirs.
+    """
     s = symbols(spark, sf_dir)
     contains = s.filter("parent_handle is not null").select(F.col("parent_handle").alias("from_handle"), F.col("handle").alias("to_handle"), F.lit(None).cast("string").alias("unresolved_to"), F.lit("contains").alias("kind"), F.lit(1.0).alias("confidence"))
     lines = table(spark, sf_dir, "lineitem")
@@ -78,13 +82,25 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
         origin, none.alias("to_handle"), F.concat_ws(".", "p_brand", "p_name").alias("unresolved_to"), F.when(F.col("l_orderkey") % 7 == 0, "tests").otherwise("calls").alias("kind"), certain
     )
     references = lines.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(origin, none.alias("to_handle"), F.col("s_name").alias("unresolved_to"), F.lit("references").alias("kind"), certain)
-    return contains.unionByName(calls).unionByName(references)
+    supplied = lines.select("l_suppkey", "l_partkey").distinct().join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    named = lambda x, conf: (none.alias("to_handle"), x.alias("unresolved_to"), conf)
+    delivers = supplied.select(F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("from_handle"), *named(F.concat_ws(".", "p_brand", "p_name"), F.lit("calls").alias("kind")), F.lit(0.45).alias("confidence"))
+    nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    imports = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("from_handle"), *named(F.col("n_name"), F.lit("imports").alias("kind")), F.lit(0.9).alias("confidence"))
+    exports = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("from_handle"), *named(F.concat_ws(".", "r_name", "n_name"), F.lit("exports").alias("kind")), F.lit(0.8).alias("confidence"))
+    out = contains
+    for x in (calls, references, delivers, imports, exports):
+        out = out.unionByName(x)
+    return out
 
 
 RELATIONS = (
     "relations AS (SELECT parent_handle AS from_handle, handle AS to_handle, CAST(NULL AS VARCHAR) AS unresolved_to, 'contains' AS kind, CAST(1 AS DOUBLE) AS confidence FROM symbols WHERE parent_handle IS NOT NULL "
     "UNION ALL SELECT 'order:' || CAST(l_orderkey AS VARCHAR), NULL, p_brand || '.' || p_name, CASE WHEN l_orderkey % 7 = 0 THEN 'tests' ELSE 'calls' END, round(1 - l_discount, 2) FROM lineitem JOIN part ON l_partkey = p_partkey "
-    "UNION ALL SELECT 'order:' || CAST(l_orderkey AS VARCHAR), NULL, s_name, 'references', round(1 - l_discount, 2) FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"
+    "UNION ALL SELECT 'order:' || CAST(l_orderkey AS VARCHAR), NULL, s_name, 'references', round(1 - l_discount, 2) FROM lineitem JOIN supplier ON l_suppkey = s_suppkey "
+    "UNION ALL SELECT 'supplier:' || CAST(l_suppkey AS VARCHAR), NULL, p_brand || '.' || p_name, 'calls', 0.45 FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN part ON l_partkey = p_partkey "
+    "UNION ALL SELECT 'customer:' || CAST(c_custkey AS VARCHAR), NULL, n_name, 'imports', 0.9 FROM customer JOIN nation ON c_nationkey = n_nationkey "
+    "UNION ALL SELECT 'supplier:' || CAST(s_suppkey AS VARCHAR), NULL, r_name || '.' || n_name, 'exports', 0.8 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 )
 
 

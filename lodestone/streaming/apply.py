@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.store import versions
+
 
 def latest(changes: DataFrame) -> DataFrame:
     """The last change of each path by (version, event); two-phase, so a hot path is combined before the shuffle."""
@@ -15,19 +17,19 @@ def latest(changes: DataFrame) -> DataFrame:
 def run_available(spark: SparkSession, source: str, name: str, schema, prepare, state_dir: str, checkpoint: str) -> DataFrame:
     """Applies all Parquet files called ``name`` in the folder ``source`` in micro-batches, and returns the state.
 
-    Each batch writes a new version directory from the last one; the pointer is the batch id of the stream's checkpoint, so a
-    batch that is run again overwrites its own version and nothing is applied twice.
+    Each batch writes a new version directory from the last one before it; a batch that is run again overwrites its own
+    version, so nothing is applied twice. With no batch ever, the state is the empty one.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         now = latest(prepare(batch))
-        if batch_id:
-            before = spark.read.parquet(f"{state_dir}/v={batch_id - 1}")
-            now = latest(before.unionByName(now))
+        before = [v for v in versions(spark, state_dir) if v < batch_id]
+        if before:
+            now = latest(spark.read.parquet(f"{state_dir}/v={max(before)}").unionByName(now))
         now.write.mode("overwrite").parquet(f"{state_dir}/v={batch_id}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).option("pathGlobFilter", name).parquet(source)
     query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return spark.read.parquet(f"{state_dir}/v={last}")
+    done = versions(spark, state_dir)
+    return spark.read.parquet(f"{state_dir}/v={max(done)}") if done else latest(prepare(spark.createDataFrame([], schema)))
