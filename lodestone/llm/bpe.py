@@ -2,8 +2,8 @@
 
 Each leaf holds the rank of the pair that starts at its byte position, joined with the position, so that the root is the
 leftmost pair of minimum rank. A merge changes at most three leaves (the pair, its live neighbour to the left, and the
-right part that disappears), each a walk of logarithmic length to the root. Pieces of like length are merged together: one
-numpy row per piece, one round per merge.
+right part that disappears), each a walk of logarithmic length to the root. Short pieces of like length are merged together: one
+numpy row per piece, one round per merge; a long piece has a tree of its own.
 
 Defined cases: a null text is an empty text, with no ids; repeated rows give repeated results; an empty table gives no
 rows; other columns are ignored.
@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import slices
 from .tokens import CACHE, byte_ranks, units_of
 
 NONE = np.int64(1) << 62
-#: A leaf is rank * AT + position: pieces are shorter than AT bytes (longer ones go through the same tree in wider words).
+#: A leaf is rank * AT + position.
 AT = np.int64(1) << 32
+#: From this width on a piece is merged by itself, in plain Python integers.
+LONG = 512
 #: Tree cells merged at once, over all rows.
 CELLS = 1 << 20
 SHIFT = 20
@@ -45,6 +47,7 @@ class PairRanks:
         order = np.argsort(np.array(keys, dtype=np.int64), kind="stable")
         self.keys = np.append(np.array(keys, dtype=np.int64)[order], np.iinfo(np.int64).max)
         self.values = np.append(np.array(values, dtype=np.int64)[order], np.int64(-1))
+        self.rank_of = dict(zip(keys, values))
         self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
 
     def leaves(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -103,6 +106,49 @@ def merge_rows(pieces: list[bytes], width: int, pairs: PairRanks) -> list[np.nda
     return np.split(flat[kept], np.cumsum(kept.sum(axis=1))[:-1])
 
 
+def merge_long(piece: bytes, pairs: PairRanks) -> list[int]:
+    """``merge_rows`` for one long piece: the same tree, where an update ends at the first ancestor that stays as it was."""
+    n, width, none, at_one, rank_of = len(piece), 1 << (len(piece) - 1).bit_length(), int(NONE), int(AT), pairs.rank_of.get
+    ids = pairs.single[np.frombuffer(piece, dtype=np.uint8)].tolist()
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+    def leaf(i: int) -> int:
+        j = after[i]
+        rank = rank_of(ids[i] << SHIFT | ids[j]) if j < n else None
+        return none if rank is None else rank * at_one + i
+
+    level = [leaf(i) for i in range(n)] + [none] * (width - n)
+    levels = [level]
+    while len(level) > 1:
+        level = list(map(min, level[::2], level[1::2]))
+        levels.append(level)
+    tree = [none, *(x for level in reversed(levels) for x in level)]
+
+    def update(i: int, value: int) -> None:
+        node = i + width
+        tree[node] = value
+        while node > 1:
+            node >>= 1
+            a, b = tree[2 * node], tree[2 * node + 1]
+            least = a if a < b else b
+            if tree[node] == least:
+                break
+            tree[node] = least
+
+    while (least := tree[1]) < none:
+        rank, i = divmod(least, at_one)
+        j = after[i]
+        far = after[j]
+        ids[i], ids[j], after[i] = rank, -1, far
+        if far < n:
+            before[far] = i
+        update(j, none)
+        update(i, leaf(i))
+        if (near := before[i]) >= 0:
+            update(near, leaf(near))
+    return [x for x in ids if x >= 0]
+
+
 class ByteBPE:
     """Encoder and decoder over the ranks of a vocabulary file."""
 
@@ -127,6 +173,9 @@ class ByteBPE:
             elif p:
                 by_width.setdefault(1 << (len(p) - 1).bit_length(), []).append(p)
         for width, same in by_width.items():
+            if width >= LONG:
+                out.update((p, merge_long(p, self.pairs)) for p in same)
+                continue
             step = max(1, CELLS // (2 * width))
             for i in range(0, len(same), step):
                 part = same[i : i + step]
@@ -164,28 +213,15 @@ def codec(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(path, pattern)
 
 
-def batched(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch with about ``most`` characters of text each."""
-    start = chars = 0
-    for i, x in enumerate(batch.column(column)):
-        chars += len(x.as_py() or "")
-        if chars >= most:
-            yield start, i + 1
-            start, chars = i + 1, 0
-    if start < batch.num_rows:
-        yield start, batch.num_rows
-
-
 def encode_documents(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id, ids array<int>``."""
-    small_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks, pattern)
         for batch in batches:
-            for a, b in batched(batch, 1):
-                ids = list(own.encode_batch([t or "" for t in batch.column(1)[a:b].to_pylist()]))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            for part in slices(batch, 1):
+                ids = list(own.encode_batch([t or "" for t in part.column(1).to_pylist()]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, "doc_id long, ids array<int>")
 
@@ -203,17 +239,16 @@ def decode_documents(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
 def round_trip_digest(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode, then decode: ``doc_id, n_tokens, ids_sha256, decoded_sha256`` in one pass over the texts."""
-    small_batches(docs.sparkSession)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks, pattern)
         for batch in batches:
-            for a, b in batched(batch, 1):
+            for part in slices(batch, 1):
                 n, coded, decoded = [], [], []
-                for ids in own.encode_batch([t or "" for t in batch.column(1)[a:b].to_pylist()]):
+                for ids in own.encode_batch([t or "" for t in part.column(1).to_pylist()]):
                     n.append(len(ids))
                     coded.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
                     decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -3,33 +3,46 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch handed to Python: keeps a batch of long texts within a worker's memory.
-BATCH_ROWS = 1000
+#: Bytes of an Arrow batch that an operator works on together. Spark bounds the batch itself by rows and by 64 MB.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch, unless the session already asks for fewer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+def slices(batch: pa.RecordBatch, column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with about ``most`` bytes in a string or binary column each; at least one row a run."""
+    start = size = 0
+    for i, x in enumerate(batch.column(column)):
+        size += x.as_buffer().size if x.is_valid else 0
+        if size >= most:
+            yield batch.slice(start, i + 1 - start)
+            start, size = i + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the session's setting, or a temporary one where none is set (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder for cut lineage: the session's setting; a local folder only where the session itself is local."""
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
-        current = named or tempfile.mkdtemp(prefix="lodestone-checkpoints-")
+        current = spark.conf.get("spark.checkpoint.dir", None)
+        if not current:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            import tempfile
+
+            current = tempfile.mkdtemp(prefix="lodestone-checkpoints-")
         spark.sparkContext.setCheckpointDir(current)
     return current
 
@@ -50,14 +63,41 @@ def parts_for(n: int, per_part: int) -> int:
     return max(1, math.ceil(n / per_part))
 
 
-def part_of(column: str, parts: int):
-    """A hash part of a key, spread evenly and the same in every run."""
-    return F.pmod(F.xxhash64(F.col(column)), F.lit(parts)).cast("int")
+def most_frequent(counts: DataFrame, most: int, count: str = "c") -> DataFrame:
+    """The rows with the highest counts, at most so many: whole eighths of octaves of ``count``, from the top.
+
+    Only the number of rows in each eighth (some hundreds at any size) goes to the driver; nothing is sorted.
+    """
+    step = F.floor(F.log2(count) * 8)
+    left, lowest = most, None
+    for k, n in sorted(map(tuple, counts.filter(F.col(count) > 0).groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
+        left -= n
+        if left < 0:
+            break
+        lowest = k
+    return counts.filter((F.col(count) > 0) & (step >= lowest)) if lowest is not None else counts.limit(0)
+
+
+_open: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables ``stored`` inside are deleted at the end, but for those to be kept: results must not read them."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            own = spark._jvm.org.apache.hadoop.fs.Path(path)
+            own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like ``cut``, as a compressed Parquet table in the shared folder: for wide or large intermediates."""
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Like ``cut``, as a compressed Parquet table in the shared folder; inside ``temporary`` it goes at the end, unless kept."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open and not keep:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

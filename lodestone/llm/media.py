@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jpeg
-from .common import small_batches
+from .common import slices
 
 #: Bytes of files decoded together (their coefficients take about three times as much memory).
 TOGETHER = 4 << 20
@@ -29,10 +29,9 @@ def payload_of(content: bytes) -> bytes:
 
 def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_bytes, media``: every whole text as a progressive JPEG."""
-    small_batches(docs.sparkSession, 500)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             contents = [x.as_py() or b"" for x in batch.column(1)]
             media = [jpeg.encode_payload(payload_of(x)) for x in contents]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, contents), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
@@ -67,7 +66,6 @@ def decoded(files: list[bytes]) -> Iterator[tuple[jpeg.Image, np.ndarray, np.nda
 
 def decode_media(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
     """``key, height, width, tensor``: full-resolution RGB, three bytes a pixel in row order."""
-    small_batches(media.sparkSession, 500)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

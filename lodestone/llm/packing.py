@@ -1,7 +1,7 @@
 """Cost-balanced packing of tokenized documents into fixed-length sequences.
 
 A document's ids (and a closing id) are cut into full pieces, each a sequence by itself, and one shorter rest. The rests
-are dealt by document hash into pools of about ``POOL`` documents, which bounds a task however large the table is. In a
+are dealt by a hash of the row into pools of about ``POOL`` documents, which bounds a task however large the table is. In a
 pool, rests go in descending length to the open sequence with the lowest estimated attention cost (linear plus quadratic
 in piece length) that has room. Where none has room, the rest is cut to fill the roomiest sequences, so that a pool wastes
 less than one sequence of padding.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import part_of, parts_for, small_batches
+from .common import parts_for, slices
 from .tokens import unit_encoder
 
 CAPACITY = 1024
@@ -115,8 +115,6 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, i
 
 def pack_documents(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
-    spark = docs.sparkSession
-    small_batches(spark)
     pools = parts_for(docs.count(), POOL)
     end = np.array([end_id], dtype="<u4").tobytes()
     names = [c.split(" ")[0] for c in CUT.split(", ")][:-1]
@@ -124,7 +122,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, pattern: str, end_id: int =
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = unit_encoder(tokenizer, pattern)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             rows = []
             for d, t, pool in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 ids = encode(t or "") + end
@@ -148,5 +146,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, pattern: str, end_id: int =
             out.append((d, start + at, m, crc(ids[4 * at : 4 * (at + m)]), n, base + len(full) + s, offset))
         return pd.DataFrame(out, columns=[c.split(" ")[0] for c in PIECE.split(", ")])
 
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), part_of(doc_id, pools).alias("pool"))
+    # rows of one id or of one text spread over pools; a hash of the row gives the same pool when a task is run again
+    pool = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(pools)).cast("int")
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), pool.alias("pool"))
     return slim.mapInArrow(pieces, CUT).groupBy("pool").applyInPandas(fill, PIECE)

@@ -196,7 +196,8 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, label: str = "qualit
     n = own.count()
     if n > rows:
         own = own.filter(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < int(1_000_000 * rows / n))
-    chosen = docs.join(F.broadcast(own), docs[doc_id] == own["label_id"]).select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), "label")
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    chosen = slim.join(F.broadcast(own), slim["doc_id"] == own["label_id"]).select("doc_id", "text", "label")
     # the label rides along as a pair with the id
     stats = statistics(chosen.select(F.struct("doc_id", "label").alias("doc_id"), "text"))
     return stats.select("doc_id.doc_id", "doc_id.label", *[c for c in stats.columns if c != "doc_id"])
@@ -218,7 +219,7 @@ def judge(docs: DataFrame, rules: list[Rule], doc_id: str = "doc_id", text: str
 
 def kept_documents(docs: DataFrame, rules: list[Rule], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that the base rules and the list keep."""
-    row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc_id"), F.col(text).alias("text"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), F.col(text).alias("text"))
     # the partition id is not deterministic for the optimizer: it keeps the filter above the statistics, which are then computed once
     judged = judge(row, rules).select("doc_id", "kept", F.spark_partition_id().alias("part"))
     return judged.filter(F.col("kept") & (F.col("part") >= 0)).select("doc_id.*")

@@ -16,10 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import slices
 from .nn import Adam, Params, gru_backward, gru_forward, gru_step, init_gru, sigmoid
 
 LENGTH, STRIDE = 32, 16
@@ -28,8 +30,8 @@ POSITIVE, NEGATIVE, VOCABULARY = 800, 1200, 20_000
 WORD_DIMS, CHAR_DIMS, HIDDEN, ATTENTION = 8, 8, 8, 8
 BUCKETS = 1 << 13
 EPOCHS, MIN_STEPS, RATE, ROWS = 5, 200, 0.02, 128
-#: Windows scored together.
-WINDOWS = 8192
+#: Windows, and bytes of text, scored together.
+WINDOWS, TOGETHER = 8192, 1 << 20
 EDGES = b".,;:!?\"'()[]{}*#$%&|<>-_"
 
 
@@ -250,28 +252,36 @@ def fit(docs: DataFrame, labels: DataFrame, **kw) -> Model:
     return train([r[0] for r in rows], [r[1] for r in rows])
 
 
-def score_documents(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``doc_id, score`` for every row (and the columns in ``keep``); the model is bounded and travels with the task."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    sent = spark.sparkContext.broadcast(model)  # at most VOCABULARY words and BUCKETS trigram rows
-    names = keep or []
+def scorer(model: Model, docs: DataFrame):
+    """A function of a batch's texts that gives their scores, some texts at a time."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most VOCABULARY words and BUCKETS trigram rows
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+    def score(batch: pa.RecordBatch, column: int) -> pa.Array:
+        return pa.array([x for part in slices(batch, column, TOGETHER) for x in sent.value.scores([t.as_py() or b"" for t in part.column(column)])], pa.float64())
+
+    return score
+
+
+def score_documents(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, score`` for every row; the model is bounded and travels with the task."""
+    score = scorer(model, docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), score(batch, 1)], names=["doc_id", "score"])
+
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    return slim.mapInArrow(run, "doc_id long, score double")
+
+
+def kept_documents(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns as they are, whatever their names."""
+    score = scorer(model, docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            contents = [x.as_py() or b"" for x in batch.column(1)]
-            out, part, size = [], [], 0
-            for c in contents:
-                part.append(c)
-                size += len(c)
-                if size > 1 << 20:
-                    out += own.scores(part)
-                    part, size = [], 0
-            out += own.scores(part)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64()), *[batch.column(2 + i) for i in range(len(names))]], names=["doc_id", "score", *[f"kept_{i}" for i in range(len(names))]])
-
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(names)])
-    kinds = dict(slim.dtypes)
-    scored = slim.mapInArrow(score, "doc_id long, score double" + "".join(f", kept_{i} {kinds[f'kept_{i}']}" for i in range(len(names))))
-    return scored.select("doc_id", "score", *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(names)])
+            on = pc.less(score(batch, 1), threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(on)], names=["row"])
+
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).cast("binary").alias("text"))
+    return whole.mapInArrow(run, T.StructType([whole.schema["row"]])).select("row.*")
