@@ -3,7 +3,8 @@
 Every page scores its containers (text of the paragraphs in them, links counted against, half of it passed on to the
 container around). A container's path is the generalised chain of tags and classes that leads to it, digits left out. In
 Spark the pages of a host vote with their scores for paths; then each page is extracted again from its containers on the
-host's winning path, or from its own best one where it has none there. Boilerplate inside the winner is left out.
+host's winning path, or from its own best one where it has none there. Boilerplate inside the winner (``DROP_TAGS``,
+``DROP_NAMES``) is left out.
 
 Defined cases: null and empty html give an empty text; a null url is a host of its own, the empty name; broken markup is
 read as far as it goes, an unfinished tag at the end is dropped; repeated rows are extracted row by row; an empty table
@@ -12,19 +13,22 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, slices
 
-#: Hosts whose winners are broadcast; with more, they are joined by a shuffle.
-BROADCAST_HOSTS = 10_000
+#: Hosts whose winners are broadcast; with more, they are joined by a shuffle, each host's pages in so many parts.
+BROADCAST_HOSTS, PARTS = 10_000, 64
 
 MARKUP = re.compile(r"<!--(?:.*?--!?>|.*)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*$", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -35,13 +39,17 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt".split())
 CONTAINERS = frozenset("article main section div td body blockquote".split())
 PARAGRAPHS = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 li dd dt td th figcaption div article main section body".split())
-#: Elements and name parts of boilerplate.
+#: Elements that are never an article's text.
 DROP_TAGS = frozenset("nav footer aside form button select option menu dialog svg object applet audio video canvas head script style noscript template iframe textarea".split())
+#: Parts of class names and ids by which this operator knows boilerplate: anywhere, and only outside an article (inside one, a
+#: ``post-header`` holds the headline and a ``legal`` paragraph is text).
 DROP_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side aside widget comment comments disqus respond reply replies "
-    "cookie cookies consent gdpr notice notices notification alert popup modal overlay paywall subscribe subscription newsletter signup login menu nav navbar navigation breadcrumb breadcrumbs "
-    "pagination pager footer header masthead topbar toolbar share sharing social related recommended recommendations search form hidden sr-only skip copyright legal disclaimer".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar aside widget comment comments disqus respond reply replies "
+    "cookie cookies consent gdpr notice notices alert popup modal overlay paywall subscribe subscription newsletter menu nav navbar navigation breadcrumb breadcrumbs "
+    "pagination pager share sharing related recommended recommendations hidden sr-only".split()
 )
+OUTSIDE_NAMES = frozenset("banner side notification signup login footer header masthead topbar toolbar social search form skip copyright legal disclaimer".split())
+ARTICLE_NAMES = frozenset("article post entry story".split())
 LIKELY = frozenset("article content post entry story main body text page".split())
 WORD = re.compile(r"[a-z]+")
 
@@ -52,9 +60,16 @@ class Node:
     up: int
     names: str
     drop: bool
+    #: Number of its generalised path.
+    path: int = 0
+    #: Inside an article, by element or name.
+    article: bool = False
+    #: The nearest element that isn't inline, and whether a link lies between.
+    block: int = 0
+    linked: bool = False
+    #: The nearest container, the element itself included.
+    box: int = 0
     score: float = 0.0
-    link_chars: int = 0
-    chars: int = 0
 
 
 @dataclass
@@ -85,7 +100,29 @@ def is_boilerplate(tag: str, names: str, attrs: dict[str, str], in_article: bool
         return True
     if not names or tag in ("html", "body", "article", "main"):
         return tag == "article" and bool(name_parts(names) & {"comment", "comments", "reply", "ad", "related"})
-    return bool(name_parts(names) & DROP_NAMES)
+    parts = name_parts(names)
+    return bool(parts & DROP_NAMES) or (not in_article and bool(parts & OUTSIDE_NAMES))
+
+
+@functools.lru_cache(maxsize=10_000)
+def step_of(tag: str, names: str) -> str:
+    """A step of a generalised path: the tag and its sorted classes and id, digits left out."""
+    return ".".join([tag, *sorted({re.sub(r"\d+", "", x) for x in names.lower().split()} - {""})])
+
+
+def below(path: int, step: str) -> int:
+    """Number of the path that goes on from another one by a step."""
+    n = xxhash.xxh64_intdigest(f"{path}>{step}")
+    return n - (1 << 64) if n >> 63 else n
+
+
+def path_of(page: Page, i: int) -> str:
+    """The generalised path from the root down to a node."""
+    steps = []
+    while i > 0:
+        steps.append(step_of(page.nodes[i].tag, page.nodes[i].names))
+        i = page.nodes[i].up
+    return ">".join(reversed(steps))
 
 
 def parse(html: str) -> Page:
@@ -93,7 +130,13 @@ def parse(html: str) -> Page:
     page = Page()
     nodes, runs = page.nodes, page.runs
     stack = [0]
+    open_tags: Counter = Counter()
     at, end = 0, len(html)
+
+    def close(k: int) -> None:
+        open_tags.subtract(nodes[i].tag for i in stack[k:])
+        del stack[k:]
+
     while at < end:
         m = MARKUP.search(html, at)
         text = html[at : m.start()] if m else html[at:]
@@ -107,14 +150,15 @@ def parse(html: str) -> Page:
             continue
         tag = tag.lower()
         if closing:
-            if tag == "p" and not any(nodes[i].tag == "p" for i in stack):
-                runs.append((stack[-1], None))
+            if not open_tags[tag]:
+                if tag == "p":
+                    runs.append((stack[-1], None))
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if nodes[stack[k]].tag == tag:
                     if tag not in INLINE:
                         runs.append((stack[k], None))
-                    del stack[k:]
+                    close(k)
                     break
                 if tag in INLINE and nodes[stack[k]].tag not in INLINE:
                     break
@@ -123,7 +167,7 @@ def parse(html: str) -> Page:
             for k in range(len(stack) - 1, 0, -1):
                 own = nodes[stack[k]].tag
                 if own == "p" or (own == tag == "li") or (own in ("dd", "dt") and tag in ("dd", "dt")):
-                    del stack[k:]
+                    close(k)
                     break
                 if own not in INLINE:
                     break
@@ -131,39 +175,34 @@ def parse(html: str) -> Page:
             for k in range(len(stack) - 1, 0, -1):
                 own = nodes[stack[k]].tag
                 if own == tag or (tag in ("td", "th") and own in ("td", "th")):
-                    del stack[k:]
+                    close(k)
                     break
                 if own in ("table", "select") or (own == "tr" and tag != "tr"):
                     break
         attrs = attributes(raw) if raw else {}
         names = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
         up = stack[-1]
-        in_article = any(nodes[i].tag in ("article", "main") for i in stack)
+        above = nodes[up]
         if tag not in INLINE or tag == "br":
             runs.append((up, None))
         if tag in VOID:
             continue
-        nodes.append(Node(tag, up, names, nodes[up].drop or is_boilerplate(tag, names, attrs, in_article)))
+        own = len(nodes)
+        inline = tag in INLINE
+        nodes.append(Node(
+            tag, up, names, above.drop or is_boilerplate(tag, names, attrs, above.article), below(above.path, step_of(tag, names)), above.article or tag in ("article", "main") or bool(tag in CONTAINERS and names and name_parts(names) & ARTICLE_NAMES),
+            above.block if inline else own, (above.linked or tag == "a") if inline else False, own if tag in CONTAINERS else above.box,
+        ))
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = close.end() if close else end
+            found = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            at = found.end() if found else end
             continue
         if not raw or not raw.rstrip().endswith("/") or tag not in ("svg", "path", "use"):
-            stack.append(len(nodes) - 1)
+            stack.append(own)
+            open_tags[tag] += 1
     return page
 
 
-def path_of(page: Page, i: int) -> str:
-    """Tags and sorted classes from the root down, digits left out."""
-    steps = []
-    while i > 0:
-        n = page.nodes[i]
-        names = sorted({re.sub(r"\d+", "", x) for x in n.names.lower().split()} - {""})
-        steps.append(".".join([n.tag, *names]))
-        i = n.up
-    return ">".join(reversed(steps))
-
-
 def score(page: Page) -> dict[int, float]:
     """Score of each container outside boilerplate."""
     nodes = page.nodes
@@ -171,21 +210,14 @@ def score(page: Page) -> dict[int, float]:
         if text is None or nodes[i].drop:
             continue
         n = len(text.strip())
-        j, link = i, False
-        while j > 0 and nodes[j].tag in INLINE:
-            link |= nodes[j].tag == "a"
-            j = nodes[j].up
+        j = nodes[i].block
         if nodes[j].tag in PARAGRAPHS and n:
-            holder = j if nodes[j].tag in CONTAINERS else nodes[j].up
-            while holder > 0 and nodes[holder].tag not in CONTAINERS:
-                holder = nodes[holder].up
-            gain = -float(n) if link else float(n)
+            holder, gain = nodes[j].box, -float(n) if nodes[i].linked else float(n)
             share = 1.0
             while holder > 0 and share > 0.01:
-                if nodes[holder].tag in CONTAINERS:
-                    nodes[holder].score += gain * share
-                    share /= 2
-                holder = nodes[holder].up
+                nodes[holder].score += gain * share
+                share /= 2
+                holder = nodes[nodes[holder].up].box
     out = {}
     for i, n in enumerate(nodes):
         if n.score > 0 and not n.drop:
@@ -212,26 +244,26 @@ def text_of(page: Page, roots: set[int]) -> str:
     return " ".join(out)
 
 
-def votes(html: str) -> list[tuple[str, float]]:
-    """This page's paths with their scores; equal paths add up."""
+def votes(html: str) -> list[tuple[int, float]]:
+    """This page's paths, by number, with their scores; equal paths add up."""
     page = parse(html)
-    total: dict[str, float] = {}
+    total: dict[int, float] = {}
     for i, s in score(page).items():
-        p = path_of(page, i)
+        p = page.nodes[i].path
         total[p] = total.get(p, 0.0) + s
     best = max(total.values(), default=0.0)
     return [(p, s / best) for p, s in total.items()] if best > 0 else []
 
 
-def extract(html: str, path: str | None) -> str:
+def extract(html: str, path: int | None) -> tuple[str, str | None]:
+    """(main text, generalised path of the container it is from)."""
     page = parse(html)
-    scored = score(page)
-    roots = {i for i, n in enumerate(page.nodes) if n.tag in CONTAINERS and not n.drop and path_of(page, i) == path} if path else set()
-    if not roots and scored:
+    roots = {i for i, n in enumerate(page.nodes) if n.path == path and n.tag in CONTAINERS and not n.drop} if path is not None else set()
+    if not roots and (scored := score(page)):
         roots = {max(scored, key=lambda i: (scored[i], -i))}
     if not roots and not any(n.tag in ("html", "body") for n in page.nodes):
         roots = {0}
-    return text_of(page, roots)
+    return text_of(page, roots), path_of(page, min(roots)) if roots else None
 
 
 def host_of(url):
@@ -240,35 +272,37 @@ def host_of(url):
 
 
 def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``host, path``: the path with most votes of each host (first by name on ties)."""
-    small_batches(pages.sparkSession, 200)
+    """``host, path``: the number of the path with most votes of each host (the smallest on ties)."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total: dict[tuple[str, str], list[float]] = {}
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            total: Counter = Counter()
             for host, h in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for path, s in votes(h.as_py() or ""):
-                    total.setdefault((host, path), []).append(s)
-            rows = [(h, p, round(sum(s) * 1e6)) for (h, p), s in total.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["host", "path", "votes"])
+                    total[host, path] += round(s * 1e6)  # whole numbers: the sum doesn't depend on how rows are batched
+            rows = [(h, p, n) for (h, p), n in total.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["host", "path", "votes"])
 
-    counted = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(vote, "host string, path string, votes long")
+    counted = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(vote, "host string, path long, votes long")
     paths = counted.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     return paths.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), F.col("path"))).alias("path"))
 
 
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """``page_id, url, path, text`` for every page; ``path`` is its host's winner."""
+    """``page_id, url, path, text`` for every page; ``path`` is the generalised path of the container the text is from."""
     winners = cut(host_paths(pages, url, html))
-    small = winners.count() <= BROADCAST_HOSTS
     side = winners.select(F.col("host").alias("of_host"), "path")
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
-    joined = rows.join(F.broadcast(side) if small else side, rows["host"] == side["of_host"], "left")
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"), F.pmod(F.xxhash64(url, html), F.lit(PARTS)).alias("part"))
+    if winners.count() <= BROADCAST_HOSTS:
+        joined = rows.join(F.broadcast(side), rows["host"] == side["of_host"], "left")
+    else:  # a host's row goes to each part of its pages
+        each = side.withColumn("of_part", F.explode(F.array(*[F.lit(i).cast("long") for i in range(PARTS)])))
+        joined = rows.join(each, (rows["host"] == each["of_host"]) & (rows["part"] == each["of_part"]), "left")
     kind = dict(rows.dtypes)["page_id"]
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [extract(h.as_py() or "", p) for h, p in zip(batch.column(2), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(texts, pa.string())], names=["page_id", "url", "path", "text"])
+        for batch in (part for whole in batches for part in slices(whole, 2)):
+            found = [extract(h.as_py() or "", p) for h, p in zip(batch.column(2), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p for _, p in found], pa.string()), pa.array([t for t, _ in found], pa.string())], names=["page_id", "url", "path", "text"])
 
     return joined.select("page_id", "url", "html", "path").mapInArrow(again, f"page_id {kind}, url string, path string, text string")
