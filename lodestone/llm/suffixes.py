@@ -15,8 +15,9 @@ all data:
 A stretch that thousands of documents share is one row per block, whatever the number of copies. Hash collisions only add
 candidates; the suffix array compares the bytes themselves.
 
-Defined cases: null and empty texts have nothing to remove; rows that repeat a ``doc_id`` don't remove from one another; an
-empty table gives no rows; extra columns ride along unchanged.
+Defined cases: null and empty texts have nothing to remove; rows that repeat a ``doc_id`` don't remove from one another;
+rows without an id come after all others and are one document in this respect; a character of which a part is removed goes
+whole from ``text``; an empty table gives no rows; the whole row rides along unchanged, whatever its columns are called.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import part_of, parts_for, small_batches, text_bytes
+from .common import parts_for, slices, text_bytes
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text in a block, anchors in a hash bucket, bytes hashed together, hashes held by a scanning task.
@@ -183,18 +184,19 @@ def maximal_repeats(strings: list[bytes], length: int = LENGTH) -> Iterator[tupl
 
 
 def smallest_documents(strings: list[bytes], low: list[int], high: list[int], length: int = LENGTH) -> Iterator[tuple[int, int, int, int]]:
-    """(string, start, end, smallest document) of stretches that some holder of the string has from a smaller document.
+    """(string, start, end, smallest document) of every maximal repeat in a string that is in a larger document too.
 
-    ``low`` and ``high``: the smallest and largest document that hold each (distinct) string.
+    ``low`` and ``high``: the smallest and largest document that hold each (distinct) string. A string that several
+    documents hold stands there twice, for its first holder and for the others, so that its copies are a repeat like any.
     """
-    for i, (a, b) in enumerate(zip(low, high)):
-        if a < b:
-            yield i, 0, len(strings[i]), a
-    for common, found in maximal_repeats(strings, length):
-        least = min(low[s] for s, _ in found)
+    n = len(strings)
+    again = [i for i in range(n) if low[i] < high[i]]
+    holder = low + [high[i] for i in again]
+    for common, found in maximal_repeats(strings + [strings[i] for i in again], length):
+        least = min(holder[s] for s, _ in found)
         for s, at in found:
-            if least < high[s] and least < low[s]:
-                yield s, at, at + common, least
+            if least < holder[s] and (s >= n or low[s] == high[s]):
+                yield s if s < n else again[s - n], at, at + common, least
 
 
 def squeeze(content: bytes) -> bytes:
@@ -225,15 +227,18 @@ def spans_of(docs: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
 
 SHARED = "block int, bucket int, hashes binary"
 FOUND = "part int, block int, own binary, sizes binary, bytes binary, low binary, high binary"
+FOUND_SCHEMA = pa.schema([(c.split(" ")[0], pa.int32() if c.endswith(" int") else pa.binary()) for c in FOUND.split(", ")])
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``doc_id, content binary, n_removed, n_spans`` (and the columns in ``keep``) for every row.
+NO_ID = np.iinfo(np.int64).max
 
-    ``content`` holds the bytes that stay.
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``row`` (the row's other columns as they are), ``content binary`` (the bytes that stay), ``text``, ``n_removed``, ``n_spans``
+    for every row.
+
+    ``text`` is ``content`` as a string, without characters that were cut in two; null for a null text.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     total = text_bytes(docs, text)
     blocks = parts_for(total, BLOCK_BYTES)
     bits = max(0, (parts_for(total // 13, BUCKET_ANCHORS) - 1).bit_length())
@@ -241,11 +246,11 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id:
     shift = np.uint64(32 - bits)
     short = lambda h: h >> shift  # noqa: E731  the bucket's bits and 32 more
 
-    names = list(keep or [])
-    rest = F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])) if names else F.lit(None).cast("string")
+    # rows of one id spread over blocks, as long as their texts differ
+    block = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(blocks)).cast("int")
     rows = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("content"),
-        part_of(doc_id, blocks).alias("block"), rest.alias("rest"),
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(int(NO_ID))).alias("id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("content"), block.alias("block"),
+        F.struct(F.col(text).isNull().alias("null"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text]).alias("row"),
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,14 +262,14 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id:
             out = []
             for block, parts in held.items():
                 values, counts = np.unique(np.concatenate(parts), return_counts=True)
-                edges = np.searchsorted(values, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(32)) if bits else []
-                for x, n in zip(np.split(values, edges), np.split(counts, edges)):
-                    if len(x):
-                        out.append((int(x[0] >> np.uint64(32)), block, x.astype(np.uint32).tobytes(), np.packbits(n > 1).tobytes()))
+                high = values >> np.uint64(32)
+                edges = [0, *(np.flatnonzero(high[1:] != high[:-1]) + 1).tolist(), len(values)]  # buckets that are there, not all there are
+                for a, b in zip(edges, edges[1:]):
+                    out.append((int(high[a]), block, values[a:b].astype(np.uint32).tobytes(), np.packbits(counts[a:b] > 1).tobytes()))
             columns = list(zip(*out)) or [()] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "block", "hashes", "twice"])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             contents = [x.as_py() for x in batch.column(1)]
             block_ids = batch.column(2).to_numpy()
             ids = batch.column(0).to_pylist()
@@ -303,15 +308,19 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id:
                 out.append((block, bucket[0], x.tobytes()))
         return pd.DataFrame(out, columns=["block", "bucket", "hashes"])
 
-    def order_rows(left: pd.DataFrame) -> pd.DataFrame:
-        return left.sort_values(["doc_id", "content"], kind="stable").reset_index(drop=True)
-
-    def stretches(key: tuple[int], left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = [c.split(" ")[0] for c in FOUND.split(", ")]
-        if not len(left) or not len(right):
-            return pd.DataFrame([], columns=columns)
-        left = order_rows(left)
-        contents, ids = left["content"].tolist(), left["doc_id"].fillna(0).astype("int64").tolist()
+    def in_order(left: pa.Table) -> tuple[np.ndarray, list[bytes], pa.Array]:
+        """Ids and contents of a block's rows by id and content, the same in both passes, and their places in the table."""
+        ids, contents = left.column("id").to_numpy(), left.column("content").to_pylist()
+        order = sorted(range(len(contents)), key=lambda i: (ids[i], contents[i]))
+        return ids[order], [contents[i] for i in order], pa.array(order, pa.int64())
+
+    def stretches(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        own_block = key[0].as_py()
+        right = right.to_pydict()
+        if not left.num_rows or not right["block"]:
+            return FOUND_SCHEMA.empty_table()
+        numbers, contents, _ = in_order(left)
+        ids = numbers.tolist()
         often = np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint32).astype(np.uint64) | np.uint64(b << 32) for b, x in zip(right["bucket"], right["hashes"])]))
         index: dict[bytes, int] = {}
         low: list[int] = []
@@ -336,19 +345,19 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id:
                 where[1].append(x)
                 where[2].append(i)
         if not index:
-            return pd.DataFrame([], columns=columns)
+            return FOUND_SCHEMA.empty_table()
         own = packed(*[np.array(c, dtype=np.int64) for c in where])
         strings = list(index)
         by = np.argsort(np.array(part), kind="stable")
-        in_order = np.array(part)[by]
-        out = [(-1 - key[0], key[0], own, None, None, None, None)]  # goes past the search, to its own block
-        for group in np.split(by, np.flatnonzero(in_order[1:] != in_order[:-1]) + 1):
+        place = np.array(part)[by]
+        out = [(-1 - own_block, own_block, own, None, None, None, None)]  # goes past the search, to its own block
+        for group in np.split(by, np.flatnonzero(place[1:] != place[:-1]) + 1):
             rows_of = group.tolist()
             out.append((
-                part[rows_of[0]], key[0], packed(np.array(rows_of, dtype=np.int64)), packed(np.array([len(strings[i]) for i in rows_of], dtype=np.uint16)), squeeze(b"".join([strings[i] for i in rows_of])),
+                part[rows_of[0]], own_block, packed(np.array(rows_of, dtype=np.int64)), packed(np.array([len(strings[i]) for i in rows_of], dtype=np.uint16)), squeeze(b"".join([strings[i] for i in rows_of])),
                 packed(np.array([low[i] for i in rows_of], dtype=np.int64)), packed(np.array([high[i] for i in rows_of], dtype=np.int64)),
             ))
-        return pd.DataFrame(out, columns=columns)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), FOUND_SCHEMA)], schema=FOUND_SCHEMA)
 
     def resolve(key: tuple[int], part: pd.DataFrame) -> pd.DataFrame:
         columns = ["block", "answer", "own"]
@@ -386,10 +395,9 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id:
                 out.append((block, packed(np.repeat(own, n), rows_of[:, 1], rows_of[:, 2], rows_of[:, 3]), None))
         return pd.DataFrame(out, columns=columns)
 
-    def remove(key: tuple[int], left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = order_rows(left)
-        ids = left["doc_id"].fillna(0).astype("int64").to_numpy()
-        contents = left["content"].tolist()
+    def remove(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, contents, order = in_order(left)
+        right = right.to_pydict()
         gone: dict[int, list[tuple[int, int]]] = {}
         answers = [unpacked(x, columns=4) for x in right["answer"] if x is not None]
         owns = [unpacked(x, columns=3) for x in right["own"] if x is not None]
@@ -405,38 +413,49 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id:
             on = least < ids[doc]
             for d, s, e in zip(*(x.tolist() for x in spans_of(doc[on], at[on] + start[on], at[on] + end[on]))):
                 gone.setdefault(d, []).append((s, e))
-        kept, removed, count = [], [], []
+        kept, text_of, removed, count = [], [], [], []
         for d, content in enumerate(contents):
             spans = gone.get(d, [])
             at, parts = 0, []
             for s, e in spans:
                 parts.append(content[at:s])
                 at = e
-            kept.append(b"".join([*parts, content[at:]]) if spans else content)
+            parts.append(content[at:])
+            kept.append(b"".join(parts))
+            # part by part, so that halves of two characters don't make a third
+            text_of.append("".join(x.decode("utf-8", "ignore") for x in parts) if spans else content.decode("utf-8", "replace"))
             removed.append(sum(e - s for s, e in spans))
             count.append(len(spans))
-        return pd.DataFrame({"doc_id": left["doc_id"], "content": kept, "n_removed": removed, "n_spans": count, "rest": left["rest"]})
+        row = left.column("row").combine_chunks().take(order)
+        text_of = [None if none else t for none, t in zip(row.field("null").to_pylist(), text_of)]
+        return pa.Table.from_arrays([row, pa.array(kept, pa.binary()), pa.array(text_of, pa.string()), pa.array(removed, pa.int64()), pa.array(count, pa.int64())], names=["row", "content", "text", "n_removed", "n_spans"])
 
-    hashes = rows.select("doc_id", "content", "block").mapInArrow(scan, "bucket int, block int, hashes binary, twice binary")
+    hashes = rows.select("id", "content", "block").mapInArrow(scan, "bucket int, block int, hashes binary, twice binary")
     often = hashes.groupBy("bucket").applyInPandas(shared, SHARED)
     by_block = rows.groupBy("block")
     # one plan from here on: both cogroups read the same exchange of the texts, which is written once
-    found = by_block.cogroup(often.groupBy("block")).applyInPandas(stretches, FOUND)
+    found = by_block.cogroup(often.groupBy("block")).applyInArrow(stretches, FOUND)
     back = found.groupBy("part").applyInPandas(resolve, "block int, answer binary, own binary")
-    out = by_block.cogroup(back.groupBy("block")).applyInPandas(remove, "doc_id long, content binary, n_removed long, n_spans long, rest string")
-    if not names:
-        return out.drop("rest")
-    kinds = dict((f.name, f.dataType) for f in docs.schema.fields)
-    shape = T.StructType([T.StructField(f"c{i}", kinds[c]) for i, c in enumerate(names)])
-    parsed = out.withColumn("rest", F.from_json("rest", shape))
-    return parsed.select("doc_id", "content", "n_removed", "n_spans", *[F.col(f"rest.c{i}").alias(c) for i, c in enumerate(names)])
+    shape = T.StructType([rows.schema["row"], *T.StructType.fromDDL("content binary, text string, n_removed long, n_spans long").fields])
+    out = by_block.cogroup(back.groupBy("block")).applyInArrow(remove, shape)
+    others = F.struct(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns) if c != text]) if len(docs.columns) > 1 else F.struct()
+    return out.select(others.alias("row"), "content", "text", "n_removed", "n_spans")
+
+
+def cleaned_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:
+    """The rows of ``docs``, all columns, their texts without what an earlier document has; ``size``, where there is such a
+    column, counts the characters that stay. Rows of which nothing is removed stay as they are, null texts too."""
+    out = cut_repeats(docs, doc_id=doc_id, text=text)
+    own = lambda c: F.col("row")[c]
+    count = lambda c: F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(own(c))
+    return out.select(*[F.col("text").alias(c) if c == text else count(c).alias(c) if c == size else own(c).alias(c) for c in docs.columns])
 
 
-def digest(docs: DataFrame, **kw) -> DataFrame:
+def digest(docs: DataFrame, doc_id: str = "doc_id", **kw) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``."""
-    out = cut_repeats(docs, **kw)
+    out = cut_repeats(docs, doc_id=doc_id, **kw)
     size = F.octet_length("content").cast("long")
-    return out.select("doc_id", (size + F.col("n_removed")).alias("n_bytes"), "n_removed", "n_spans", F.sha2("content", 256).alias("kept_sha256"))
+    return out.select(F.col("row")[doc_id].cast("long").alias("doc_id"), (size + F.col("n_removed")).alias("n_bytes"), "n_removed", "n_spans", F.sha2("content", 256).alias("kept_sha256"))
 
 
 def brute_force(rows: list[tuple[int, bytes]], length: int = LENGTH) -> list[tuple[int, int, int, int, str]]:
