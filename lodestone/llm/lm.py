@@ -1,17 +1,21 @@
 """Log-likelihood of whole documents under a gated recurrent language model with a class-factored softmax.
 
-Word counts over all training documents come first (one row per word and task, then one per word). The ``KNOWN`` most
-frequent words are factored into classes of like frequency, with a softmax inside each class; every other word, known or
-not, falls into one of ``TAILS`` classes by its first two bytes and shares that class's smoothed count distribution. Biases
-start from the counts of the whole corpus; the recurrent weights are fitted on the driver by truncated backpropagation over
-at most ``TRAIN_DOCS`` training documents (by a hash of their id). Scoring carries the state from window to window, so a
-document's every token is conditioned on all before it.
-
-Counts of the ``HEAD`` most frequent words travel with the tasks (a fixed bound); a document's rarer words, none of them
-frequent enough to be a hot key, are joined with the count table and summed per document.
-
-Defined cases: null and empty texts are the end token alone; repeated rows are scored row by row; an empty table gives no
-rows; with nothing to learn from, all counts are zero and the model is the base; other columns are ignored.
+Word counts over all training documents come first (one row per word and task, then one per word). The most frequent words,
+the square root of the vocabulary in number (``KNOWN`` are the bounds), are factored into classes of like frequency, with a
+softmax inside each class; every other word, known or not, falls into one of ``TAILS`` classes by its first two bytes and
+shares that class's smoothed count distribution. Biases start from the counts of the whole corpus.
+
+The recurrent weights are learned from every training document by truncated backpropagation: a short fit on about ``START``
+documents gives all tasks the same beginning, each task goes on from there over all of its documents, and the tasks'
+weights are averaged by tokens. Scoring carries the state from window to window, so a document's every token is conditioned
+on all before it.
+
+Counts of at most ``HEAD`` most frequent words travel with the tasks; a document's rarer words, none of them frequent enough
+to be a hot key, are joined with the count table and summed per document.
+
+Defined cases: null and empty texts are the end token alone; rows without an id are training documents; repeated rows are
+learned from and scored row by row; an empty table gives no rows; with nothing to learn from, all counts are zero and the
+model is the base; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,16 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import most_frequent, stored
 from .nn import Adam, Params, gru_backward, gru_forward, gru_step, init_gru
 
 ADD = 0.1
 END = b""
-#: Words with an output of their own, words in a class, classes for all others, words whose counts travel with the tasks.
-KNOWN, CLASS_SIZE, TAILS, HEAD = 2000, 45, 64, 100_000
+#: Fewest and most words with an output of their own, classes for all others, words whose counts travel with the tasks.
+KNOWN, TAILS, HEAD = (256, 16_384), 64, 100_000
 EMBED, HIDDEN = 16, 16
-TRAIN_DOCS, EPOCHS, RATE, WINDOW, BATCH = 800, 2, 0.015, 32, 64
-#: Distinct words that a counting task holds, and tokens scored together.
+#: Documents (about) that the common beginning is learned from, and its passes over them.
+START, START_EPOCHS = 200, 2
+#: Learning rates of the beginning and of all documents; tokens of a window, of what is learned from with one state, rows of a batch.
+RATE, RATE_ALL, WINDOW, SEGMENT, BATCH = 0.015, 0.006, 32, 512, 256
+#: Rows that the tasks' weights are summed in, on their way to the driver.
+SUMS = 16
+#: Distinct words that a counting task holds, and tokens learned from or scored together.
 HELD, TOGETHER = 400_000, 1_500_000
 
 
@@ -54,9 +63,11 @@ def tail_column(word):
     return (byte(1) * 31 + byte(2)) % TAILS
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
 @dataclass
@@ -66,6 +77,7 @@ class Model:
     known: dict[bytes, int]
     classes: np.ndarray  # first word of each class, and the end
     params: Params
+    _table: np.ndarray | None = None
 
     def number(self, word: bytes) -> int:
         got = self.known.get(word)
@@ -75,24 +87,34 @@ class Model:
     def start(self) -> int:
         return len(self.known) + TAILS
 
+    def class_table(self) -> np.ndarray:
+        """Class of each number: those of the known words in order, then a class for each tail."""
+        if self._table is None:
+            sizes = np.diff(self.classes)
+            self._table = np.concatenate((np.repeat(np.arange(len(sizes)), sizes), len(sizes) + np.arange(TAILS))).astype(np.int32)
+        return self._table
+
     def class_of(self, targets: np.ndarray) -> np.ndarray:
-        k, c = len(self.known), len(self.classes) - 1
-        return np.where(targets < k, np.searchsorted(self.classes, targets, side="right") - 1, targets - k + c)
+        return self.class_table()[targets]
 
     def log_likelihood(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log of p(class), times p(word | class) for known words."""
         p = self.params
         own = self.class_of(targets)
-        logits = states @ p["class.W"] + p["class.b"]
-        out = logits[np.arange(len(own)), own] - np.log(np.exp(logits).sum(axis=1))
+        logits = states @ p["class.W"]
+        logits += p["class.b"]
+        out = logits[np.arange(len(own)), own]
+        out -= np.log(np.exp(logits, out=logits).sum(axis=1))
         order = np.argsort(own, kind="stable")
         edges = np.searchsorted(own[order], np.arange(len(self.classes)))
         for c in range(len(self.classes) - 1):
             rows = order[edges[c] : edges[c + 1]]
             if len(rows):
                 a, b = self.classes[c], self.classes[c + 1]
-                inner = states[rows] @ p["word.W"][a:b].T + p["word.b"][a:b]
-                out[rows] += inner[np.arange(len(rows)), targets[rows] - a] - np.log(np.exp(inner).sum(axis=1))
+                inner = states[rows] @ p["word.W"][a:b].T
+                inner += p["word.b"][a:b]
+                hit = inner[np.arange(len(rows)), targets[rows] - a]
+                out[rows] += hit - np.log(np.exp(inner, out=inner).sum(axis=1))
         return out
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -133,7 +155,7 @@ def init(words: list[tuple[bytes, int]], tails: np.ndarray, seed: int = 5) -> Mo
     """A model with corpus counts for biases; ``words``: known words in order with counts, ``tails``: counts of tail classes."""
     rng = np.random.default_rng(seed)
     known = {w: i for i, (w, _) in enumerate(words)}
-    edges = [*range(0, len(words), CLASS_SIZE), len(words)]
+    edges = [*range(0, len(words), max(1, math.isqrt(len(words)))), len(words)]
     classes = np.array(sorted(set(edges)), dtype=np.int64)
     counts = np.array([c for _, c in words], dtype=np.float64)
     per_class = [counts[a:b].sum() for a, b in zip(classes, classes[1:])]
@@ -147,66 +169,83 @@ def init(words: list[tuple[bytes, int]], tails: np.ndarray, seed: int = 5) -> Mo
     return Model(known, classes, params)
 
 
-def train(model: Model, texts: list[np.ndarray], epochs: int = EPOCHS, rate: float = RATE, seed: int = 11) -> Model:
-    """Truncated backpropagation: windows in order, the state carried over, the gradient not."""
-    p = model.params
-    texts = sorted((t for t in texts if len(t)), key=lambda t: (len(t), t[:8].tolist()))
-    if not texts:
-        return model
-    rng = np.random.default_rng(seed)
-    adam = Adam(p, rate)
+def segments(texts: list[np.ndarray]) -> list[np.ndarray]:
+    """(inputs, targets) of runs of at most ``SEGMENT`` tokens, the longest first."""
+    runs = [np.stack((np.concatenate(([-1], t[:-1])), t))[:, a : a + SEGMENT] for t in texts for a in range(0, len(t), SEGMENT)]
+    return sorted(runs, key=lambda r: -r.shape[1])
+
+
+def summed(rows: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the rows that belong to each of n numbers."""
+    order = np.argsort(of, kind="stable")
+    sorted_of = of[order]
+    first = np.flatnonzero(np.append(True, sorted_of[1:] != sorted_of[:-1]))
+    out = np.zeros((n, rows.shape[1]), dtype=rows.dtype)
+    out[sorted_of[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
+def gradients(model: Model, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[Params, np.ndarray]:
+    """Gradients of the mean log loss over one window of inputs and targets (steps by rows, -1: none), and the last state."""
+    p, grads = model.params, {}
     n_classes = len(model.classes) - 1
-    batches = [texts[a : a + BATCH] for a in range(0, len(texts), BATCH)]
-    for epoch in range(epochs):
-        adam.rate = rate * (1 - 0.7 * epoch / max(1, epochs - 1))
-        for b in rng.permutation(len(batches)).tolist():
-            own = batches[b]
-            h = np.zeros((len(own), HIDDEN), dtype=np.float32)
-            for a in range(0, max(map(len, own)), WINDOW):
-                span = min(WINDOW, max(map(len, own)) - a)
-                x, y = np.full((span, len(own)), model.start), np.full((span, len(own)), -1)
-                for j, t in enumerate(own):
-                    part = t[a : a + span]
-                    y[: len(part), j] = part
-                    head = t[a - 1 : a - 1 + span] if a else np.concatenate(([model.start], t[: span - 1]))
-                    x[: len(head), j] = head
-                mask = (y >= 0).astype(np.float32)
-                used, inverse = np.unique(x, return_inverse=True)
-                inverse = inverse.reshape(x.shape)
-                e = p["embed"][used]
-                gates = e @ p["gru.W"] + p["gru.b"]
-                states, kept = gru_forward(gates[inverse], h, p["gru.U"], mask)
-                h = states[-1].copy()
-                flat, target = states.reshape(-1, HIDDEN), y.ravel()
-                on = np.flatnonzero(target >= 0)
-                s, target = flat[on], target[on]
-                scale = np.float32(1 / len(on))
-                grads: Params = {}
-                own_class = model.class_of(target)
-                d = np.exp(log_softmax(s @ p["class.W"] + p["class.b"]))
-                d[np.arange(len(on)), own_class] -= 1
-                d *= scale
-                grads["class.W"], grads["class.b"] = s.T @ d, d.sum(axis=0)
-                d_s = d @ p["class.W"].T
-                grads["word.W"], grads["word.b"] = np.zeros_like(p["word.W"]), np.zeros_like(p["word.b"])
-                for c in np.unique(own_class[own_class < n_classes]).tolist():
-                    rows = np.flatnonzero(own_class == c)
-                    lo, hi = model.classes[c], model.classes[c + 1]
-                    d = np.exp(log_softmax(s[rows] @ p["word.W"][lo:hi].T + p["word.b"][lo:hi]))
-                    d[np.arange(len(rows)), target[rows] - lo] -= 1
-                    d *= scale
-                    grads["word.W"][lo:hi], grads["word.b"][lo:hi] = d.T @ s[rows], d.sum(axis=0)
-                    d_s[rows] += d @ p["word.W"][lo:hi]
-                d_states = np.zeros_like(flat)
-                d_states[on] = d_s
-                d_gx, grads["gru.U"] = gru_backward(d_states.reshape(states.shape), kept, p["gru.U"])
-                d_gates = np.zeros((len(used), 3 * HIDDEN), dtype=np.float32)
-                np.add.at(d_gates, inverse.ravel(), d_gx.reshape(-1, 3 * HIDDEN))
-                grads["gru.W"], grads["gru.b"] = e.T @ d_gates, d_gates.sum(axis=0)
-                grads["embed"] = np.zeros_like(p["embed"])
-                grads["embed"][used] = d_gates @ p["gru.W"].T
-                adam.step(grads, clip=1.0)
-    return model
+    valid = y >= 0
+    mask = None if valid.all() else valid.astype(np.float32)
+    used, inverse = np.unique(x, return_inverse=True)
+    inverse = inverse.reshape(x.shape)
+    e = p["embed"][used]
+    states, kept = gru_forward((e @ p["gru.W"] + p["gru.b"])[inverse], h, p["gru.U"], mask)
+    flat, target = states.reshape(-1, HIDDEN), y.ravel()
+    on = np.flatnonzero(valid.ravel())
+    own_class = model.class_table()[target[on]]
+    order = np.argsort(own_class, kind="stable")
+    on, own_class = on[order], own_class[order]
+    s, target = flat[on], target[on]
+    scale = np.float32(1 / max(1, len(on)))
+    d = softmax(s @ p["class.W"] + p["class.b"])
+    d[np.arange(len(on)), own_class] -= 1
+    d *= scale
+    grads["class.W"], grads["class.b"] = s.T @ d, d.sum(axis=0)
+    d_s = d @ p["class.W"].T
+    grads["word.W"], grads["word.b"] = np.zeros_like(p["word.W"]), np.zeros_like(p["word.b"])
+    edges = np.searchsorted(own_class, np.arange(n_classes + 1))
+    for c in np.flatnonzero(np.diff(edges)).tolist():
+        a, b, lo, hi = edges[c], edges[c + 1], model.classes[c], model.classes[c + 1]
+        d = softmax(s[a:b] @ p["word.W"][lo:hi].T + p["word.b"][lo:hi])
+        d[np.arange(b - a), target[a:b] - lo] -= 1
+        d *= scale
+        grads["word.W"][lo:hi], grads["word.b"][lo:hi] = d.T @ s[a:b], d.sum(axis=0)
+        d_s[a:b] += d @ p["word.W"][lo:hi]
+    d_states = np.empty_like(flat) if mask is None else np.zeros_like(flat)
+    d_states[on] = d_s
+    d_gx, grads["gru.U"] = gru_backward(d_states.reshape(states.shape), kept, p["gru.U"])
+    d_gates = summed(d_gx.reshape(-1, 3 * HIDDEN), inverse.ravel(), len(used))
+    grads["gru.W"], grads["gru.b"] = e.T @ d_gates, d_gates.sum(axis=0)
+    grads["embed"] = np.zeros_like(p["embed"])
+    grads["embed"][used] = d_gates @ p["gru.W"].T
+    return grads, states[-1]
+
+
+def train(model: Model, texts: list[np.ndarray], adam: Adam, seed: int = 11) -> int:
+    """One pass of truncated backpropagation over texts: windows in order, the state carried over, the gradient not.
+
+    Texts of more than ``SEGMENT`` tokens are learned from in runs of so many, side by side, each from an empty state.
+    """
+    runs = segments([t for t in texts if len(t)])
+    batches = [runs[a : a + BATCH] for a in range(0, len(runs), BATCH)]
+    for b in np.random.default_rng(seed).permutation(len(batches)).tolist():
+        own = batches[b]
+        longest = own[0].shape[1]
+        xy = np.full((2, longest, len(own)), -1, dtype=np.int64)
+        for j, r in enumerate(own):
+            xy[:, : r.shape[1], j] = r
+        xy[0][xy[0] < 0] = model.start
+        h = np.zeros((len(own), HIDDEN), dtype=np.float32)
+        for a in range(0, longest, WINDOW):
+            live = int((xy[1, a] >= 0).sum())  # the longest come first
+            grads, h = gradients(model, xy[0, a : a + WINDOW, :live], xy[1, a : a + WINDOW, :live], h[:live])
+            adam.step(grads, clip=1.0)
+    return sum(map(len, texts))
 
 
 def held_out(doc_id, parts: int = 10):
@@ -244,13 +283,66 @@ class Corpus:
     model: Model
 
 
-def learn(docs: DataFrame, train_docs: DataFrame, counts: DataFrame) -> Corpus:
+def numbers_of(model: Model, content: bytes) -> np.ndarray:
+    known, none = model.known.get, len(model.known)
+    words = words_of(content)
+    words.append(END)
+    return np.array([none + tail_of(w) if (i := known(w)) is None else i for w in words], dtype=np.int64)
+
+
+def packed_weights(tokens: int, params: Params) -> pa.RecordBatch:
+    flat = np.concatenate([params[k].ravel().astype(np.float64) * tokens for k in sorted(params)])
+    return pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["tokens", "weights"])
+
+
+def fit(train_docs: DataFrame, model: Model) -> Model:
+    """The model, its weights learned from every document of ``text binary``: each task from the same beginning, then averaged."""
+    sent = train_docs.sparkSession.sparkContext.broadcast(model)  # at most KNOWN words
+
+    def learn_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(sent.value.known, sent.value.classes, {k: v.copy() for k, v in sent.value.params.items()})
+        adam = Adam(own.params, RATE_ALL)
+        texts, size, tokens = [], 0, 0
+        for batch in batches:
+            for x in batch.column(0):
+                texts.append(numbers_of(own, x.as_py() or b""))
+                size += len(texts[-1])
+                if size > TOGETHER:
+                    tokens += train(own, texts, adam)
+                    texts, size = [], 0
+        tokens += train(own, texts, adam)
+        if tokens:
+            yield packed_weights(tokens, own.params)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, total = 0, None
+        for batch in batches:
+            for n, w in zip(batch.column(0).to_pylist(), batch.column(1)):
+                flat = np.frombuffer(w.as_py(), dtype=np.float64)
+                tokens, total = tokens + n, flat if total is None else total + flat
+        if tokens:
+            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["tokens", "weights"])
+
+    shape = "tokens long, weights binary"
+    parts = train_docs.select("text").mapInArrow(learn_part, shape).repartition(SUMS).mapInArrow(add, shape).collect()  # at most SUMS rows
+    if not parts:
+        return model
+    mean = sum(np.frombuffer(r["weights"], dtype=np.float64) for r in sorted(parts, key=lambda r: bytes(r["weights"]))) / sum(r["tokens"] for r in parts)
+    out, at = {}, 0
+    for k in sorted(model.params):
+        v = model.params[k]
+        out[k] = mean[at : at + v.size].reshape(v.shape).astype(np.float32)
+        at += v.size
+    return Model(model.known, model.classes, out)
+
+
+def learn(train_docs: DataFrame, counts: DataFrame) -> Corpus:
     """Head counts and class totals (bounded, whatever the vocabulary) and the fitted model."""
     tokens, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head = [(bytes(w), c) for w, c in counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
-    known = head[:KNOWN]
-    if head and END not in {w for w, _ in known}:
-        known[-1] = next((x for x in head if x[0] == END), (END, counts.filter(F.octet_length("word") == 0).first()["c"]))
+    head = sorted(((bytes(w), c) for w, c in most_frequent(counts, HEAD).collect()), key=lambda x: (-x[1], x[0]))
+    known = head[: min(max(math.isqrt(types), KNOWN[0]), KNOWN[1])]
+    if tokens and END not in {w for w, _ in known}:
+        known = [*known[:-1], (END, counts.filter(F.octet_length("word") == 0).first()["c"])]
     tail_tokens, tail_types = np.zeros(TAILS), np.zeros(TAILS)
     for t, c, n in counts.filter(F.octet_length("word") > 0).groupBy(tail_column(F.col("word")).alias("t")).agg(F.sum("c"), F.count(F.lit(1))).collect():
         tail_tokens[t], tail_types[t] = c, n
@@ -259,22 +351,26 @@ def learn(docs: DataFrame, train_docs: DataFrame, counts: DataFrame) -> Corpus:
             tail_tokens[tail_of(w)] -= c
             tail_types[tail_of(w)] -= 1
     model = init(known, tail_tokens)
-    sample = train_docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    chosen = train_docs.join(F.broadcast(sample.distinct().withColumnRenamed("doc_id", "of_id")), F.col("doc_id") == F.col("of_id"))
-    texts = [bytes(r[0] or b"") for r in chosen.select("text").collect()]
-    train(model, [np.array([*map(model.number, words_of(t)), model.number(END)], dtype=np.int64) for t in sorted(texts)])
+    if tokens:
+        n = counts.filter(F.octet_length("word") == 0).first()["c"]  # ends: one a document
+        chosen = train_docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < math.ceil(1_000_000 * START / n))
+        texts = [numbers_of(model, t) for t in sorted(bytes(r[0] or b"") for r in chosen.select("text").collect())]
+        adam = Adam(model.params, RATE)
+        for epoch in range(START_EPOCHS):
+            adam.rate = RATE * (1 - 0.5 * epoch / START_EPOCHS)
+            train(model, texts, adam, seed=epoch)
+        model = fit(train_docs, model)
     return Corpus(tokens, types, dict(head), tail_tokens, tail_types, model)
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int = 10) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row."""
     spark = docs.sparkSession
-    small_batches(spark)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     train_docs = slim.filter(~F.coalesce(held_out("doc_id", parts), F.lit(False)))
     counts = stored(count_words(train_docs))
-    corpus = learn(slim, train_docs, counts)
-    sent = spark.sparkContext.broadcast(corpus)  # at most HEAD counts and a model of fixed size
+    corpus = learn(train_docs, counts)
+    sent = spark.sparkContext.broadcast(corpus)  # at most HEAD counts and KNOWN words
     out = "row long, doc_id long, n_tokens long, head_known long, head_sum double, log_classes double, words array<binary>, times array<int>"
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
     names = [c.split(" ")[0] for c in out.split(", ")]

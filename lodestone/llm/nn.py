@@ -31,41 +31,64 @@ def gru_step(gx: np.ndarray, h: np.ndarray, u: np.ndarray) -> np.ndarray:
     return new + zr[:, :n] * (h - new)
 
 
-def gru_forward(gx: np.ndarray, h: np.ndarray, u: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
-    """States (steps, rows, hidden) after each step of gx (steps, rows, 3 * hidden); mask 0 keeps the state."""
+def gru_forward(gx: np.ndarray, h: np.ndarray, u: np.ndarray, mask: np.ndarray | None) -> tuple[np.ndarray, list]:
+    """States (steps, rows, hidden) after each step of gx (steps, rows, 3 * hidden); mask 0 keeps the state, no mask: none does."""
     out, kept = np.empty((len(gx), *h.shape), dtype=np.float32), []
     n = h.shape[1]
     for t in range(len(gx)):
         gh = h @ u
-        zr = sigmoid(gx[t, :, : 2 * n] + gh[:, : 2 * n])
-        new = np.tanh(gx[t, :, 2 * n :] + zr[:, n:] * gh[:, 2 * n :])
-        after = new + zr[:, :n] * (h - new)
-        m = mask[t][:, None]
+        zr = gx[t, :, : 2 * n] + gh[:, : 2 * n]
+        zr *= np.float32(0.5)
+        np.tanh(zr, out=zr)
+        zr *= np.float32(0.5)
+        zr += np.float32(0.5)
+        new = zr[:, n:] * gh[:, 2 * n :]
+        new += gx[t, :, 2 * n :]
+        np.tanh(new, out=new)
+        after = out[t]
+        np.subtract(h, new, out=after)
+        after *= zr[:, :n]
+        after += new
+        m = None if mask is None else mask[t][:, None]
         kept.append((h, zr, new, gh[:, 2 * n :], m))
-        h = after * m + h * (1 - m)
-        out[t] = h
+        if m is not None:
+            after *= m
+            after += h * (1 - m)
+        h = after
     return out, kept
 
 
 def gru_backward(d_out: np.ndarray, kept: list, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of gx and of u, given those of all states."""
-    d_gx = np.empty((len(kept), d_out.shape[1], u.shape[1]), dtype=np.float32)
-    d_u = np.zeros_like(u)
+    steps, rows, n = d_out.shape
+    d_gx = np.empty((steps, rows, 3 * n), dtype=np.float32)
+    d_gh = np.empty_like(d_gx)
     d_h = np.zeros_like(d_out[0])
-    n = d_out.shape[2]
-    for t in range(len(kept) - 1, -1, -1):
+    back = np.ascontiguousarray(u.T)
+    for t in range(steps - 1, -1, -1):
         h, zr, new, ghn, m = kept[t]
         d = d_h + d_out[t]
-        d_after, d_keep = d * m, d * (1 - m)
+        d_after = d if m is None else d * m
         z, r = zr[:, :n], zr[:, n:]
-        d_z = d_after * (h - new) * z * (1 - z)
-        d_new = d_after * (1 - z) * (1 - new * new)
-        d_r = d_new * ghn * r * (1 - r)
-        d_gx[t] = np.concatenate((d_z, d_r, d_new), axis=1)
-        d_gh = np.concatenate((d_z, d_r, d_new * r), axis=1)
-        d_u += h.T @ d_gh
-        d_h = d_keep + d_after * z + d_gh @ u.T
-    return d_gx, d_u
+        one = 1 - zr
+        d_z, d_r, d_new = d_gx[t, :, :n], d_gx[t, :, n : 2 * n], d_gx[t, :, 2 * n :]
+        keep = d_after * z
+        np.subtract(d_after, keep, out=d_new)
+        d_new *= 1 - new * new
+        np.subtract(h, new, out=d_z)
+        d_z *= keep
+        d_z *= one[:, :n]
+        np.multiply(d_new, ghn, out=d_r)
+        d_r *= r
+        d_r *= one[:, n:]
+        d_gh[t] = d_gx[t]
+        d_gh[t, :, 2 * n :] *= r
+        d_h = d_gh[t] @ back
+        d_h += keep
+        if m is not None:
+            d_h += d * (1 - m)
+    before = np.concatenate([k[0] for k in kept])
+    return d_gx, before.T @ d_gh.reshape(-1, 3 * n)
 
 
 class Adam:
