@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, stored
+from .common import cut, most_frequent, slices, stored, temporary
 from .components import components
 
 SEED = 42
@@ -34,23 +34,30 @@ ALL = (1 << 64) - 1
 LINKS = "a long, b long, mask_id int, fp long, rep long"
 
 
-def fingerprint(content: bytes, shingle: int = 3) -> int:
-    """SimHash of the word shingles (repeats count) of a text given as UTF-8."""
+def hashed(content: bytes, shingle: int) -> np.ndarray:
+    """Digests of the word shingles, repeats included, as rows of eight bytes."""
     words = content.lower().split()
     if not words:
-        return 0
-    whole = memoryview(b" ".join(words))
+        return np.empty((0, 8), dtype=np.uint8)
+    view = memoryview(b" ".join(words))
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     k = min(shingle, len(words))
     starts = np.concatenate(([0], ends[: len(words) - k] + 1))
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(whole[a:b], SEED) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist())])
-    n = len(starts)
+    return np.frombuffer(b"".join([digest(view[a:b], SEED) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist())]), dtype=np.uint8).reshape(-1, 8)
+
+
+def majority(raw: np.ndarray) -> int:
+    """The fingerprint of a text's shingle digests."""
     ones = np.zeros(64, dtype=np.int64)
-    table = np.frombuffer(hashes, dtype=np.uint8).reshape(n, 8)
-    for a in range(0, n, 4096):
-        ones += np.unpackbits(table[a : a + 4096], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    for a in range(0, len(raw), 4096):
+        ones += np.unpackbits(raw[a : a + 4096], axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(raw)).tobytes(), "big")
+
+
+def fingerprint(content: bytes, shingle: int = 3) -> int:
+    """SimHash of the word shingles (repeats count) of a text given as UTF-8; zero for no words."""
+    return majority(hashed(content, shingle))
 
 
 def signed(x: int) -> int:
@@ -59,7 +66,6 @@ def signed(x: int) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, fp``; ``fp`` is the fingerprint as a signed long."""
-    small_batches(docs.sparkSession)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,32 +209,12 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, doc_id: str
 
 # ---------------------------------------------------------------- by similarity of shingle sets
 
-#: Smallest shingle hashes kept of a document (32 bits each): all of them up to this number. Estimates from more shingles
-#: only rule out what is this far below the threshold.
-SKETCH, MARGIN = 1024, 0.1
-#: Words of a segment (about), segments of a document that are join keys, bits that similar documents differ in at most.
-SEGMENT, KEYS, APART = 12, 16, 20
-PROFILE = "doc_id long, fp long, n long, sketch binary, keys array<long>, same long"
-#: Documents (about) whose shingles set the order of the prefix filter, common shingles kept, bits of a parity map. Any order
-#: and any number of bits give the same pairs; these only spare comparisons.
-ORDERED_BY, COMMON, PARITY = 10_000, 50_000, 256
+#: Documents (about) whose shingles set the order of the prefix filter, common shingles kept, bits of a small and of a wide parity map
+#: (the largest ones have two bits a shingle). Any order and any number of bits give the same pairs; these only spare comparisons.
+ORDERED_BY, COMMON, PARITY, WIDE = 10_000, 50_000, 256, 1024
 #: Guards bounds on counts against the rounding of floats.
 EPS = 1e-9
-
-
-def hashed(content: bytes, shingle: int) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """(words joined by one space, where each shingle starts in them, digests of the shingles as rows of eight bytes)."""
-    words = content.lower().split()
-    if not words:
-        return b"", np.empty(0, dtype=np.int64), np.empty((0, 8), dtype=np.uint8)
-    whole = b" ".join(words)
-    view = memoryview(whole)
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    k = min(shingle, len(words))
-    starts = np.concatenate(([0], ends[: len(words) - k] + 1))
-    digest = xxhash.xxh64_digest
-    raw = np.frombuffer(b"".join([digest(view[a:b], SEED) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist())]), dtype=np.uint8).reshape(-1, 8)
-    return whole, starts, raw
+FACTS = "doc_id long, mark long, same long, n long, fp long, bits binary, wide binary, map binary, prefix binary"
 
 
 def shingle_set(raw: np.ndarray) -> np.ndarray:
@@ -241,303 +227,351 @@ def name_of(distinct: np.ndarray) -> int:
     return signed(xxhash.xxh64_intdigest(distinct.tobytes(), SEED))
 
 
-def profile(content: bytes, shingle: int = 5) -> tuple[int, int, bytes, list[int], int]:
-    """(fingerprint, distinct shingles, sketch, keys, number of the shingle set) of a text.
-
-    Segments begin where a shingle's hash says so, so an edit leaves the other segments as they are. The ``KEYS`` of least
-    hash are the keys: documents that share most segments share some of these.
-    """
-    whole, starts, raw = hashed(content, shingle)
-    distinct = shingle_set(raw)
-    if not len(raw):
-        return 0, 0, b"", [0], name_of(distinct)
-    view = memoryview(whole)
-    ones = np.zeros(64, dtype=np.int64)
-    for a in range(0, len(raw), 4096):
-        ones += np.unpackbits(raw[a : a + 4096], axis=1).sum(axis=0, dtype=np.int64)
-    fp = int.from_bytes(np.packbits(2 * ones > len(raw)).tobytes(), "big")
-    hashes = raw.view(">u8").ravel().astype(np.uint64)
-    sketch = np.unique((distinct >> np.uint64(32)).astype(np.uint32))[:SKETCH]
-    cuts = np.append(starts[np.flatnonzero(hashes % np.uint64(SEGMENT) == 0)], len(whole) + 1)
-    cuts = cuts if cuts[0] == 0 else np.append(0, cuts)
-    segments = sorted({xxhash.xxh64_intdigest(view[a : b - 1], SEED) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())})
-    return fp, len(distinct), sketch.tobytes(), [signed(x) for x in segments[:KEYS]], name_of(distinct)
-
-
-def profiles(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    small_batches(docs.sparkSession)
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [profile(t.as_py() or b"", shingle) for t in batch.column(1)]
-            columns = list(zip(*found)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([signed(x) for x in columns[0]], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.list_(pa.int64())), pa.array(columns[4], pa.int64()),
-            ], names=["doc_id", "fp", "n", "sketch", "keys", "same"])
-
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return slim.mapInArrow(compute, PROFILE)
-
-
-def similarity(a: bytes, na: int, b: bytes, nb: int) -> float:
-    """Jaccard similarity of two shingle sets from their sketches."""
-    if not na or not nb:
-        return float(na == nb)
-    x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
-    both = np.union1d(x, y)
-    if max(len(x), len(y)) >= SKETCH:
-        both = both[:SKETCH]
-    return float(np.isin(both, np.intersect1d(x, y)).mean())
-
-
-def segment_pairs(reps: DataFrame, least: float) -> DataFrame:
-    """Candidate pairs ``a, b`` of representatives that share a key: each with at most two of its key's leaders.
-
-    Rows come by key, then by number of shingles. A document whose fingerprint is far from every leader of fitting size
-    becomes a leader; leaders too small to be similar any more are dropped. What is held is the leaders, what is written is
-    at most two rows for each row read, however many documents share a key.
-    """
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fps, sizes, ids = None, np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        for batch in batches:
-            k, n, f, r = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            f = f.view(np.uint64)
-            edge = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-            end = np.append(edge[1:], len(k))
-            out: list[tuple[int, int]] = []
-            work = np.flatnonzero((end - edge > 1) | (np.arange(len(edge)) == 0) | (np.arange(len(edge)) == len(edge) - 1))
-            for s, e in zip(edge[work].tolist(), end[work].tolist()):
-                if k[s] != key:
-                    key, fps, sizes, ids = k[s], f[:0], n[:0], r[:0]
-                for i in range(s, e):
-                    fit = sizes >= least * n[i]
-                    if not fit.all():
-                        fps, sizes, ids = fps[fit], sizes[fit], ids[fit]
-                    apart = np.bitwise_count(fps ^ f[i])
-                    near = np.flatnonzero(apart <= APART)
-                    if len(near):
-                        out += [(int(ids[j]), int(r[i])) for j in near[np.argsort(apart[near], kind="stable")[:2]]]
-                    else:
-                        fps, sizes, ids = np.append(fps, f[i]), np.append(sizes, n[i]), np.append(ids, r[i])
-            pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    rows = reps.select(F.explode("keys").alias("key"), "n", "fp", "rep")
-    return rows.repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(scan, "a long, b long")
-
-
-def common_shingles(docs: DataFrame, of_id: str, text: str, shingle: int) -> np.ndarray:
-    """Shingles met several times in a sample, rarest first: put last in the order, they are seldom keys."""
+def common_shingles(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
+    """Shingles met several times in a sample of texts, rarest first: put last in the order, they are seldom keys."""
     k = max(1, docs.count() // ORDERED_BY)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(hashed(t.as_py() or b"", shingle)[2]) for t in batch.column(0)]
-            hashes, times = np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *found]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(times.astype(np.int64))], names=["h", "c"])
+            for part in slices(batch, 0):
+                found = [shingle_set(hashed(t.as_py() or b"", shingle)) for t in part.column(0)]
+                hashes, times = np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *found]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(times.astype(np.int64))], names=["h", "c"])
+
+    sample = docs.filter(F.pmod(F.xxhash64(text), F.lit(k)) == 0).select(F.col(text).cast("binary").alias("text"))
+    counts = stored(sample.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 2"))
+    top = sorted((r["c"], r["h"]) for r in most_frequent(counts, COMMON).collect())
+    return np.array([h for _, h in top], dtype=np.int64).view(np.uint64)
 
-    sample = docs.filter(F.pmod(F.xxhash64(of_id, text), F.lit(k)) == 0).select(F.col(text).cast("binary").alias("text"))
-    counts = sample.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter("c > 2")
-    top = counts.orderBy(F.desc("c"), "h").limit(COMMON).collect()
-    return np.array([r["h"] for r in reversed(top)], dtype=np.int64).view(np.uint64)
 
+def prefix_size(n: int, least: float) -> int:
+    """How many first shingles of a set, in one order of all, hold one of any set that is at least so similar."""
+    return n - math.ceil(least * n - EPS) + 1
 
-def prefix_of(distinct: np.ndarray, common: np.ndarray, places: np.ndarray, least: float) -> np.ndarray:
-    """The first shingles of a set, so many that any set at least so similar has one of them among its own first ones.
+
+def first_shingles(distinct: np.ndarray, common: np.ndarray, places: np.ndarray, least: float) -> np.ndarray:
+    """The prefix of a set and the shingle after it, in order.
 
     ``common`` is sorted, ``places`` are its places in the order; all other shingles come before, by hash.
     """
-    n = len(distinct)
-    place = np.full(n, -1, dtype=np.int64)
+    place = np.full(len(distinct), -1, dtype=np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, distinct), len(common) - 1)
         place = np.where(common[at] == distinct, places[at], place)
     order = np.lexsort((distinct, place))
-    return distinct[order[: n - math.ceil(least * n - EPS) + 1]]
+    return distinct[order[: prefix_size(len(distinct), least) + 1]]
 
 
-def parity(distinct: np.ndarray) -> bytes:
+def parity(distinct: np.ndarray) -> np.ndarray:
     """Whether an odd number of shingles fall on each bit: two maps differ in no more bits than the sets in shingles."""
-    return np.packbits((np.bincount((distinct % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).tobytes()
+    size = max(WIDE, 1 << (2 * len(distinct) - 1).bit_length()) if len(distinct) else WIDE
+    return np.packbits((np.bincount((distinct % np.uint64(size)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little")
+
 
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The parity map of the same set with ``size`` bits, a power of two."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size // 8), axis=0)
 
-def prefixes(docs: DataFrame, common: np.ndarray, shingle: int, least: float, text: str) -> DataFrame:
-    """``same, n, bits, prefix`` of every distinct shingle set that is not empty."""
+
+def may_be_similar(a: bytes, na: int, b: bytes, nb: int, least: float) -> bool:
+    """False only for sets that are less similar, by sizes and parity maps."""
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    size = 8 * min(len(x), len(y))
+    apart = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
+    return min(na, nb) >= least * max(na, nb) - EPS and apart <= (1 - least) / (1 + least) * (na + nb) + EPS
+
+
+def set_facts(docs: DataFrame, common: np.ndarray, shingle: int, least: float, doc_id: str, text: str) -> DataFrame:
+    """``FACTS`` of every row: hash of its text, number of its shingle set, fingerprint, parity map, first shingles."""
     order = np.argsort(common)
     sent = docs.sparkSession.sparkContext.broadcast((common[order], order))  # at most COMMON
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [x for t in batch.column(0) if len(x := shingle_set(hashed(t.as_py() or b"", shingle)[2]))]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([name_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity(x) for x in sets], pa.binary()),
-                pa.array([prefix_of(x, *sent.value, least).view(np.int64) for x in sets], pa.list_(pa.int64())),
-            ], names=["same", "n", "bits", "prefix"])
+            for part in slices(batch, 2):
+                raws = [hashed(t.as_py() or b"", shingle) for t in part.column(2)]
+                sets = [shingle_set(r) for r in raws]
+                maps = [parity(x) for x in sets]
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), part.column(1), pa.array([name_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([signed(majority(r)) for r in raws], pa.int64()),
+                    pa.array([folded(x, PARITY).tobytes() for x in maps], pa.binary()), pa.array([folded(x, WIDE).tobytes() for x in maps], pa.binary()), pa.array([x.tobytes() for x in maps], pa.binary()), pa.array([first_shingles(x, *sent.value, least).tobytes() for x in sets], pa.binary()),
+                ], names=[c.split(" ")[0] for c in FACTS.split(", ")])
 
-    rows = docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(compute, "same long, n long, bits binary, prefix array<long>")
-    return rows.dropDuplicates(["same"])
+    content = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(content).alias("mark"), content.cast("binary").alias("text")).mapInArrow(compute, FACTS)
 
 
-def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of batches that come sorted by their first column, cut only where that changes."""
+def runs(batches: Iterator[pa.RecordBatch], limit: int | None = None) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """Columns of rows that come sorted by their first one: runs of equal values whole, or parts of a run over ``limit`` (True)."""
     held: list[np.ndarray] | None = None
+    long = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
         own = [np.array(c.to_pylist(), dtype=object) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if long is not None:
+            k = int(np.searchsorted(own[0], long, side="right"))
+            if k:
+                yield [x[:k] for x in own], True
+                own = [x[k:] for x in own]
+        if not len(own[0]):
+            continue
+        long = None
         if held is not None:
             own = [np.concatenate(x) for x in zip(held, own)]
         last = int(np.searchsorted(own[0], own[0][-1]))
         if last:
-            yield [x[:last] for x in own]
+            yield [x[:last] for x in own], False
         held = [x[last:] for x in own]
+        if limit is not None and len(held[0]) > limit:
+            long = held[0][-1]
+            yield held, True
+            held = None
     if held is not None:
-        yield held
+        yield held, False
 
 
-def apart_still(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``key, same, comp`` whose key has rows of several components."""
-    for key, same, comp in whole_runs(batches):
-        edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        mixed = np.minimum.reduceat(comp, edge) != np.maximum.reduceat(comp, edge)
-        on = np.repeat(mixed, np.diff(np.append(edge, len(key))))
-        yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (key, same, comp)], names=["key", "same", "comp"])
+def edges_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal values."""
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return first, np.append(first[1:], len(key))
 
 
-def prefix_pairs(rows: DataFrame, of: DataFrame, least: float) -> DataFrame:
-    """Every pair ``a, b`` of different components that shares a key and that sizes and parity maps allow, none left out.
-
-    ``rows`` are ``key, same, comp``; ``of`` has ``same, n, bits``. Rows come by key and size; a key's rows are compared with
-    all before them whose sizes fit.
-    """
+def shared_keys(keyed: DataFrame, limit: int | None) -> DataFrame:
+    """``key, same, long``: the rows of ``key, same`` whose key has two rows or more, marked in keys of over ``limit`` rows."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        share = (1 - least) / (1 + least)
-        for key, n, same, comp, bits in whole_runs(batches):
-            maps = np.frombuffer(b"".join(bits.tolist()), dtype=np.uint64).reshape(len(key), -1)
-
-            def fits(i, j):
-                """Whether rows i can be similar to earlier rows j."""
-                ok = (comp[i] != comp[j]) & (n[j] >= least * n[i] - EPS)
-                i, j = np.broadcast_arrays(i, j)
-                i, j = i[ok], j[ok]
-                near = np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1, dtype=np.int64) <= share * (n[i] + n[j]) + EPS
-                return i[near], j[near]
-
-            edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            end = np.append(edge[1:], len(key))
-            size = end - edge
-            stop = np.repeat(np.where(size <= SMALL, end, edge), size)
-            found, at = [], np.arange(len(key))
-            for d in range(1, int(min(SMALL, size.max()))):
-                at = at[at + d < stop[at]]
-                found.append(fits(at + d, at))
-            for s, e in zip(edge[size > SMALL].tolist(), end[size > SMALL].tolist()):
-                for i in range(s + 1, e):
-                    found.append(fits(np.int64(i), np.arange(s + int(np.searchsorted(n[s:i], least * n[i] - EPS)), i)))
-                    if len(found) >= 4096:
-                        yield both(found, same)
-                        found = []
-            yield both(found, same)
+        for (key, same), long in runs(batches, limit):
+            if not long:
+                a, b = edges_of(key)
+                on = np.repeat(b - a > 1, b - a)
+                key, same = key[on], same[on]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(same), pa.array(np.full(len(key), long))], names=["key", "same", "long"])
 
-    def both(found, same) -> pa.RecordBatch:
-        i, j = (np.concatenate([np.empty(0, dtype=np.int64), *x]) for x in ([f[0] for f in found], [f[1] for f in found]))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(same[i], same[j])), pa.array(np.maximum(same[i], same[j]))], names=["a", "b"])
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(scan, "key long, same long, long boolean")
+
+
+def short(hashes: np.ndarray) -> np.ndarray:
+    """Keys of 48 bits: what meets by chance is only a candidate."""
+    return (hashes >> np.uint64(16)).view(np.int64)
 
-    full = rows.join(of.select("same", "n", "bits"), "same").select("key", "n", "same", "comp", "bits")
-    return full.repartition("key").sortWithinPartitions("key", "n").mapInArrow(scan, "a long, b long").distinct()
 
+def prefix_keys(nodes: DataFrame, least: float, limit: int = LIMIT) -> DataFrame:
+    """``key, same`` such that any two sets at least so similar share a key; only keys of two sets or more.
+
+    The keys are the shingles of the prefix. One that more than ``limit`` sets share is joined with each later shingle up to
+    the one after the prefix: similar sets that share the key as their first common shingle share the second one there too.
+    """
 
-def judged(a: bytes, na: int, b: bytes, nb: int, least: float) -> bool | None:
-    """What the sketches say for certain about ``least``, or None: then the whole sets must be compared.
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(p.as_py(), dtype=np.uint64)[: prefix_size(n, least)] for n, p in zip(batch.column(1).to_pylist(), batch.column(2))]
+            same = np.repeat(batch.column(0).to_numpy(), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(short(np.concatenate([np.empty(0, dtype=np.uint64), *own]))), pa.array(same)], names=["key", "same"])
 
-    An estimate from bottom sketches has a standard error of about 0.0125, and ``MARGIN`` is eight of them.
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sames = [np.empty(0, dtype=np.int64)], []
+            for key, same, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                own = np.frombuffer(p.as_py(), dtype=np.uint64)
+                at = int(np.flatnonzero(short(own) == key)[0])
+                mixed = (own[at] ^ (own[at + 1 :] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+                keys.append(short(mixed))
+                sames += [same] * len(mixed)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(sames, pa.int64())], names=["key", "same"])
+
+    own = nodes.filter("n > 0").select("same", "n", "prefix")
+    found = stored(shared_keys(own.mapInArrow(first, "key long, same long"), limit))
+    rows = found.filter("not long").select("key", "same")
+    long = found.filter("long").select("key", "same")
+    if long.isEmpty():
+        return rows
+    finer = long.join(own.select("same", "prefix"), "same").select("key", "same", "prefix").mapInArrow(second, "key long, same long")
+    return rows.unionByName(shared_keys(finer, None).select("key", "same"))
+
+
+class Bound:
+    """What sizes and parity maps allow to be similar, of rows ``n, same, comp, bits``; never rules out a similar pair."""
+
+    def __init__(self, least: float, n: np.ndarray, same: np.ndarray, comp: np.ndarray, bits: np.ndarray):
+        self.least, self.share, self.n, self.same, self.comp = least, (1 - least) / (1 + least), n, same, comp
+        self.maps = np.frombuffer(b"".join(bits.tolist()), dtype=np.uint64).reshape(len(n), -1)
+
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs that may be similar and are of different components."""
+        i, j = np.broadcast_arrays(i, j)
+        small, large = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
+        on = (self.comp[i] != self.comp[j]) & (self.same[i] != self.same[j]) & (small >= self.least * large - EPS)
+        i, j = i[on], j[on]
+        near = np.bitwise_count(self.maps[i] ^ self.maps[j]).sum(axis=1, dtype=np.int64) <= self.share * (self.n[i] + self.n[j]) + EPS
+        return i[near], j[near]
+
+    def forest(self, a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs that connect what the allowed pairs of rows a to b connect."""
+        left = np.arange(a, b)
+        while len(left):
+            todo, left = [int(left[0])], left[1:]
+            while todo and len(left):
+                i, j = self.pairs(np.int64(todo.pop()), left)
+                yield i, j
+                todo += j.tolist()
+                left = np.setdiff1d(left, j, assume_unique=True)
+
+    def across(self, a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All allowed pairs of rows a to b: each row outside the largest component with those of other components."""
+        own, times = np.unique(self.comp[a:b], return_counts=True)
+        rest = np.flatnonzero(self.comp[a:b] != own[times.argmax()]) + a
+        inside = np.setdiff1d(np.arange(a, b), rest, assume_unique=True)
+        for k, i in enumerate(rest):
+            yield self.pairs(i, np.concatenate((inside, rest[:k])))
+
+
+def allowed_pairs(rows: DataFrame, least: float, every: bool) -> DataFrame:
+    """Distinct candidate pairs ``a < b`` among the rows ``key, n, same, comp, bits`` of each key.
+
+    ``every``: all pairs of different components that the bound allows; else so many, linear in the rows, that the large
+    groups of similar sets come together.
     """
-    near = similarity(a, na, b, nb)
-    if max(len(a), len(b)) // 4 >= SKETCH:
-        return False if near < least - MARGIN else None
-    return near >= least if abs(near - least) * max(na, nb) > 4 else None  # hashes of 32 bits may meet by chance
+
+    def joined(found: list, same: np.ndarray) -> pa.RecordBatch:
+        i, j = (np.concatenate([np.empty(0, dtype=np.int64), *x]) for x in ([f[0] for f in found], [f[1] for f in found]))
+        a, b = np.minimum(same[i], same[j]), np.maximum(same[i], same[j])
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+        return pa.RecordBatch.from_arrays([pa.array(a[fresh]), pa.array(b[fresh])], names=["a", "b"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, n, same, comp, bits), _ in runs(batches):
+            bound = Bound(least, n, same, comp, bits)
+            first, end = edges_of(key)
+            small = end - first <= SMALL
+            stop = np.repeat(np.where(small, end, first), end - first)
+            at, found = np.arange(len(key)), []
+            for d in range(1, int(min(SMALL, (end - first).max())) if every else 2):
+                at = at[at + d < stop[at]]
+                found.append(bound.pairs(at + d, at))
+            if not every:  # the first row of a short run stands for it
+                at = np.arange(len(key))
+                head = np.repeat(first, end - first)
+                on = (at - head > 1) & (stop > head)
+                found.append(bound.pairs(at[on], head[on]))
+            for s, e in zip(first[~small].tolist(), end[~small].tolist()):
+                for pair in bound.across(s, e) if every else bound.forest(s, e):
+                    found.append(pair)
+                    if len(found) >= 4096:
+                        yield joined(found, same)
+                        found = []
+            yield joined(found, same)
+
+    return rows.repartition("key").sortWithinPartitions("key", "n").mapInArrow(scan, "a long, b long").distinct()
 
 
 def overlap(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two whole sets of shingle hashes."""
+    """Jaccard similarity of two sets of shingle hashes."""
     x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
-def whole_sets(docs: DataFrame, every: DataFrame, wanted: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
-    """``same, members binary``: the shingle sets that ``wanted`` names, made again from one text each."""
+def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, least: float, text: str) -> DataFrame:
+    """The pairs of sets that are at least so similar, decided on the whole sets, made again from one text each; large parity
+    maps rule out most others first."""
 
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in batch.column(0):
-                own = shingle_set(hashed(t.as_py() or b"", shingle)[2])
-                yield pa.RecordBatch.from_arrays([pa.array([name_of(own)], pa.int64()), pa.array([own.tobytes()], pa.binary())], names=["same", "members"])
-
-    ids = every.join(wanted, "same", "left_semi").groupBy("same").agg(F.min("doc_id").alias("of_id")).select("of_id").distinct()
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    rows = slim.join(ids, F.col("doc_id").eqNullSafe(F.col("of_id")), "left_semi").select("text").mapInArrow(compute, "same long, members binary")
-    return rows.join(wanted, "same", "left_semi").dropDuplicates(["same"])
-
-
-def similar(pairs: DataFrame, every: DataFrame, least: float, docs: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
-    """The pairs whose shingle sets are at least so similar; sketches move only for sets in some pair, whole sets only for
-    those in a pair that sketches do not settle."""
+            _, _, x, m, y, n = batch.columns
+            on = pa.array([may_be_similar(p.as_py(), na, q.as_py(), nb, least) for p, na, q, nb in zip(x, m.to_pylist(), y, n.to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(on), batch.column(1).filter(on)], names=["a", "b"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies of a text within the task; at most the sets in some pair
         for batch in batches:
-            _, _, sa, na, sb, nb = (c.to_pylist() for c in batch.columns)
-            sure = pa.array([judged(w, x, y, z, least) for w, x, y, z in zip(sa, na, sb, nb)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sure], names=["a", "b", "sure"])
+            for part in slices(batch, 1):
+                sets = []
+                for mark, t in zip(part.column(0).to_pylist(), part.column(1)):
+                    if mark not in seen:
+                        seen.add(mark)
+                        sets.append(shingle_set(hashed(t.as_py() or b"", shingle)))
+                yield pa.RecordBatch.from_arrays([pa.array([name_of(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["same", "members"])
 
-    def check_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             on = pa.array([overlap(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(on), batch.column(1).filter(on)], names=["a", "b"])
 
-    named = lambda p: p.select(F.col("a").alias("same")).union(p.select("b")).distinct()
-    own = stored(every.join(named(pairs), "same", "left_semi").select("same", "n", "sketch").dropDuplicates(["same"]))
-    side = lambda c: own.select(F.col("same").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
-    full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "na", "sb", "nb")
-    told = cut(full.mapInArrow(check, "a long, b long, sure boolean").filter("sure is null or sure"))
-    open_pairs = told.filter("sure is null").select("a", "b")
-    sets = stored(whole_sets(docs, every, named(open_pairs), shingle, doc_id, text))
+    own = lambda c: nodes.select(F.col("same").alias(c), F.col("map").alias(f"m{c}"), F.col("n").alias(f"n{c}"))
+    pairs = stored(pairs.join(own("b"), "b").join(own("a"), "a").select("a", "b", "ma", "na", "mb", "nb").mapInArrow(sift, "a long, b long"))
+    named = pairs.select(F.col("a").alias("same")).union(pairs.select("b")).distinct()
+    wanted = stored(nodes.select("same", "mark").join(named, "same", "left_semi").select("mark"))  # small enough, it is broadcast: the files' size says so
+    content = F.coalesce(F.col(text), F.lit(""))
+    texts = docs.select(F.xxhash64(content).alias("mark"), content.cast("binary").alias("text")).join(wanted, "mark", "left_semi")
+    sets = texts.mapInArrow(members, "same long, members binary").dropDuplicates(["same"])
     side = lambda c: sets.select(F.col("same").alias(c), F.col("members").alias(f"m{c}"))
-    settled = open_pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb").mapInArrow(check_whole, "a long, b long")
-    return told.filter("sure").select("a", "b").union(settled)
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ma", "mb").mapInArrow(check, "a long, b long")
+
+
+def similar_classes(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``doc_id, mark, same`` of every row, and ``of_same, class`` of every set in a class of several.
+
+    Nodes are distinct shingle sets. A first round links what fingerprints within ``radius`` bits and neighbours under a
+    common key bring together; it is linear in the rows, and gathers large groups of near copies. The second round misses
+    nothing: sets at ``least`` share a key of the prefix filter, and all pairs under a key that are not in one class yet, and
+    that the bounds allow, are compared.
+    """
+    facts = stored(set_facts(docs, common_shingles(docs, text, shingle), shingle, least, doc_id, text))
+    nodes = stored(facts.drop("doc_id").dropDuplicates(["same"]))
+    one = stored(nodes.groupBy("fp").agg(F.min("same").alias("rep")))
+    equal = nodes.select("fp", "same").join(one, "fp").filter("rep <> same").select(F.col("rep").alias("a"), F.col("same").alias("b"))
+    near = block_links(one, radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    keyed = stored(prefix_keys(nodes, least))
+    rows = keyed.join(nodes.select("same", "n", "bits"), "same")
+    close = allowed_pairs(rows.select("key", "n", "same", F.col("same").alias("comp"), "bits"), least, False)
+    links = stored(similar(near.union(equal).union(close).distinct(), nodes, docs, shingle, least, text))
+    labels = stored(components(links).withColumnRenamed("node", "same"))
+    apart = stored(keyed.join(labels, "same", "left").select("key", "same", F.coalesce("component", "same").alias("comp")))
+    mixed = stored(apart.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key"))
+    rest = apart.join(mixed, "key", "left_semi").join(nodes.select("same", "n", F.col("wide").alias("bits")), "same").select("key", "n", "same", "comp", "bits")
+    more = similar(allowed_pairs(rest, least, True), nodes, docs, shingle, least, text)
+    return facts.select("doc_id", "mark", "same"), components(stored(links.union(more))).select(F.col("node").alias("of_same"), F.col("component").alias("class"))
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, component_id``: groups of documents whose shingle sets are at least ``least`` similar.
+    """``doc_id, component_id`` of every row: groups of documents whose word shingle sets are at least ``least`` similar, by the
+    smallest id reachable.
 
-    Nodes are distinct shingle sets. A first round links what fingerprints within ``radius`` bits and shared segments of the
-    text bring together; it is quick on large groups of near copies, and may miss links. The second round misses none: two
-    sets at ``least`` share a shingle among their first ones in one order of all shingles (the prefix filter), so all pairs
-    that share such a key and are not in one group yet are compared.
+    Defined cases: null and empty texts and those without words have the empty set, and are one group; equal texts are one
+    set; rows without an id are grouped like any other, and a group of only such rows has a null id; rows that repeat are
+    repeated; an empty table gives no rows; other columns are ignored.
     """
-    every = stored(profiles(docs, shingle, doc_id, text))
-    reps = cut(every.groupBy("same").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("fp", "n", "keys")).alias("x")).select("same", F.col("same").alias("rep"), "least_id", "x.*"))
-    one_per_fp = reps.groupBy("fp").agg(F.min("rep").alias("rep"))
-    equal = reps.join(one_per_fp.withColumnRenamed("rep", "first"), "fp").filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
-    pairs = block_links(one_per_fp, radius).union(equal).union(segment_pairs(reps, least)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = cut(similar(cut(pairs), every, least, docs, shingle, doc_id, text))
-    labels = components(links)
-    first = stored(prefixes(docs, common_shingles(docs, doc_id, text, shingle), shingle, least, text))
-    keyed = first.join(labels, first["same"] == labels["node"], "left").select(F.explode("prefix").alias("key"), "same", F.coalesce("component", "same").alias("comp"))
-    rows = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(apart_still, "key long, same long, comp long"))
-    found = cut(similar(cut(prefix_pairs(rows, first, least)), every, least, docs, shingle, doc_id, text))
-    labels = components(links.union(found))
-    of = cut(reps.join(labels, reps["rep"] == labels["node"], "left").select(F.col("same").alias("of_same"), F.coalesce("component", "rep").alias("c"), "least_id"))
-    names = of.groupBy("c").agg(F.min("least_id").alias("component_id"))
-    classes = of.join(names, "c").select("of_same", "component_id")
-    return every.select("doc_id", "same").join(classes, F.col("same") == F.col("of_same"), "left").select("doc_id", "component_id")
+    with temporary(docs.sparkSession):
+        facts, classes = similar_classes(docs, shingle, least, radius, doc_id, text)
+        own = stored(facts.join(classes, facts["same"] == classes["of_same"], "left").select("doc_id", F.coalesce("class", "same").alias("class")))
+        names = own.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+        return stored(own.join(names, "class").select("doc_id", "component_id"), keep=True)
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the smallest of its group of similar documents; repeated rows once."""
-    groups = similar_groups(docs, shingle, least, doc_id=doc_id, text=text)
-    first = cut(groups.filter("doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct())
-    kept = docs.join(first, F.col(doc_id) == F.col("first_id"), "left_semi")
-    return kept.dropDuplicates([doc_id])
+    """The rows of ``docs``, all columns, that are the first of their group of similar documents: one row a group.
+
+    First is the smallest id; rows without one come last, and rows of one id come by the hash of their text, so rows that
+    repeat an id with unlike texts are documents of their own, all kept. Of rows that repeat an id and a text one is kept.
+    Defined cases: null and empty texts are one group (as in ``similar_groups``); an empty table gives no rows; column names
+    don't matter.
+    """
+    with temporary(docs.sparkSession):
+        facts, classes = similar_classes(docs, shingle, least, doc_id=doc_id, text=text)
+        own = facts.join(classes, facts["same"] == classes["of_same"], "left").groupBy(F.coalesce("class", "same").alias("class"), "doc_id", "mark").agg(F.count(F.lit(1)).alias("rows"))
+        # ids alone are combined before the shuffle; the hash decides only among rows of the smallest one
+        own = stored(own)
+        ids = own.groupBy("class").agg(F.min("doc_id").alias("id"))
+        at_first = own.join(ids, "class").filter(F.col("doc_id").eqNullSafe(F.col("id")))
+        first = stored(at_first.groupBy("class").agg(F.min("id").alias("id"), F.min("mark").alias("first_mark")))
+        stays = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("first_mark"))
+        judged = own.join(first, "class").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), stays.alias("stays"), "rows")
+        gone = stored(judged.filter("not stays").select("_id", "_mark"), keep=True)
+        again = stored(judged.filter("stays and rows > 1").select("_id", "_mark"), keep=True)
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"))
+    on = lambda side: d["id"].eqNullSafe(side["_id"]) & (d["mark"] == side["_mark"])
+    kept = d.join(gone, on(gone), "left_anti")
+    if not again.isEmpty():
+        kept = kept.join(again, on(again), "left_anti").unionByName(d.join(again, on(again), "left_semi").dropDuplicates(["id", "mark"]))
+    return kept.select("row.*")
