@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, common, html_extract, jpeg, lm, media, nn, packing, quality, sharding, simhash, suffixes, toxicity
 from lodestone.llm.tokens import byte_ranks, unit_encoder, units_of
@@ -113,6 +114,22 @@ def test_units_encode_like_the_whole(text):
     assert list(own.encode_batch([text])) == [whole] and own.decode(whole) == text.encode()
 
 
+def test_long_pieces():
+    import time
+
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    e = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=byte_ranks(path), special_tokens={})
+    rng = np.random.default_rng(3)
+    own = bpe.codec(path, P.PATTERN)
+    for n in (511, 512, 513, 3000, 100_000):
+        text = "".join(rng.choice(list("abcdeéinostr"), n))
+        start = time.perf_counter()
+        assert list(own.encode_batch([text])) == [e.encode_ordinary(text)]
+        assert time.perf_counter() - start < 3
+
+
 def test_bpe(odd, empty):
     import tiktoken
 
@@ -178,6 +195,12 @@ def test_sharding(spark, odd, empty):
         load = p.groupby("shard")[c].sum()
         assert load.max() <= 1.03 * load.mean()
     assert p.groupby("shard").size().max() <= 1.1 * 3000 / 8
+    # a group that fits a shard stays in one, the one that doesn't is dealt out; nothing else is split with it
+    some = spark.createDataFrame([(i, f"group {i % 40}" if i % 2 else "hot") for i in range(1000)], "doc_id long, text string")
+    per_group = sharding.shard_documents(some).groupBy("text_crc32").agg(F.countDistinct("shard").alias("n"), F.count("*").alias("rows")).collect()
+    assert all(r["n"] == 1 for r in per_group if r["rows"] <= 125) and max(r["n"] for r in per_group) == 8
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert sharding.shard_documents(real).groupBy("size", "text_crc32").agg(F.countDistinct("shard").alias("n")).filter("n > 1").count() == 0
     rows = sharding.shard_documents(odd).collect()
     assert len(rows) == len(ODD) + 1 and all(r["size"] == len((ODD[r["doc_id"]] or "").encode()) + 1 and r["text_crc32"] == zlib.crc32((ODD[r["doc_id"]] or "").encode()) for r in rows)
     assert sharding.shard_documents(empty).count() == 0
@@ -254,8 +277,41 @@ def test_repeats_against_brute_force(spark, docs, odd, empty, monkeypatch):
     plain = [(i, (t or "").encode()) for i, t in enumerate(ODD)] + [(5, CLEAN.encode())]
     assert sorted(tuple(r) for r in suffixes.digest(odd).collect()) == sorted(suffixes.brute_force(plain))
     assert suffixes.digest(empty).count() == 0
-    kept = suffixes.cut_repeats(odd, keep=["size", "score", "source"]).collect()
-    assert all((r["size"], r["score"], r["source"]) == (7, 0.5, "s") for r in kept)
+    kept = suffixes.cut_repeats(odd).collect()
+    assert all((r["row"]["size"], r["row"]["score"], r["row"]["source"]) == (7, 0.5, "s") for r in kept)
+
+
+def test_repeats_keep_what_is_not_cut(spark):
+    """Genuine replacement characters, null texts, rows without an id and columns of any kind and name stay as they are."""
+    import datetime
+
+    passage = "a passage of many bytes that two documents share, longer than fifty of them"
+    at = datetime.datetime(2024, 1, 2, 3, 4, 5, 678901)
+    rows = [(1, passage, at, 7, b"\x00\xff"), (2, f"keep \ufffd this. {passage} \ufffd end", at, 7, None), (3, None, at, None, b""), (None, f"{passage}!", at, 7, None), (None, f"{passage}?", None, 7, None), (4, "é" * 40, at, 7, None), (5, "xé" + "é" * 39, at, 7, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, content timestamp, n_removed int, row binary")
+    got = suffixes.cleaned_documents(d)
+    assert got.columns == d.columns and got.schema == d.schema
+    out = {(r["doc_id"], r["content"], r["text"]): r for r in got.collect()}
+    want = [(1, at, passage), (2, at, "keep \ufffd this.  \ufffd end"), (3, at, None), (None, at, "!"), (None, None, "?"), (4, at, "é" * 40), (5, at, "x")]
+    texts = {(r[0], r[1]): r[2] for r in out}
+    assert texts[2, at].startswith("keep \ufffd this.") and texts[2, at].endswith("\ufffd end") and passage not in texts[2, at]
+    assert {k for k in out if k[0] != 2} == {w for w in want if w[0] != 2}
+    assert out[1, at, passage]["row"] == b"\x00\xff" and out[3, at, None]["n_removed"] is None
+
+
+def test_long_repeats_go_through_the_tree():
+    """Copies of a whole string are a repeat of the tree like any other."""
+    strings = [b"x" * 5 + b"abcdefgh" * 8, b"abcdefgh" * 8 + b"y" * 3]
+    got = sorted(suffixes.smallest_documents(strings, [3, 1], [9, 1], 50))
+    assert (0, 0, len(strings[0]), 3) in got and any(x[0] == 0 and x[3] == 1 for x in got) and all(x[0] == 0 for x in got)
+
+
+def test_a_flush_does_not_depend_on_the_number_of_buckets(spark, docs, monkeypatch):
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 1 << 11)
+    monkeypatch.setattr(suffixes, "BUCKET_ANCHORS", 16)
+    few = docs.filter("doc_id < 60")
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in few.select("doc_id", "text").collect()]
+    assert sorted(tuple(r) for r in suffixes.digest(few).collect()) == sorted(suffixes.brute_force(rows))
 
 
 @settings(max_examples=80, deadline=None)
@@ -351,8 +407,11 @@ def test_toxicity_on_held_out_texts(spark, odd, empty):
     held = [i for i in range(400) if not zlib.crc32(str(i).encode()) % 5]
     assert np.mean([(scores[i] >= 0.5) == labels[i] for i in held]) > 0.95
     assert toxicity.score_documents(odd, model).count() == len(ODD) + 1 and toxicity.score_documents(empty, model).count() == 0
-    again = toxicity.score_documents(odd, model, keep=["size", "score"]).toDF("a", "b", "size", "score").collect()
-    assert all(0 <= r["b"] <= 1 and r["score"] == 0.5 for r in again)
+    clash = odd.withColumns({"_score": F.lit(1), "kept_0": F.lit("k"), "label": F.lit(3), "row": F.current_timestamp()})
+    kept = toxicity.kept_documents(clash, model)
+    assert kept.columns == clash.columns and kept.schema == clash.schema
+    own = {r["doc_id"]: r["score"] for r in toxicity.score_documents(odd, model).collect()}
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, x in own.items() if x < 0.5} and toxicity.kept_documents(empty, model).count() == 0
     assert toxicity.fit(d.limit(0), y.limit(0)).scores([b"x", b""]) == [0.0, 0.0]
 
 
@@ -382,6 +441,12 @@ def test_statistics(spark, odd, empty, docs):
     assert quality.statistics(empty).count() == 0
 
 
+def test_labels_in_the_documents_don_t_clash(spark):
+    d = spark.createDataFrame([(i, "some words " * (i % 9 + 6), "x", 1) for i in range(40)], "doc_id long, text string, label string, label_id int")
+    y = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert isinstance(quality.fit(d, y), list)
+
+
 def test_decision_list(spark, odd, empty):
     rng = np.random.default_rng(2)
     rows, labels = [], []
@@ -435,6 +500,22 @@ def test_consensus_beats_a_page(spark):
     assert {r["page_id"]: r["text"] for r in html_extract.extract_pages(d).collect()}[9] == "brief"
 
 
+def test_inside_an_article_names_of_page_parts_are_text():
+    page = '<body><article><div class="post-header"><h1>Head</h1></div><p>words of the article</p><p class="legal">legal words</p><div class="ad">buy</div><div class="comments"><p>nice</p></div></article><div class="legal">no</div></body>'
+    assert html_extract.extract(page, None)[0] == "Head words of the article legal words"
+
+
+@pytest.mark.parametrize("tag", ["div", "b", "p"])
+def test_deep_nesting_is_quick(tag):
+    import time
+
+    page = "<html><body>" + f"<{tag}>x" * 10_000
+    start = time.perf_counter()
+    best = html_extract.votes(page)
+    html_extract.extract(page, best[0][0])
+    assert time.perf_counter() - start < 3
+
+
 # --- all together
 
 
@@ -470,9 +551,9 @@ def test_similar_documents_are_one_group(spark):
         rows.append((5000 + i, " ".join(words[: len(words) // 2] + [f"z{x}" for x in rng.integers(0, 4000, len(words) // 2)])))
     rows += [(9000 + i, "one very common text of many words that thousands of documents hold as it is") for i in range(300)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = {i: simhash.profile(t.encode())[1:3] for i, t in rows}
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(d).collect()}
-    close = {c: o for c, o in near.items() if simhash.similarity(sets[o][1], sets[o][0], sets[c][1], sets[c][0]) >= 0.8}
+    text = dict(rows)
+    close = {c: o for c, o in near.items() if len(shingles_of(text[c]) & shingles_of(text[o])) >= 0.8 * len(shingles_of(text[c]) | shingles_of(text[o]))}
     assert len(close) > 40 and all(got[c] == got[o] for c, o in close.items())
     assert all(got[5000 + i] == 5000 + i and got[i] == i for i in range(60))
     assert {got[9000 + i] for i in range(300)} == {9000}
@@ -501,6 +582,33 @@ def brute_groups(rows, least=0.8):
     return {i: root(i) for i in ids}
 
 
+def test_one_of_each_keeps_rows_without_ids_and_unlike_rows_of_one_id(spark, empty):
+    rows = [(None, "first text of no id"), (None, "second text of no id, unlike the first"), (7, "a text of seven"), (7, "another text of seven, quite unlike"), (7, "a text of seven"), (3, "a text of seven"), (None, "a text of seven"), (9, None), (8, "")]
+    d = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, first_id int, place int")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in simhash.one_of_each(d).collect())
+    assert got == sorted([("None", rows[0][1]), ("None", rows[1][1]), ("7", rows[3][1]), ("3", "a text of seven"), ("8", "")])
+    again = spark.createDataFrame([(1, "same"), (1, "same"), (2, "same")], "doc_id long, text string")
+    assert [tuple(r) for r in simhash.one_of_each(again).collect()] == [(1, "same")]
+    assert simhash.one_of_each(empty).count() == 0 and simhash.similar_groups(empty).count() == 0
+
+
+def test_hot_keys_are_refined(spark, monkeypatch):
+    """Many unlike documents under one key, and near copies among them: the same groups with any limit."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(160):
+        words = [f"w{x}" for x in rng.integers(0, 900, 22)]
+        rows.append((2 * i, " ".join(["one two three four five six"] * (i % 2) + words)))
+        rows.append((2 * i + 1, " ".join(["one two three four five six"] * (i % 2) + [*words[:-1], "end"])))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_groups(rows)
+    monkeypatch.setattr(simhash, "COMMON", 0)
+    keys = simhash.prefix_keys
+    for limit in (3, 20_000):
+        monkeypatch.setattr(simhash, "prefix_keys", lambda nodes, least: keys(nodes, least, limit))  # noqa: B023
+        assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(d).collect()} == want
+
+
 def test_no_similar_pair_is_missed(spark):
     """Short texts edited at their ends, which share no whole segment, and a hot group of near copies: as by all pairs."""
     rng = np.random.default_rng(21)
