@@ -106,7 +106,8 @@ CRC = "xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(
 
 ORACLES: dict[str, str] = {
     # every 50-byte string by its place, in hexadecimal; a string goes where a smaller document has it too
-    "op6_repeats": """WITH d AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS h FROM documents), p AS (SELECT doc_id, i, hash(substr(h, CAST(2 * i + 1 AS BIGINT), 100)) AS k FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS i FROM d)),
+    "op6_repeats": """WITH d AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS h FROM documents), q AS (SELECT doc_id, s, substr(h, CAST(2 * s + 1 AS BIGINT), 298) AS part FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2, 100)) AS s FROM d)),
+p AS (SELECT doc_id, s + i AS i, hash(substr(part, CAST(2 * i + 1 AS BIGINT), 100)) AS k FROM (SELECT doc_id, s, part, unnest(range(0, least(100, greatest(len(part) // 2 - 49, 0)))) AS i FROM q)),
 m AS (SELECT k, min(doc_id) AS least FROM p GROUP BY k), c AS (SELECT p.doc_id, p.i FROM p JOIN m USING (k) WHERE least < p.doc_id),
 n AS (SELECT *, sum(CASE WHEN i <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM c)),
 s AS (SELECT doc_id, span, min(i) AS a, max(i) + 50 AS b FROM n GROUP BY 1, 2), g AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev FROM s),
