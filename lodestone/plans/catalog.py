@@ -547,24 +547,32 @@ def diff_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ evaluation
 
 
-#: Characters of an item's key.
-GRAM = 24
+#: Items of fewer than five tokens that are compared with every document.
+SHORT_ITEMS = 1000
 
 
 def expected_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, as substrings of their text.
+    """Documents that hold a benchmark item: they meet on the item's second to fourth token before the whole is compared.
 
-    Both sides meet on a gram of so many characters as the shortest item has, at most ``GRAM``: an item has one key, its first
-    gram, and a document all of its grams, most of which end in the join with the items, before any shuffle while those are
-    few. Then the whole item is compared.
+    Tokens inside an item are whole tokens of any text that holds it. The few items of fewer than five tokens are compared
+    with every document; their number is checked, so that this stays one pass over the documents.
     """
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), "text").filter("text <> ''")
-    size = min(GRAM, b.agg(F.min(F.length("text")).alias("n")).first()["n"] or GRAM)
-    keyed = stored(b.withColumn("k", F.substring("text", 1, size)))
+    tokens = lambda c: F.regexp_extract_all(c, F.lit(search.TOKEN), F.lit(0))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), "text", tokens(F.col("text")).alias("t"))
     f = views.files(spark, sf_dir).select("path", "content")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("content") - (size - 1), F.lit(1))), lambda i: F.substring(F.col("content"), i, F.lit(size)))
-    met = f.select("path", F.explode(F.array_distinct(grams)).alias("k")).join(keyed, "k").select("path", "query_id", "text").distinct()
-    return met.join(f, "path").filter(F.col("content").contains(F.col("text"))).select("query_id", F.col("path").alias("key"))
+    n = F.size("t")
+    keyed = stored(b.filter(n >= 5).select("query_id", "text", F.array_join(F.slice("t", 2, 3), " ").alias("k")))  # small enough, it is broadcast: the file's size says so
+    t = f.withColumn("t", tokens(F.col("content")))
+    triples = F.zip_with(F.zip_with("t", F.slice("t", 2, n + 1), lambda x, y: F.concat_ws(" ", x, y)), F.slice("t", 3, n + 1), lambda x, y: F.concat_ws(" ", x, y))
+    near = t.select("path", F.explode(F.array_distinct(triples)).alias("k")).join(keyed, "k").select("path", "query_id", "text").distinct()
+    found = near.join(f, "path").filter(F.col("content").contains(F.col("text"))).select("query_id", F.col("path").alias("key"))
+    short = b.filter(n < 5).select("query_id", "text")
+    few = short.limit(SHORT_ITEMS + 1).count()
+    if few > SHORT_ITEMS:
+        raise ValueError(f"more than {SHORT_ITEMS} items of fewer than five tokens")
+    if few:
+        found = found.union(f.join(F.broadcast(short), F.col("content").contains(F.col("text"))).select("query_id", F.col("path").alias("key")))
+    return found.distinct()
 
 
 def forbidden_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
