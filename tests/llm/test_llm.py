@@ -352,6 +352,34 @@ def test_lm(spark, docs, empty, odd):
     assert lm.score_documents(odd).count() == len(ODD) + 1
 
 
+def test_lm_score_is_the_sum_of_its_parts(spark, docs, monkeypatch):
+    """Known words by the network, all others by their class and their share in it."""
+    kept = []
+    learn = lm.learn
+    monkeypatch.setattr(lm, "learn", lambda *a: kept.append(learn(*a)) or kept[-1])
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(docs).collect()}
+    corpus, counts = kept[0], collections.Counter()
+    rows = docs.select("doc_id", "text").collect()
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 10:
+            counts.update([*(r["text"] or "").encode().lower().split(), b""])
+    for r in rows[:60]:
+        words = [*(r["text"] or "").encode().lower().split(), b""]
+        own = corpus.model.scores([np.array([corpus.model.number(w) for w in words])])[0]
+        for w in words:
+            if w not in corpus.model.known:
+                k = lm.tail_of(w)
+                own += math.log10((counts[w] + 0.1) / (corpus.tail_tokens[k] + 0.1 * (corpus.tail_types[k] + 1)))
+        assert abs(own - got[r["doc_id"]]) < 1e-3 * max(1, len(words) / 100)
+
+
+def test_every_training_document_is_learned_from(spark):
+    """Weights come from all tasks' documents, by tokens: a word pair that only late documents have is learned too."""
+    rows = [(i, " ".join((["left", "right"] if i >= 1500 else ["up", "down"]) * 12)) for i in range(3000)]
+    scores = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert all(r["score"] > r["base_score"] for r in scores)
+
+
 def test_lm_carries_its_state_and_sums_to_one():
     rng = np.random.default_rng(0)
     model = lm.init([(b"", 5), *[(f"w{i}".encode(), 50 - i) for i in range(49)]], np.ones(lm.TAILS) * 3)
@@ -415,6 +443,37 @@ def test_toxicity_on_held_out_texts(spark, odd, empty):
     assert toxicity.fit(d.limit(0), y.limit(0)).scores([b"x", b""]) == [0.0, 0.0]
 
 
+def test_every_window_counts():
+    """A text's score is the largest of its windows', each scored as a text of its own."""
+    rng = np.random.default_rng(6)
+    words = [f"w{x}" for x in range(40)]
+    texts = [" ".join(rng.choice(words, 60).tolist() + (["vile"] if i % 2 else [])).encode() for i in range(60)]
+    model = toxicity.train(texts, [i % 2 for i in range(60)])
+    for n in (1, 32, 33, 100, 257):
+        own = rng.choice([*words, "vile"], n).tolist()
+        alone = [model.scores([" ".join(own[s : s + toxicity.LENGTH]).encode()])[0] for s in toxicity.windows_of(n)]
+        assert abs(model.scores([" ".join(own).encode()])[0] - max(alone)) < 1e-4
+
+
+def test_toxicity_reads_characters_of_unseen_words():
+    """Every bad word is another one, so that no list of words can know it: only its characters can."""
+    rng = np.random.default_rng(9)
+    words = ["alpha", "beta", "gamma", "delta", "river", "stone", "cloud", "green", "paper", "light"]
+    made = lambda: "zqx" + "".join(rng.choice(list("aeiou"), 4)) + "xqz"
+
+    def text(bad):
+        w = rng.choice(words, 50).tolist()
+        if bad:
+            w[int(rng.integers(50))] = made()
+        return " ".join(w).encode()
+
+    labels = [int(i % 2) for i in range(400)]
+    texts = [text(y) for y in labels]
+    model = toxicity.train(texts[:300], labels[:300])
+    scores = model.scores(texts[300:])
+    assert np.mean([(s >= 0.5) == bool(y) for s, y in zip(scores, labels[300:])]) > 0.9
+
+
 def test_windows_cover():
     for n in (0, 1, 31, 32, 33, 48, 49, 200):
         starts = toxicity.windows_of(n)
@@ -519,20 +578,81 @@ def test_deep_nesting_is_quick(tag):
 # --- all together
 
 
+def brute_cut(rows, length=50):
+    """Texts without what an earlier document has: every byte looked at, characters cut in two left out."""
+    first, out = {}, {}
+    for d, t in rows:
+        c = t.encode()
+        for i in range(len(c) - length + 1):
+            first[c[i : i + length]] = min(first.get(c[i : i + length], d), d)
+    for d, t in rows:
+        c = t.encode()
+        gone = bytearray(len(c))
+        for i in range(len(c) - length + 1):
+            if first[c[i : i + length]] < d:
+                gone[i : i + length] = b"\1" * length
+        parts, part = [], bytearray()
+        for x, g in zip(c, gone):
+            if g:
+                parts.append(bytes(part))
+                part.clear()
+            else:
+                part.append(x)
+        out[d] = "".join(p.decode("utf-8", "ignore") for p in [*parts, bytes(part)]) if any(gone) else t
+    return out
+
+
 def test_pipeline(spark):
+    """Every stage against brute force on all its input."""
     import corpus_pipeline as C
+    from tokenizers import Tokenizer
 
     sf = "/root/testdata/sf0.001"
     d = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
     names = d.columns
     for name, stage in C.STAGES:
-        before = {r["doc_id"] for r in d.select("doc_id").collect()}
+        before = {r["doc_id"]: r["text"] or "" for r in d.select("doc_id", "text").collect()}
+        source = d
         d = common.stored(stage(spark, d, sf))
-        after = {r["doc_id"] for r in d.select("doc_id").collect()}
-        assert after <= before and after, name
-        if name != "packing":
-            assert d.columns == names
-    assert len(d.columns) == 7
+        if name == "packing":
+            break
+        assert d.columns == names
+        after = {r["doc_id"]: r["text"] for r in d.select("doc_id", "text").collect()}
+        assert after
+        if name == "quality":
+            rules = quality.fit(source, labels)
+            x = {r["doc_id"]: np.array([[r[f] for f in quality.FEATURES]], dtype=np.float64) for r in quality.statistics(source).collect()}
+            words = {i: brute_statistics(t) for i, t in before.items()}
+            assert set(after) == {i for i, w in words.items() if w[0] >= 10 and 100 * w[4] <= 20 * w[0] and not any(quality.covers(rule, x[i])[0] for rule in rules)}
+        elif name == "toxicity":
+            model = toxicity.fit(source, labels)
+            assert set(after) == {i for i, t in before.items() if model.scores([t.encode()])[0] < C.TOXIC}
+        elif name == "near_dedup":
+            groups = brute_groups(sorted(before.items()))
+            assert set(after) == {i for i, g in groups.items() if i == g}
+        else:
+            assert after == brute_cut(sorted(before.items()))
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = sum(len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in before.values())
+    assert len(d.columns) == 7 and sum(r["length"] for r in d.collect()) == want
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd, empty):
+    """Nulls, ties, repeats, clashing and extra columns: rows of the same columns come out, of an empty table none."""
+    import corpus_pipeline as C
+
+    sf = "/root/testdata/sf0.001"
+    clash = odd.withColumns({c: F.lit(1) for c in ("label", "first_id", "_score", "_id", "mark", "content", "block", "n_removed", "part")})
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, clash, sf)
+        assert out.columns == clash.columns, name
+        rows = out.collect()
+        assert all(r["size"] == 7 and r["label"] == 1 for r in rows) and len(rows) <= len(ODD) + 1
+        if name == "repeat_dedup":
+            assert len(rows) == len(ODD) + 1 and sum(r["text"] is None for r in rows) == 1
+        assert stage(spark, empty, sf).count() == 0, name
+    assert C.STAGES[-1][1](spark, empty, sf).count() == 0
 
 
 def test_similar_documents_are_one_group(spark):
