@@ -210,7 +210,7 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, doc_id: str
 # ---------------------------------------------------------------- by similarity of shingle sets
 
 #: Documents (about) whose shingles set the order of the prefix filter, common shingles kept, bits of a small and of a wide parity map
-#: (the largest ones have two bits a shingle). Any order and any number of bits give the same pairs; these only spare comparisons.
+#: (the largest ones have two bits a shingle, the wide ones one where that is more). Any order and any number of bits give the same pairs; these only spare comparisons.
 ORDERED_BY, COMMON, PARITY, WIDE = 10_000, 50_000, 256, 1024
 #: Guards bounds on counts against the rounding of floats.
 EPS = 1e-9
@@ -294,7 +294,7 @@ def set_facts(docs: DataFrame, common: np.ndarray, shingle: int, least: float, d
                 maps = [parity(x) for x in sets]
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array([name_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([signed(majority(r)) for r in raws], pa.int64()),
-                    pa.array([folded(x, PARITY).tobytes() for x in maps], pa.binary()), pa.array([folded(x, WIDE).tobytes() for x in maps], pa.binary()), pa.array([x.tobytes() for x in maps], pa.binary()), pa.array([first_shingles(x, *sent.value, least).tobytes() for x in sets], pa.binary()),
+                    pa.array([folded(x, PARITY).tobytes() for x in maps], pa.binary()), pa.array([folded(x, max(WIDE, 4 * len(x))).tobytes() for x in maps], pa.binary()), pa.array([x.tobytes() for x in maps], pa.binary()), pa.array([first_shingles(x, *sent.value, least).tobytes() for x in sets], pa.binary()),
                 ], names=[c.split(" ")[0] for c in FACTS.split(", ")])
 
     content = F.coalesce(F.col(text), F.lit(""))
@@ -393,7 +393,10 @@ class Bound:
 
     def __init__(self, least: float, n: np.ndarray, same: np.ndarray, comp: np.ndarray, bits: np.ndarray):
         self.least, self.share, self.n, self.same, self.comp = least, (1 - least) / (1 + least), n, same, comp
-        self.maps = np.frombuffer(b"".join(bits.tolist()), dtype=np.uint64).reshape(len(n), -1)
+        self.bits = [np.frombuffer(x, dtype=np.uint8) for x in bits.tolist()]
+        self.sizes = np.array([len(x) for x in self.bits])
+        size = int(self.sizes.min())
+        self.maps = np.stack([x if len(x) == size else folded(x, 8 * size) for x in self.bits]).view(np.uint64)
 
     def pairs(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Those of the pairs that may be similar and are of different components."""
@@ -401,8 +404,16 @@ class Bound:
         small, large = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
         on = (self.comp[i] != self.comp[j]) & (self.same[i] != self.same[j]) & (small >= self.least * large - EPS)
         i, j = i[on], j[on]
-        near = np.bitwise_count(self.maps[i] ^ self.maps[j]).sum(axis=1, dtype=np.int64) <= self.share * (self.n[i] + self.n[j]) + EPS
-        return i[near], j[near]
+        most = self.share * (self.n[i] + self.n[j]) + EPS
+        near = np.bitwise_count(self.maps[i] ^ self.maps[j]).sum(axis=1, dtype=np.int64) <= most
+        i, j, most = i[near], j[near], most[near]
+        # the narrowest map says little about very long sets: those that have a wider one are held against each other by it
+        size = np.minimum(self.sizes[i], self.sizes[j])
+        on = np.ones(len(i), dtype=bool)
+        for k in np.flatnonzero(size > 8 * self.maps.shape[1]).tolist():
+            x, y = (folded(self.bits[int(r[k])], 8 * int(size[k])) for r in (i, j))
+            on[k] = int(np.bitwise_count(x ^ y).sum()) <= most[k]
+        return i[on], j[on]
 
     def forest(self, a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs that connect what the allowed pairs of rows a to b connect."""
