@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.store import stored, travelling
+
 #: Gates of a comparison, as shares of the baseline.
 WIRE_GATE, TIME_WARNING = 0.10, 0.20
 #: Failure codes in order, with the column that says whether each holds.
@@ -187,13 +189,31 @@ def suite_problems(cases: DataFrame) -> DataFrame:
     return cases.select("case_id", F.explode(F.array_compact(found)).alias("problem"))
 
 
+#: Distinct paths and names that are broadcast.
+FEW_NAMES = 100_000
+
+
 def anchor_lookup(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``case_id, handle, status``: the one symbol with a path, a name and, if given, a kind; ``missing`` or ``ambiguous`` otherwise."""
-    w = wanted.withColumnRenamed("kind", "want_kind")
-    met = w.join(symbols.select("path", "name", "kind", "handle"), ["path", "name"], "left").filter(F.col("want_kind").isNull() | F.col("kind").isNull() | (F.col("kind") == F.col("want_kind")))
-    n = w.select("case_id").distinct().join(met.groupBy("case_id").agg(F.countDistinct("handle").alias("n"), F.min("handle").alias("h")), "case_id", "left")
-    status = F.when(F.coalesce("n", F.lit(0)) == 0, "missing").when(F.col("n") > 1, "ambiguous").otherwise("found")
-    return n.select("case_id", F.when(F.col("n") == 1, F.col("h")).alias("handle"), status.alias("status"))
+    """``case_id, handle, status``: the one symbol with a path, a name and, if given, a kind; ``missing`` or ``ambiguous`` otherwise.
+
+    Cases meet one row for each path, name and kind, which says whether it is one symbol, so a name that very many symbols
+    have costs a case no more than any other. Cases that repeat have all their rows' symbols.
+    """
+    w = wanted.select("case_id", "path", "name", F.col("kind").alias("want_kind"))
+    asked = travelling(stored(w.select("path", "name").distinct()), FEW_NAMES)
+    s = stored(symbols.select("path", "name", "kind", "handle").join(asked, ["path", "name"], "left_semi").groupBy("path", "name", "kind").agg(F.min("handle").alias("lo"), F.max("handle").alias("hi")))
+    any_kind = s.groupBy("path", "name").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("path", "name", F.lit(None).cast("string").alias("want_kind"), "lo", "hi")
+    of_kind = s.filter("kind is not null").select("path", "name", F.col("kind").alias("want_kind"), "lo", "hi")
+    each = stored(any_kind.unionByName(of_kind))
+    # numbers stand for the handles: they are compared without sorting the cases
+    number = stored(each.filter("lo = hi").select(F.col("lo").alias("handle")).distinct().withColumn("number", F.monotonically_increasing_id()))
+    numbered = each.join(number, (F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("handle")), "left").select("path", "name", F.col("want_kind").alias("kind"), "number", (F.col("lo") < F.col("hi")).alias("many"))
+    targets = travelling(stored(numbered), FEW_NAMES)
+    met = w.join(targets, (w["path"] == targets["path"]) & (w["name"] == targets["name"]) & w["want_kind"].eqNullSafe(targets["kind"]), "left")
+    n = met.groupBy("case_id").agg(F.min("number").alias("number"), F.max("number").alias("last"), F.max(F.coalesce("many", F.lit(False))).alias("many"))
+    status = F.when(F.col("many") | (F.col("number") < F.col("last")), "ambiguous").when(F.col("number").isNull(), "missing").otherwise("found")
+    judged = n.select("case_id", status.alias("status"), F.when(status == "found", F.col("number")).alias("number"))
+    return judged.join(travelling(number, FEW_NAMES), "number", "left").select("case_id", "handle", "status")
 
 
 def freshness(indexed: DataFrame, now: DataFrame) -> DataFrame:

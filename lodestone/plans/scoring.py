@@ -185,7 +185,7 @@ def anchor_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     n = F.col("l_linenumber")
     wanted = t.select((F.col("l_orderkey") * 10 + n).cast("long").alias("case_id"), F.concat(F.lit("part/"), (F.col("l_partkey") % 100).cast("string"), F.lit(".src")).alias("path"), F.when(n % 3 == 0, "nothing").otherwise(F.col("p_name")).alias("name"), F.when(n % 2 == 0, "type").alias("kind"))
-    return M.anchor_lookup(views.symbols(spark, sf_dir), wanted.distinct())
+    return M.anchor_lookup(views.symbols(spark, sf_dir), wanted)
 
 
 @query(f"WITH {FILES}, {AFTER} SELECT f.path, CASE WHEN l.path IS NULL THEN 'missing' ELSE 'changed' END AS state FROM files f LEFT JOIN later l ON f.path = l.path WHERE l.path IS NULL OR l.sha256 <> f.sha256")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import search
+from lodestone.operators import measures, search
 
 
 def widest(df) -> int:
@@ -53,3 +53,16 @@ def test_search_goes_on_with_the_next_value(spark):
     values = spark.createDataFrame([(1, 0, "FEW"), (1, 1, "f"), (1, 2, "name1")], "query_id long, value_pos int, value string")
     got = [int(r["handle"][2:]) for r in search.prefix(symbols, values, 5).orderBy("rank").collect()]
     assert got == [0, 1, 2] + sorted((k for k in range(3, 40) if k % 4 == 1), key=lambda k: (k % 3, k))[:2]
+
+
+def test_anchor_lookup_meets_a_name_once(spark):
+    """300 cases ask for names of 1,000 symbols each: by pairs more than 100,000 rows. Repeated cases have all their symbols."""
+    symbols = alike(spark, 3000).withColumn("name", F.when(F.col("start_line") < 3, "name9").otherwise(F.col("name"))).withColumn("kind", F.when(F.col("start_line") == 2, F.lit(None)).otherwise(F.col("kind")))
+    i = F.col("id")
+    wanted = spark.range(300).select(i.alias("case_id"), F.concat(F.lit("p/"), (i % 3).cast("string")).alias("path"), F.when(i < 3, "name9").when(i == 3, "none").otherwise("name1").alias("name"), F.when(i != 1, "type").alias("kind"))
+    again = spark.createDataFrame([(0, "p/0", "name9", "type"), (1, "p/0", "name9", None), (3, "p/1", "name9", "type")], wanted.schema)
+    found = measures.anchor_lookup(symbols, wanted.unionByName(again))
+    assert widest(found) <= 3000
+    got = {r["case_id"]: (r["handle"], r["status"]) for r in found.collect()}
+    assert len(got) == 300 and [got[k] for k in range(4)] == [("s:0", "found"), (None, "ambiguous"), (None, "missing"), ("s:1", "found")]
+    assert {got[k] for k in range(4, 300)} == {(None, "ambiguous")}
