@@ -1,8 +1,9 @@
 """No operator lists all pairs of a frequent name: the widest step stays in proportion to the rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import measures, relations, search
+from lodestone.operators import measures, relations, scopes, search
 
 
 def widest(df) -> int:
@@ -83,3 +84,32 @@ def test_lexical_callers_count_a_name_once(spark):
     want = pairs.groupBy("anchor_handle").agg(F.countDistinct("handle").alias("callers"), F.max("confidence").alias("confidence"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
     assert len({r["callers"] for r in found.collect()}) > 2
+
+
+def shuffled(df) -> int:
+    """The most rows that any shuffle of the plan has written."""
+    df.collect()
+
+    def most(node) -> int:
+        kind, children = node.getClass().getSimpleName(), node.children()
+        rows = node.metrics().get("shuffleRecordsWritten")
+        inner = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        return max([rows.get().value() if rows.isDefined() else 0] + [most(x) for x in inner + [children.apply(i) for i in range(children.size())]])
+
+    return most(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("language", ["php", "cpp", "csharp"])
+def test_scopes_shuffle_no_pairs(spark, language):
+    """500 calls mean 100 symbols each: the 50,000 rows come out, but none of them is shuffled; calls that repeat count once."""
+    sep = {"php": "\\", "cpp": "::", "csharp": "."}[language]
+    i = F.col("id")
+    row = lambda n, handle, kind, name, parent: spark.range(n).select(F.concat(F.lit(handle), i.cast("string")).alias("handle"), F.lit("p").alias("path"), F.lit(language).alias("language"), F.lit(kind).alias("kind"), F.lit(name.split(sep)[-1]).alias("name"), F.lit(name).alias("qualified_name"), F.lit(parent).cast("string").alias("parent_handle"))
+    kind = "method" if language == "csharp" else "function"
+    symbols = row(1, "t", "class" if language == "csharp" else "namespace", f"N{sep}T", None).unionByName(row(100, "m", kind, f"N{sep}T{sep}run", "t0")).unionByName(row(100, "o", kind, f"N{sep}T{sep}other", "t0"))
+    call = lambda n, target: spark.range(n).select(i.alias("call_id"), F.lit("m0").alias("from_handle"), F.lit(target).alias("target"))
+    calls = call(500, "run").unionByName(call(3, "run")).unionByName(call(2, "other"))
+    found = getattr(scopes, language)(calls, symbols)
+    assert shuffled(found) <= 2000
+    rows = [(r["call_id"], r["to_handle"]) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {(c, f"m{k}") for c in range(500) for k in range(100)} | {(c, f"o{k}") for c in range(2) for k in range(100)}
