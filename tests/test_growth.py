@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import measures, relations, scopes, search
+from lodestone.operators import changes, measures, relations, scopes, search
 
 
 def widest(df) -> int:
@@ -113,3 +113,11 @@ def test_scopes_shuffle_no_pairs(spark, language):
     assert shuffled(found) <= 2000
     rows = [(r["call_id"], r["to_handle"]) for r in found.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == {(c, f"m{k}") for c in range(500) for k in range(100)} | {(c, f"o{k}") for c in range(2) for k in range(100)}
+
+
+def test_ranges_that_repeat_merge_alike(spark):
+    """Ranges with equal ends, in any number, are one: the ties of the two windows don't fall apart."""
+    once = spark.createDataFrame([("a", 1, 3), ("a", 5, 7), ("a", 9, 12), ("b", 2, 2)], "path string, first long, last long")
+    many = once.crossJoin(spark.range(200)).select("path", "first", "last").repartition(7)
+    for gap, want in ((0, [("a", 1, 3), ("a", 5, 7), ("a", 9, 12), ("b", 2, 2)]), (1, [("a", 1, 12), ("b", 2, 2)])):
+        assert sorted(tuple(r) for r in changes.merge_intervals(many, gap).select("path", "first", "last").collect()) == want
