@@ -57,7 +57,7 @@ def test_search_goes_on_with_the_next_value(spark):
 
 
 def test_anchor_lookup_meets_a_name_once(spark):
-    """300 cases ask for names of 1,000 symbols each: by pairs more than 100,000 rows. Repeated cases have all their symbols."""
+    """300 cases ask for names of 1,000 symbols each: by pairs more than 70,000 rows. Repeated cases have all their symbols."""
     symbols = alike(spark, 3000).withColumn("name", F.when(F.col("start_line") < 3, "name9").otherwise(F.col("name"))).withColumn("kind", F.when(F.col("start_line") == 2, F.lit(None)).otherwise(F.col("kind")))
     i = F.col("id")
     wanted = spark.range(300).select(i.alias("case_id"), F.concat(F.lit("p/"), (i % 3).cast("string")).alias("path"), F.when(i < 3, "name9").when(i == 3, "none").otherwise("name1").alias("name"), F.when(i != 1, "type").alias("kind"))
