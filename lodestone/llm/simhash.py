@@ -209,12 +209,14 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, doc_id: str
 
 # ---------------------------------------------------------------- by similarity of shingle sets
 
-#: Documents (about) whose shingles set the order of the prefix filter, common shingles kept, bits of a small and of a wide parity map
-#: (the largest ones have two bits a shingle, the wide ones one where that is more). Any order and any number of bits give the same pairs; these only spare comparisons.
-ORDERED_BY, COMMON, PARITY, WIDE = 10_000, 50_000, 256, 1024
+#: Documents (about) whose shingles set the order of the prefix filter, common shingles kept, fewest bits of a parity map (the
+#: largest ones have two bits a shingle, the others one where that is more). Any order and any number of bits give the same pairs; these only spare comparisons.
+ORDERED_BY, COMMON, WIDE = 10_000, 50_000, 1024
+#: Least keys of a set that travel with its rows: two sets that share one of those are held against each other there, not under later keys.
+EARLIER = 16
 #: Guards bounds on counts against the rounding of floats.
 EPS = 1e-9
-FACTS = "doc_id long, mark long, same long, n long, fp long, bits binary, wide binary, map binary, prefix binary"
+FACTS = "doc_id long, mark long, same long, n long, fp long, bits binary, map binary, prefix binary"
 
 
 def shingle_set(raw: np.ndarray) -> np.ndarray:
@@ -294,19 +296,28 @@ def set_facts(docs: DataFrame, common: np.ndarray, shingle: int, least: float, d
                 maps = [parity(x) for x in sets]
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array([name_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([signed(majority(r)) for r in raws], pa.int64()),
-                    pa.array([folded(x, PARITY).tobytes() for x in maps], pa.binary()), pa.array([folded(x, max(WIDE, 4 * len(x))).tobytes() for x in maps], pa.binary()), pa.array([x.tobytes() for x in maps], pa.binary()), pa.array([first_shingles(x, *sent.value, least).tobytes() for x in sets], pa.binary()),
+                    pa.array([folded(x, max(WIDE, 4 * len(x))).tobytes() for x in maps], pa.binary()), pa.array([x.tobytes() for x in maps], pa.binary()), pa.array([first_shingles(x, *sent.value, least).tobytes() for x in sets], pa.binary()),
                 ], names=[c.split(" ")[0] for c in FACTS.split(", ")])
 
     content = F.coalesce(F.col(text), F.lit(""))
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(content).alias("mark"), content.cast("binary").alias("text")).mapInArrow(compute, FACTS)
 
 
+def values(column: pa.Array) -> np.ndarray:
+    """A column's values; lists, which are all of one length, as rows of a matrix."""
+    if pa.types.is_binary(column.type):
+        return np.array(column.to_pylist(), dtype=object)
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.to_numpy(zero_copy_only=False)
+
+
 def runs(batches: Iterator[pa.RecordBatch], limit: int | None = None) -> Iterator[tuple[list[np.ndarray], bool]]:
     """Columns of rows that come sorted by their first one: runs of equal values whole, or parts of a run over ``limit`` (True)."""
     held: list[np.ndarray] | None = None
     long = None
     for batch in batches:
-        own = [np.array(c.to_pylist(), dtype=object) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        own = [values(c) for c in batch.columns]
         if long is not None:
             k = int(np.searchsorted(own[0], long, side="right"))
             if k:
@@ -388,11 +399,18 @@ def prefix_keys(nodes: DataFrame, least: float, limit: int = LIMIT) -> DataFrame
     return rows.unionByName(shared_keys(finer, None).select("key", "same"))
 
 
+def with_earlier(keyed: DataFrame) -> DataFrame:
+    """``key, same, earlier`` of all rows ``key, same``: the least ``EARLIER`` keys of each set, filled up with -1."""
+    some = F.slice(F.array_sort(F.collect_set("key")), 1, EARLIER)
+    lists = keyed.groupBy("same").agg(some.alias("some")).select("same", F.slice(F.concat("some", F.array_repeat(F.lit(-1).cast("long"), EARLIER)), 1, EARLIER).alias("earlier"))
+    return keyed.join(lists, "same").select("key", "same", "earlier")
+
+
 class Bound:
-    """What sizes and parity maps allow to be similar, of rows ``n, same, comp, bits``; never rules out a similar pair."""
+    """What sizes and parity maps allow to be similar, of rows ``key, n, same, comp, bits, earlier``; never rules out a similar pair."""
 
-    def __init__(self, least: float, n: np.ndarray, same: np.ndarray, comp: np.ndarray, bits: np.ndarray):
-        self.least, self.share, self.n, self.same, self.comp = least, (1 - least) / (1 + least), n, same, comp
+    def __init__(self, least: float, key: np.ndarray, n: np.ndarray, same: np.ndarray, comp: np.ndarray, bits: np.ndarray, earlier: np.ndarray):
+        self.least, self.share, self.key, self.n, self.same, self.comp, self.earlier = least, (1 - least) / (1 + least), key, n, same, comp, earlier
         self.bits = [np.frombuffer(x, dtype=np.uint8) for x in bits.tolist()]
         self.sizes = np.array([len(x) for x in self.bits])
         size = int(self.sizes.min())
@@ -415,6 +433,19 @@ class Bound:
             on[k] = int(np.bitwise_count(x ^ y).sum()) <= most[k]
         return i[on], j[on]
 
+    def first_met(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs (each of one key) of which no earlier common key is known.
+
+        Both sets have a row under that key too, and are of different components there as here, so a pair that goes here
+        is met there; none goes under the least key that it shares.
+        """
+        on = np.ones(len(i), dtype=bool)
+        for a in range(0, len(i), 1 << 14):
+            x, y = self.earlier[i[a : a + (1 << 14)]], self.earlier[j[a : a + (1 << 14)]]
+            before = (x >= 0) & (x < self.key[i[a : a + (1 << 14)], None])
+            on[a : a + (1 << 14)] = ~((x[:, :, None] == y[:, None, :]) & before[:, :, None]).any(axis=(1, 2))
+        return i[on], j[on]
+
     def forest(self, a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs that connect what the allowed pairs of rows a to b connect."""
         left = np.arange(a, b)
@@ -436,10 +467,11 @@ class Bound:
 
 
 def allowed_pairs(rows: DataFrame, least: float, every: bool) -> DataFrame:
-    """Distinct candidate pairs ``a < b`` among the rows ``key, n, same, comp, bits`` of each key.
+    """Candidate pairs ``a < b`` among the rows ``key, n, same, comp, bits, earlier`` of each key; few come twice, as a pair is
+    left to the least key that its sets are known to share.
 
-    ``every``: all pairs of different components that the bound allows; else so many, linear in the rows, that the large
-    groups of similar sets come together.
+    ``every``: all pairs of different components that the bound allows; else, of keys with over ``SMALL`` rows, so many, linear
+    in the rows, that they connect what all such pairs connect.
     """
 
     def joined(found: list, same: np.ndarray) -> pa.RecordBatch:
@@ -451,29 +483,24 @@ def allowed_pairs(rows: DataFrame, least: float, every: bool) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(a[fresh]), pa.array(b[fresh])], names=["a", "b"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, n, same, comp, bits), _ in runs(batches):
-            bound = Bound(least, n, same, comp, bits)
+        for (key, n, same, comp, bits, earlier), _ in runs(batches):
+            bound = Bound(least, key, n, same, comp, bits, earlier)
             first, end = edges_of(key)
             small = end - first <= SMALL
             stop = np.repeat(np.where(small, end, first), end - first)
             at, found = np.arange(len(key)), []
-            for d in range(1, int(min(SMALL, (end - first).max())) if every else 2):
+            for d in range(1, int(min(SMALL, (end - first).max()))):
                 at = at[at + d < stop[at]]
-                found.append(bound.pairs(at + d, at))
-            if not every:  # the first row of a short run stands for it
-                at = np.arange(len(key))
-                head = np.repeat(first, end - first)
-                on = (at - head > 1) & (stop > head)
-                found.append(bound.pairs(at[on], head[on]))
+                found.append(bound.first_met(*bound.pairs(at + d, at)))
             for s, e in zip(first[~small].tolist(), end[~small].tolist()):
                 for pair in bound.across(s, e) if every else bound.forest(s, e):
-                    found.append(pair)
+                    found.append(bound.first_met(*pair))
                     if len(found) >= 4096:
                         yield joined(found, same)
                         found = []
             yield joined(found, same)
 
-    return rows.repartition("key").sortWithinPartitions("key", "n").mapInArrow(scan, "a long, b long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", "n").mapInArrow(scan, "a long, b long")
 
 
 def overlap(a: bytes, b: bytes) -> float:
@@ -523,25 +550,24 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, l
 def similar_classes(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """``doc_id, mark, same`` of every row, and ``of_same, class`` of every set in a class of several.
 
-    Nodes are distinct shingle sets. A first round links what fingerprints within ``radius`` bits and neighbours under a
-    common key bring together; it is linear in the rows, and gathers large groups of near copies. The second round misses
-    nothing: sets at ``least`` share a key of the prefix filter, and all pairs under a key that are not in one class yet, and
-    that the bounds allow, are compared.
+    Nodes are distinct shingle sets. A first round links what fingerprints within ``radius`` bits and a few of the keys bring
+    together; it is linear in the rows, and gathers large groups of near copies. The second round misses nothing: sets at
+    ``least`` share a key of the prefix filter, and all pairs under a key that are not in one class yet, and that the bounds
+    allow, are compared.
     """
     facts = stored(set_facts(docs, common_shingles(docs, text, shingle), shingle, least, doc_id, text))
     nodes = stored(facts.drop("doc_id").dropDuplicates(["same"]))
     one = stored(nodes.groupBy("fp").agg(F.min("same").alias("rep")))
     equal = nodes.select("fp", "same").join(one, "fp").filter("rep <> same").select(F.col("rep").alias("a"), F.col("same").alias("b"))
     near = block_links(one, radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    keyed = stored(prefix_keys(nodes, least))
-    rows = keyed.join(nodes.select("same", "n", "bits"), "same")
-    close = allowed_pairs(rows.select("key", "n", "same", F.col("same").alias("comp"), "bits"), least, False)
+    keyed = stored(with_earlier(prefix_keys(nodes, least)))
+    met = lambda rows: rows.join(nodes.select("same", "n", "bits"), "same").select("key", "n", "same", "comp", "bits", "earlier")
+    close = allowed_pairs(met(keyed.filter(F.array_contains("earlier", F.col("key"))).withColumn("comp", F.col("same"))), least, False)
     links = stored(similar(near.union(equal).union(close).distinct(), nodes, docs, shingle, least, text))
     labels = stored(components(links).withColumnRenamed("node", "same"))
-    apart = stored(keyed.join(labels, "same", "left").select("key", "same", F.coalesce("component", "same").alias("comp")))
+    apart = stored(keyed.join(labels, "same", "left").select("key", "same", F.coalesce("component", "same").alias("comp"), "earlier"))
     mixed = stored(apart.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key"))
-    rest = apart.join(mixed, "key", "left_semi").join(nodes.select("same", "n", F.col("wide").alias("bits")), "same").select("key", "n", "same", "comp", "bits")
-    more = similar(allowed_pairs(rest, least, True), nodes, docs, shingle, least, text)
+    more = similar(allowed_pairs(met(apart.join(mixed, "key", "left_semi")), least, True).distinct(), nodes, docs, shingle, least, text)
     return facts.select("doc_id", "mark", "same"), components(stored(links.union(more))).select(F.col("node").alias("of_same"), F.col("component").alias("class"))
 
 

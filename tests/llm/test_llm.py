@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -768,3 +769,30 @@ def test_long_documents_are_held_against_their_whole_sets(spark):
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = brute_groups(rows)
     assert got == want and sorted(want[2 * i + 1] == 2 * i for i in range(40)) == [False] * 20 + [True] * 20
+
+
+def test_a_pair_of_near_copies_is_a_candidate_once(spark, monkeypatch):
+    """Sets that share many keys are held against each other under one of them, whichever task has the others."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng = random.Random(11)
+    rows, made = [], []
+    for group in range(12):
+        words = [f"w{group}x{rng.randrange(10**6)}" for _ in range(400)]
+        for k in range(8):
+            own = list(words)
+            own[rng.randrange(400)] = f"new{group}x{k}"
+            rows.append((len(rows), " ".join(own)))
+    pairs = simhash.allowed_pairs
+
+    def counted(candidates, least, every):
+        with monkeypatch.context() as m:
+            m.setattr(DataFrame, "distinct", lambda self: self)
+            out = pairs(candidates, least, every).collect()
+        made.append((len(out), len(set(out))))
+        return spark.createDataFrame(out, "a long, b long")
+
+    monkeypatch.setattr(simhash, "allowed_pairs", counted)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 8 for i in range(len(rows))}
+    assert made[0] == (12 * 28, 12 * 28) and made[1][0] == made[1][1]
