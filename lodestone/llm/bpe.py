@@ -70,21 +70,27 @@ def merge_rows(pieces: list[bytes], width: int, pairs: PairRanks) -> list[np.nda
     before = np.tile(np.arange(-1, width + 1), (n, 1))
     tree = np.full((n, 2 * width), NONE, dtype=np.int64)
     tree[:, width:] = pairs.leaves(ids[:, 1:-1], ids[:, 2:], place[None, :] + 1)
-    level = width
-    while level > 1:
-        tree[:, level // 2 : level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
-        level //= 2
+
+    def rebuild() -> None:
+        level = width
+        while level > 1:
+            np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2], out=tree[:, level // 2 : level])
+            level //= 2
 
     def update(rows: np.ndarray, at: np.ndarray, leaf: np.ndarray) -> None:
         node = at - 1 + width
         tree[rows, node] = leaf
+        if whole:
+            return
         node = node >> 1
         while node[0]:
             tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
             node = node >> 1
 
+    rebuild()
     rows = np.flatnonzero(tree[:, 1] < NONE) if width > 1 else np.empty(0, dtype=np.int64)
     while len(rows):
+        whole = width <= 32 and 8 * len(rows) >= n  # narrow trees, most of which change: all inner nodes at once, after the leaves
         least = tree[rows, 1]
         at = least % AT
         right = after[rows, at]
@@ -100,6 +106,8 @@ def merge_rows(pieces: list[bytes], width: int, pairs: PairRanks) -> list[np.nda
         if some.any():
             r, a = rows[some], near[some]
             update(r, a, pairs.leaves(ids[r, a], ids[r, at[some]], a))
+        if whole:
+            rebuild()
         rows = rows[tree[rows, 1] < NONE]
     flat = ids[:, 1:-1]
     kept = flat >= 0
@@ -160,6 +168,7 @@ class ByteBPE:
         self.findall = regex.compile(pattern).findall
         self.limit = limit
         self.units: dict[str, tuple[int, ...]] = {}
+        self.forms: dict[str, tuple[str, bytes]] = {}
         self.vocabulary = {i: t for t, i in self.ranks.items()}
 
     def encode_pieces(self, pieces: Iterable[bytes]) -> dict[bytes, list[int]]:
@@ -182,20 +191,24 @@ class ByteBPE:
                 out.update(zip(part, (x.tolist() for x in merge_rows(part, width, self.pairs))))
         return out
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Encode the units of these texts that aren't known yet; starts anew where the cache is full."""
+    def learn(self, distinct: set[str]) -> None:
+        """Encode those of the units that aren't known yet; starts anew where the cache is full."""
         if len(self.units) > self.limit:
             self.units.clear()
-        new = {u for units in texts for u in units if u not in self.units}
-        split = {u: [p.encode() for p in self.findall(u)] for u in new}
-        ids = self.encode_pieces(p for pieces in split.values() for p in pieces)
-        for u, pieces in split.items():
-            self.units[u] = tuple(i for p in pieces for i in ids[p])
+            self.forms.clear()
+        new = list(distinct.difference(self.units))
+        split = [self.findall(u) for u in new]
+        ids = self.encode_pieces([p.encode() for pieces in split for p in pieces])
+        for u, pieces in zip(new, split):
+            if len(pieces) == 1:
+                self.units[u] = tuple(ids[pieces[0].encode()])
+            else:
+                self.units[u] = tuple([i for p in pieces for i in ids[p.encode()]])
 
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each whole text; a batch's distinct units are merged together."""
         split = [units_of(t) for t in texts]
-        self.learn(split)
+        self.learn(set().union(*split))
         units = self.units
         for own in split:
             ids: list[int] = []
@@ -203,6 +216,22 @@ class ByteBPE:
                 ids.extend(units[u])
             yield ids
 
+    def round_trip(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
+        """Of each whole text the number of its ids, the ids in decimals joined by commas, and the bytes that they stand for;
+        a unit's own are kept beside its ids."""
+        split = [units_of(t) for t in texts]
+        distinct = set().union(*split)
+        self.learn(distinct)
+        forms, units = self.forms, self.units
+        for u in distinct.difference(forms):
+            ids = units[u]
+            forms[u] = ",".join(map(str, ids)), self.decode(ids)
+        for own in split:
+            # a text that is empty or begins with its first space has an empty unit there, without ids
+            both = [forms[u] for u in (own if own[0] else own[1:])]
+            decimals = ",".join([x for x, _ in both])
+            yield decimals.count(",") + 1 if decimals else 0, decimals, b"".join([x for _, x in both])
+
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
 
@@ -245,10 +274,10 @@ def round_trip_digest(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "
         for batch in batches:
             for part in slices(batch, 1):
                 n, coded, decoded = [], [], []
-                for ids in own.encode_batch([t or "" for t in part.column(1).to_pylist()]):
-                    n.append(len(ids))
-                    coded.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
+                for size, decimals, content in own.round_trip([t or "" for t in part.column(1).to_pylist()]):
+                    n.append(size)
+                    coded.append(hashlib.sha256(decimals.encode()).hexdigest())
+                    decoded.append(hashlib.sha256(content).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

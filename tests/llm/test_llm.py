@@ -796,3 +796,18 @@ def test_a_pair_of_near_copies_is_a_candidate_once(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i - i % 8 for i in range(len(rows))}
     assert made[0] == (12 * 28, 12 * 28) and made[1][0] == made[1][1]
+
+
+def test_forms_of_units_join_to_those_of_whole_texts():
+    """What is kept for a unit (decimals, bytes) gives a text's, with a cache that is emptied in between too."""
+    texts = ["", " ", "  ", " a", "a ", "one two  three\n four", "it's ÄÖ 12345 -- x\t y", "one two", "\n", "qzxv" * 5 + " wxyzq jkjkq"]
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    plain = bpe.ByteBPE(path, P.PATTERN)
+    for limit in (0, 1000):
+        own = bpe.ByteBPE(path, P.PATTERN, limit)
+        for _ in range(2):
+            want = [(len(x), ",".join(map(str, x)), t.encode()) for t, x in zip(texts, plain.encode_batch(texts))]
+            made = []
+            own.decode = lambda ids: made.append(ids) or plain.decode(ids)  # noqa: B023
+            assert list(own.round_trip(texts * 3)) == want * 3
+            assert len(made) <= len({u for t in texts for u in units_of(t)})
