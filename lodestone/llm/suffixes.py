@@ -8,7 +8,7 @@ all data:
 2. Anchors that occur in two documents or more are found by hash bucket, from packed arrays of distinct hashes.
 3. Around each such anchor, the stretch that its strings cover (at most ``2 * LENGTH - GRAM`` bytes) goes to the anchor's
    bucket, once per block of documents and distinct stretch. There an enhanced suffix array over the starts of strings is
-   scanned with a stack: its common-prefix intervals of at least ``LENGTH`` bytes whose occurrences have different left
+   scanned level by level: its common-prefix intervals of at least ``LENGTH`` bytes whose occurrences have different left
    neighbours are the maximal repeats, each with all its occurrences and so with its smallest document.
 4. Occurrences in larger documents go back to the blocks, where spans are joined and cut out.
 
@@ -127,76 +127,98 @@ def enhanced_suffix_array(strings: list[bytes], owner: np.ndarray, start: np.nda
     """Order of the suffixes (string, start), and the common prefix of each with the one before it."""
     sizes = np.array([len(s) for s in strings], dtype=np.int64)
     width = int(sizes.max(initial=1))
-    flat = np.frombuffer(b"".join(strings) + b"\0" * width, dtype=np.uint8)
-    at = (np.cumsum(sizes) - sizes)[owner] + start
+    gap = b"\0" * width
+    flat = np.frombuffer(gap.join(strings) + gap, dtype=np.uint8)
+    at = (np.cumsum(sizes + width) - sizes - width)[owner] + start
     left = sizes[owner] - start
-    table = np.lib.stride_tricks.sliding_window_view(flat, width)[at]
-    for a in range(0, len(table), ROWS):
-        part = table[a : a + ROWS]
-        part[np.arange(width) >= left[a : a + ROWS, None]] = 0
-    # a zero byte sorts like the end of a suffix; the common prefix below is cut at either end, so equal order is enough
+    # a zero byte sorts like the end of a suffix, so the shorter of equals must come first
+    by = np.argsort(left, kind="stable") if any(b"\0" in s for s in strings) else np.arange(len(at))
+    table = np.lib.stride_tricks.sliding_window_view(flat, width)[at[by]]
     order = np.argsort(table.view(f"S{width}").ravel(), kind="stable")
-    left = left[order]
+    left = left[by[order]]
     lcp = np.zeros(len(order), dtype=np.int64)
     for a in range(1, len(order), ROWS):
-        own = table[order[a : a + ROWS]]
-        differs = own != table[order[a - 1 : a - 1 + len(own)]]
-        lcp[a : a + ROWS] = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
+        own = table[order[a - 1 : a + ROWS]]
+        differs = own[1:] != own[:-1]
+        at = differs.argmax(axis=1)
+        lcp[a : a + ROWS] = np.where(differs[np.arange(len(at)), at], at, width)
     lcp[1:] = np.minimum(lcp[1:], np.minimum(left[1:], left[:-1]))
-    return order, lcp
+    return by[order], lcp
 
 
-def interval_tree(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
-    """(common prefix, first, last) of every interval of the suffix array with a common prefix of ``least`` or more."""
-    stack: list[tuple[int, int]] = []  # common prefix, first
-    for i, now in enumerate([*lcp[1:], 0], start=1):
-        first = i - 1
-        while stack and stack[-1][0] > now:
-            length, first = stack.pop()
-            yield length, first, i - 1
-        if now >= least and (not stack or stack[-1][0] < now):
-            stack.append((now, first))
+def interval_tree(lcp: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(common prefix, first, last) of all intervals of the suffix array with a common prefix of ``least`` or more, deepest
+    level last: the intervals of one common prefix are where a run of at least so long ones has one of just that length."""
+    at = np.flatnonzero(lcp >= least)
+    own = lcp[at]
+    for common in np.unique(own).tolist():
+        deep = own >= common
+        at, own = at[deep], own[deep]
+        begin = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1))
+        end = np.append(begin[1:], len(at))
+        exact = np.logical_or.reduceat(own == common, begin)
+        yield common, at[begin[exact]] - 1, at[end[exact] - 1]
 
 
-def maximal_repeats(strings: list[bytes], length: int = LENGTH) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """(length, all occurrences as (string, start)) of every repeat of at least ``length`` bytes, as far as it goes.
+def repeats(strings: list[bytes], again: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(length, first occurrence of each, string, start, whether of a second copy of all occurrences) of the maximal repeats of
+    at least ``length`` bytes, by length. ``again``: strings that stand there twice.
 
-    A repeat is reported where its occurrences have different left neighbours (a string's start counts as one of its own)
-    and, by the interval, different right ones.
+    A repeat is reported, as far as it goes, where its occurrences have different left neighbours (a string's start counts as
+    one of its own) and, by the interval, different right ones.
     """
-    counts = np.array([max(0, len(s) - length + 1) for s in strings], dtype=np.int64)
+    sizes = np.array([len(s) for s in strings], dtype=np.int64)
+    counts = np.maximum(0, sizes - length + 1)
     owner = np.repeat(np.arange(len(strings)), counts)
-    start = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    if len(owner) < 2:
+    if not len(owner):
         return
+    start = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     order, lcp = enhanced_suffix_array(strings, owner, start)
-    owner, start = owner[order], start[order]
-    # the stretches of the array that hold intervals at all
-    deep = lcp >= length
-    first = np.flatnonzero(deep & ~np.append(False, deep[:-1]))
-    last = np.flatnonzero(deep & ~np.append(deep[1:], False))
-    for a, b in zip((first - 1).tolist(), last.tolist()):
-        own, at = owner[a : b + 1].tolist(), start[a : b + 1].tolist()
-        before = [strings[s][i - 1] if i else -1 - k for k, (s, i) in enumerate(zip(own, at))]
-        for common, x, y in interval_tree(lcp[a : b + 1].tolist(), length):
-            if len(set(before[x : y + 1])) > 1:
-                yield common, list(zip(own[x : y + 1], at[x : y + 1]))
+    # a second copy's suffixes come right after the first one's, and share all of them
+    times = 1 + again[owner[order]]
+    owner, start, lcp = (np.repeat(x, times) for x in (owner[order], start[order], lcp))
+    copy = np.zeros(len(owner), dtype=bool)
+    copy[(np.cumsum(times) - 1)[times == 2]] = True
+    lcp[copy] = (sizes[owner] - start)[copy]
+    flat = np.frombuffer(b"\0" + b"".join(strings), dtype=np.uint8)
+    before = flat[(np.cumsum(sizes) - sizes)[owner] + start]
+    changes = np.cumsum(np.append(True, (before[1:] != before[:-1]) | (start[1:] == 0) | (start[:-1] == 0)))
+    for common, first, last in interval_tree(lcp, length):
+        diverse = changes[last] > changes[first]
+        n = (last - first + 1)[diverse]
+        if len(n):
+            edge = np.cumsum(n) - n
+            row = np.repeat(first[diverse] - edge, n) + np.arange(n.sum())
+            yield common, edge, owner[row], start[row], copy[row]
 
 
-def smallest_documents(strings: list[bytes], low: list[int], high: list[int], length: int = LENGTH) -> Iterator[tuple[int, int, int, int]]:
-    """(string, start, end, smallest document) of every maximal repeat in a string that is in a larger document too.
+def maximal_repeats(strings: list[bytes], length: int = LENGTH) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(length, all occurrences as (string, start)) of every maximal repeat of at least ``length`` bytes."""
+    for common, edge, owner, start, _ in repeats(strings, np.zeros(len(strings), dtype=bool), length):
+        for own, at in zip(np.split(owner, edge[1:]), np.split(start, edge[1:])):
+            yield common, list(zip(own.tolist(), at.tolist()))
+
+
+def smallest_holders(strings: list[bytes], low: list[int], high: list[int], length: int = LENGTH) -> np.ndarray:
+    """(string, start, end, smallest document) of every maximal repeat in a string that is in a larger document too, as rows.
 
     ``low`` and ``high``: the smallest and largest document that hold each (distinct) string. A string that several
     documents hold stands there twice, for its first holder and for the others, so that its copies are a repeat like any.
     """
-    n = len(strings)
-    again = [i for i in range(n) if low[i] < high[i]]
-    holder = low + [high[i] for i in again]
-    for common, found in maximal_repeats(strings + [strings[i] for i in again], length):
-        least = min(holder[s] for s, _ in found)
-        for s, at in found:
-            if least < holder[s] and (s >= n or low[s] == high[s]):
-                yield s if s < n else again[s - n], at, at + common, least
+    lows, highs = np.array(low, dtype=np.int64), np.array(high, dtype=np.int64)
+    again = lows < highs
+    out = [np.empty((0, 4), dtype=np.int64)]
+    for common, edge, owner, start, copy in repeats(strings, again, length):
+        holder = np.where(copy, highs[owner], lows[owner])
+        least = np.repeat(np.minimum.reduceat(holder, edge), np.diff(np.append(edge, len(owner))))
+        on = (least < holder) & (copy | ~again[owner])  # a string of several documents answers for the others
+        out.append(np.stack((owner[on], start[on], start[on] + common, least[on]), axis=1))
+    return np.concatenate(out)
+
+
+def smallest_documents(strings: list[bytes], low: list[int], high: list[int], length: int = LENGTH) -> Iterator[tuple[int, int, int, int]]:
+    """``smallest_holders`` one by one."""
+    yield from map(tuple, smallest_holders(strings, low, high, length).tolist())
 
 
 def squeeze(content: bytes) -> bytes:
@@ -381,10 +403,9 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id:
                     low[i], high[i] = min(low[i], a), max(high[i], b)
                 numbers.append(i)
             holders.append((block, unpacked(own)[0], np.array(numbers, dtype=np.int64)))
-        found = list(smallest_documents(list(index), low, high, length))
-        if not found:
+        table = smallest_holders(list(index), low, high, length)
+        if not len(table):
             return pd.DataFrame([], columns=columns)
-        table = np.array(found, dtype=np.int64)
         table = table[np.argsort(table[:, 0], kind="stable")]
         out = []
         for block, own, numbers in holders:

@@ -811,3 +811,21 @@ def test_forms_of_units_join_to_those_of_whole_texts():
             own.decode = lambda ids: made.append(ids) or plain.decode(ids)  # noqa: B023
             assert list(own.round_trip(texts * 3)) == want * 3
             assert len(made) <= len({u for t in texts for u in units_of(t)})
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.text("ab\0", min_size=1, max_size=16), st.integers(0, 9), st.integers(0, 3)), max_size=10, unique_by=lambda x: x[0]))
+def test_smallest_holders_of_strings_and_their_copies(parts):
+    """What is reported covers just the strings that start in a smaller document too, second copies included."""
+    strings, low, high = [p.encode() for p, _, _ in parts], [a for _, a, _ in parts], [a + b for _, a, b in parts]
+    first: dict[bytes, int] = {}
+    for s, a in zip(strings, low):
+        for i in range(len(s) - 2):
+            first[s[i : i + 3]] = min(first.get(s[i : i + 3], a), a)
+    want = {(k, i, first[s[i : i + 3]]) for k, (s, b) in enumerate(zip(strings, high)) for i in range(len(s) - 2) if first[s[i : i + 3]] < b}
+    got = {}
+    for k, a, b, least in suffixes.smallest_holders(strings, low, high, 3).tolist():
+        assert least < high[k]
+        for i in range(a, b - 2):
+            got[k, i] = min(got.get((k, i), least), least)
+    assert {(*k, least) for k, least in got.items()} == want
