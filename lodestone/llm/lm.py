@@ -46,6 +46,8 @@ RATE, RATE_ALL, WINDOW, SEGMENT, BATCH = 0.015, 0.006, 32, 512, 256
 SUMS = 16
 #: Distinct words that a counting task holds, and tokens learned from or scored together.
 HELD, TOGETHER = 400_000, 1_500_000
+#: States whose classes are scored at once.
+NEAR = 1024
 
 
 def words_of(content: bytes) -> list[bytes]:
@@ -63,13 +65,29 @@ def tail_column(word):
     return (byte(1) * 31 + byte(2)) % TAILS
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
+def exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp(x - shift) in the place of x, the sums of its rows, and the shift: none unless numbers are large."""
+    shift: np.ndarray | float = 0.0
+    if max(x.max(initial=0), -x.min(initial=0)) > 60:
+        shift = x.max(axis=1)
+        x -= shift[:, None]
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    return x, x @ np.ones(x.shape[1], dtype=x.dtype), shift
+
+
+def softmax(x: np.ndarray) -> np.ndarray:
+    x, total, _ = exponentials(x)
+    x *= (1 / total)[:, None]
     return x
 
 
+def with_one(states: np.ndarray) -> np.ndarray:
+    """States with a last column of ones, which a layer's biases are the weights of."""
+    out = np.ones((len(states), states.shape[1] + 1), dtype=states.dtype)
+    out[:, :-1] = states
+    return out
+
+
 @dataclass
 class Model:
     """Known words are numbered in class order; numbers from ``len(known)`` on are tail classes, the last one the start."""
@@ -101,20 +119,25 @@ class Model:
         """Natural log of p(class), times p(word | class) for known words."""
         p = self.params
         own = self.class_of(targets)
-        logits = states @ p["class.W"]
-        logits += p["class.b"]
-        out = logits[np.arange(len(own)), own]
-        out -= np.log(np.exp(logits, out=logits).sum(axis=1))
+        states = with_one(states)
+        words = np.concatenate((p["word.W"], p["word.b"][:, None]), axis=1)
+        of_class = np.concatenate((p["class.W"], p["class.b"][None]))
+        out = np.empty(len(own), dtype=states.dtype)
+        for a in range(0, len(own), NEAR):  # so few that they stay in the processor's cache
+            logits = states[a : a + NEAR] @ of_class
+            hit = logits[np.arange(len(logits)), own[a : a + NEAR]]
+            _, total, shift = exponentials(logits)
+            out[a : a + NEAR] = hit - np.log(total) - shift
         order = np.argsort(own, kind="stable")
         edges = np.searchsorted(own[order], np.arange(len(self.classes)))
         for c in range(len(self.classes) - 1):
             rows = order[edges[c] : edges[c + 1]]
             if len(rows):
                 a, b = self.classes[c], self.classes[c + 1]
-                inner = states[rows] @ p["word.W"][a:b].T
-                inner += p["word.b"][a:b]
+                inner = states[rows] @ words[a:b].T
                 hit = inner[np.arange(len(rows)), targets[rows] - a]
-                out[rows] += hit - np.log(np.exp(inner, out=inner).sum(axis=1))
+                _, total, shift = exponentials(inner)
+                out[rows] += hit - np.log(total) - shift
         return out
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -200,22 +223,25 @@ def gradients(model: Model, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tupl
     own_class = model.class_table()[target[on]]
     order = np.argsort(own_class, kind="stable")
     on, own_class = on[order], own_class[order]
-    s, target = flat[on], target[on]
+    s, target = with_one(flat[on]), target[on]
     scale = np.float32(1 / max(1, len(on)))
-    d = softmax(s @ p["class.W"] + p["class.b"])
+    d = softmax(s @ np.concatenate((p["class.W"], p["class.b"][None])))
     d[np.arange(len(on)), own_class] -= 1
-    d *= scale
-    grads["class.W"], grads["class.b"] = s.T @ d, d.sum(axis=0)
+    of_class = (s.T @ d) * scale
+    grads["class.W"], grads["class.b"] = of_class[:-1], of_class[-1]
     d_s = d @ p["class.W"].T
-    grads["word.W"], grads["word.b"] = np.zeros_like(p["word.W"]), np.zeros_like(p["word.b"])
+    words = np.concatenate((p["word.W"], p["word.b"][:, None]), axis=1)
+    of_word = np.zeros_like(words)
     edges = np.searchsorted(own_class, np.arange(n_classes + 1))
     for c in np.flatnonzero(np.diff(edges)).tolist():
         a, b, lo, hi = edges[c], edges[c + 1], model.classes[c], model.classes[c + 1]
-        d = softmax(s[a:b] @ p["word.W"][lo:hi].T + p["word.b"][lo:hi])
+        d = softmax(s[a:b] @ words[lo:hi].T)
         d[np.arange(b - a), target[a:b] - lo] -= 1
-        d *= scale
-        grads["word.W"][lo:hi], grads["word.b"][lo:hi] = d.T @ s[a:b], d.sum(axis=0)
+        of_word[lo:hi] = d.T @ s[a:b]
         d_s[a:b] += d @ p["word.W"][lo:hi]
+    of_word *= scale
+    grads["word.W"], grads["word.b"] = of_word[:, :-1], of_word[:, -1]
+    d_s *= scale
     d_states = np.empty_like(flat) if mask is None else np.zeros_like(flat)
     d_states[on] = d_s
     d_gx, grads["gru.U"] = gru_backward(d_states.reshape(states.shape), kept, p["gru.U"])

@@ -65,30 +65,33 @@ def gru_backward(d_out: np.ndarray, kept: list, u: np.ndarray) -> tuple[np.ndarr
     d_gh = np.empty_like(d_gx)
     d_h = np.zeros_like(d_out[0])
     back = np.ascontiguousarray(u.T)
+    # what the gradient of a state is multiplied by on its way to each gate, for all steps together
+    before, zr, new, ghn = (np.stack([k[i] for k in kept]) for i in range(4))
+    z, r = zr[:, :, :n], zr[:, :, n:]
+    slope = 1 - zr
+    to_new = new * new
+    np.subtract(1, to_new, out=to_new)
+    to_new *= slope[:, :, :n]
+    slope *= zr
+    to_z = before - new
+    to_z *= slope[:, :, :n]
+    to_r = ghn * slope[:, :, n:]
     for t in range(steps - 1, -1, -1):
-        h, zr, new, ghn, m = kept[t]
-        d = d_h + d_out[t]
+        m = kept[t][4]
+        d = d_h
+        d += d_out[t]
         d_after = d if m is None else d * m
-        z, r = zr[:, :n], zr[:, n:]
-        one = 1 - zr
-        d_z, d_r, d_new = d_gx[t, :, :n], d_gx[t, :, n : 2 * n], d_gx[t, :, 2 * n :]
-        keep = d_after * z
-        np.subtract(d_after, keep, out=d_new)
-        d_new *= 1 - new * new
-        np.subtract(h, new, out=d_z)
-        d_z *= keep
-        d_z *= one[:, :n]
-        np.multiply(d_new, ghn, out=d_r)
-        d_r *= r
-        d_r *= one[:, n:]
-        d_gh[t] = d_gx[t]
-        d_gh[t, :, 2 * n :] *= r
+        d_new = d_after * to_new[t]
+        d_gx[t, :, 2 * n :] = d_new
+        np.multiply(d_after, to_z[t], out=d_gx[t, :, :n])
+        np.multiply(d_new, to_r[t], out=d_gx[t, :, n : 2 * n])
+        d_gh[t, :, : 2 * n] = d_gx[t, :, : 2 * n]
+        np.multiply(d_new, r[t], out=d_gh[t, :, 2 * n :])
         d_h = d_gh[t] @ back
-        d_h += keep
+        d_h += d_after * z[t]
         if m is not None:
             d_h += d * (1 - m)
-    before = np.concatenate([k[0] for k in kept])
-    return d_gx, before.T @ d_gh.reshape(-1, 3 * n)
+    return d_gx, before.reshape(-1, n).T @ d_gh.reshape(-1, 3 * n)
 
 
 class Adam:

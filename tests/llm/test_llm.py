@@ -829,3 +829,22 @@ def test_smallest_holders_of_strings_and_their_copies(parts):
         for i in range(a, b - 2):
             got[k, i] = min(got.get((k, i), least), least)
     assert {(*k, least) for k, least in got.items()} == want
+
+
+def test_scores_hold_for_large_logits():
+    """Sums of exponentials don't overflow, however large weights become, and biases enter once."""
+    rng = np.random.default_rng(4)
+    model = lm.init([(b"w%d" % i, 50 - i) for i in range(40)] + [(b"", 5)], np.ones(lm.TAILS))
+    states, targets = rng.standard_normal((3000, lm.HIDDEN)).astype(np.float32), rng.integers(0, 41 + lm.TAILS, 3000)
+    for size in (1, 300):
+        model.params["class.W"] = rng.standard_normal(model.params["class.W"].shape).astype(np.float32) * size
+        model.params["word.W"] = rng.standard_normal(model.params["word.W"].shape).astype(np.float32) * size
+        p = {k: v.astype(np.float64) for k, v in model.params.items()}
+        log_softmax = lambda x: x - x.max(axis=1, keepdims=True) - np.log(np.exp(x - x.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True))
+        own = model.class_of(targets)
+        want = log_softmax(states @ p["class.W"] + p["class.b"])[np.arange(3000), own]
+        for c, (a, b) in enumerate(zip(model.classes, model.classes[1:])):
+            on = own == c
+            want[on] += log_softmax(states[on] @ p["word.W"][a:b].T + p["word.b"][a:b])[np.arange(on.sum()), targets[on] - a]
+        got = model.log_likelihood(states, targets)
+        assert np.isfinite(got).all() and np.allclose(got, want, rtol=1e-4, atol=1e-3)
