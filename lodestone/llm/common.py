@@ -9,11 +9,13 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch that an operator works on together. Spark bounds the batch itself by rows and by 64 MB.
 BATCH_BYTES = 4 << 20
+#: Bits of a sieve for each of its keys, and at most (half a million rows are broadcast then).
+SIEVE = 16, 1 << 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,11 +95,29 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
 
 
-def stored(df: DataFrame, keep: bool = False) -> DataFrame:
-    """Like ``cut``, as a compressed Parquet table in the shared folder; inside ``temporary`` it goes at the end, unless kept."""
+def stored(df: DataFrame, keep: bool = False, outer: bool = False) -> DataFrame:
+    """Like ``cut``, as a compressed Parquet table in the shared folder; inside ``temporary`` it goes at the end, unless kept.
+
+    ``outer``: it stays until the end of the ``temporary`` around the innermost one; without such a one it is kept.
+    """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _open and not keep:
-        _open[-1].append(path)
+    if len(_open) > outer and not keep:
+        _open[-1 - outer].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sieved(df: DataFrame, key: Column | str, keys: DataFrame, own_key: Column | str) -> DataFrame:
+    """``df`` with ``sieved boolean``: true for every row whose long ``key`` is an ``own_key`` of ``keys``, and for a few others.
+
+    The keys' places in a bit map travel to the tasks, at most ``SIEVE[1]`` bits; of many more keys more other rows pass, and
+    an exact join has to follow. What doesn't pass needs no join, and so no shuffle.
+    """
+    size = min(1 << (SIEVE[0] * max(1, keys.count()) - 1).bit_length(), SIEVE[1])
+    place = lambda k: (F.col(k) if isinstance(k, str) else k).bitwiseAND(F.lit(size - 1))
+    bit = lambda at: F.expr(f"shiftleft(1L, cast({at} & 63 as int))")
+    words = keys.select(place(own_key).alias("_at")).groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.bit_or(bit("_at")).alias("_bits"))
+    at = df.withColumn("_at", place(key))
+    joined = at.join(F.broadcast(words), F.shiftright(at["_at"], 6) == words["_word"], "left")
+    return joined.withColumn("sieved", F.coalesce(F.col("_bits").bitwiseAND(bit("_at")) != 0, F.lit(False))).select(*df.columns, "sieved")

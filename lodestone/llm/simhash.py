@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, most_frequent, slices, stored, temporary
+from .common import cut, most_frequent, sieved, slices, stored, temporary
 from .components import components
 
 SEED = 42
@@ -347,14 +347,19 @@ def edges_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_keys(keyed: DataFrame, limit: int | None) -> DataFrame:
-    """``key, same, long``: the rows of ``key, same`` whose key has two rows or more, marked in keys of over ``limit`` rows."""
+    """``key, same, long``: the rows of ``key, same`` whose key has two rows or more, marked in keys of over ``limit`` rows.
+
+    A key not marked is named by the sets that share it: the many keys of one passage, which the same sets share, come as
+    one. Groups that get one name by chance are looked at together, so none loses a pair.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (key, same), long in runs(batches, limit):
             if not long:
                 a, b = edges_of(key)
                 on = np.repeat(b - a > 1, b - a)
-                key, same = key[on], same[on]
+                names = short(np.add.reduceat(same.view(np.uint64), a))
+                key, same = np.repeat(names, b - a)[on], same[on]
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(same), pa.array(np.full(len(key), long))], names=["key", "same", "long"])
 
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(scan, "key long, same long, long boolean")
@@ -366,10 +371,11 @@ def short(hashes: np.ndarray) -> np.ndarray:
 
 
 def prefix_keys(nodes: DataFrame, least: float, limit: int = LIMIT) -> DataFrame:
-    """``key, same`` such that any two sets at least so similar share a key; only keys of two sets or more.
+    """Distinct ``key, same`` such that any two sets at least so similar share a key; only keys of two sets or more.
 
-    The keys are the shingles of the prefix. One that more than ``limit`` sets share is joined with each later shingle up to
-    the one after the prefix: similar sets that share the key as their first common shingle share the second one there too.
+    The keys are the shingles of the prefix, those that the same sets share as one (``shared_keys``). A shingle that more than
+    ``limit`` sets share is joined with each later shingle up to the one after the prefix: similar sets that share the key as their
+    first common shingle share the second one there too.
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,16 +400,15 @@ def prefix_keys(nodes: DataFrame, least: float, limit: int = LIMIT) -> DataFrame
     rows = found.filter("not long").select("key", "same")
     long = found.filter("long").select("key", "same")
     if long.isEmpty():
-        return rows
+        return rows.dropDuplicates(["key", "same"])
     finer = long.join(own.select("same", "prefix"), "same").select("key", "same", "prefix").mapInArrow(second, "key long, same long")
-    return rows.unionByName(shared_keys(finer, None).select("key", "same"))
+    return rows.unionByName(shared_keys(finer, None).select("key", "same")).dropDuplicates(["key", "same"])
 
 
-def with_earlier(keyed: DataFrame) -> DataFrame:
-    """``key, same, earlier`` of all rows ``key, same``: the least ``EARLIER`` keys of each set, filled up with -1."""
+def earlier_keys(keyed: DataFrame) -> DataFrame:
+    """``same, earlier`` of all rows ``key, same``: the least ``EARLIER`` keys of each set, filled up with -1."""
     some = F.slice(F.array_sort(F.collect_set("key")), 1, EARLIER)
-    lists = keyed.groupBy("same").agg(some.alias("some")).select("same", F.slice(F.concat("some", F.array_repeat(F.lit(-1).cast("long"), EARLIER)), 1, EARLIER).alias("earlier"))
-    return keyed.join(lists, "same").select("key", "same", "earlier")
+    return keyed.groupBy("same").agg(some.alias("some")).select("same", F.slice(F.concat("some", F.array_repeat(F.lit(-1).cast("long"), EARLIER)), 1, EARLIER).alias("earlier"))
 
 
 class Bound:
@@ -541,7 +546,8 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, l
     named = pairs.select(F.col("a").alias("same")).union(pairs.select("b")).distinct()
     wanted = stored(nodes.select("same", "mark").join(named, "same", "left_semi").select("mark"))  # small enough, it is broadcast: the files' size says so
     content = F.coalesce(F.col(text), F.lit(""))
-    texts = docs.select(F.xxhash64(content).alias("mark"), content.cast("binary").alias("text")).join(wanted, "mark", "left_semi")
+    texts = sieved(docs.select(F.xxhash64(content).alias("mark"), content.cast("binary").alias("text")), "mark", wanted, "mark")
+    texts = texts.filter("sieved").drop("sieved").join(wanted, "mark", "left_semi")
     sets = texts.mapInArrow(members, "same long, members binary").dropDuplicates(["same"])
     side = lambda c: sets.select(F.col("same").alias(c), F.col("members").alias(f"m{c}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ma", "mb").mapInArrow(check, "a long, b long")
@@ -555,20 +561,23 @@ def similar_classes(docs: DataFrame, shingle: int = 5, least: float = 0.8, radiu
     ``least`` share a key of the prefix filter, and all pairs under a key that are not in one class yet, and that the bounds
     allow, are compared.
     """
-    facts = stored(set_facts(docs, common_shingles(docs, text, shingle), shingle, least, doc_id, text))
-    nodes = stored(facts.drop("doc_id").dropDuplicates(["same"]))
+    with temporary(docs.sparkSession):
+        facts = stored(set_facts(docs, common_shingles(docs, text, shingle), shingle, least, doc_id, text))
+        nodes = stored(facts.drop("doc_id").dropDuplicates(["same"]), outer=True)
+        facts = stored(facts.select("doc_id", "mark", "same"), outer=True)
     one = stored(nodes.groupBy("fp").agg(F.min("same").alias("rep")))
     equal = nodes.select("fp", "same").join(one, "fp").filter("rep <> same").select(F.col("rep").alias("a"), F.col("same").alias("b"))
     near = block_links(one, radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    keyed = stored(with_earlier(prefix_keys(nodes, least)))
-    met = lambda rows: rows.join(nodes.select("same", "n", "bits"), "same").select("key", "n", "same", "comp", "bits", "earlier")
-    close = allowed_pairs(met(keyed.filter(F.array_contains("earlier", F.col("key"))).withColumn("comp", F.col("same"))), least, False)
+    keyed = stored(prefix_keys(nodes, least))
+    sharing = stored(nodes.select("same", "n", "bits").join(earlier_keys(keyed), "same"))
+    met = lambda rows: rows.join(sharing, "same").select("key", "n", "same", "comp", "bits", "earlier")
+    close = allowed_pairs(met(keyed.withColumn("comp", F.col("same"))).filter(F.array_contains("earlier", F.col("key"))), least, False)
     links = stored(similar(near.union(equal).union(close).distinct(), nodes, docs, shingle, least, text))
     labels = stored(components(links).withColumnRenamed("node", "same"))
-    apart = stored(keyed.join(labels, "same", "left").select("key", "same", F.coalesce("component", "same").alias("comp"), "earlier"))
+    apart = stored(keyed.join(labels, "same", "left").select("key", "same", F.coalesce("component", "same").alias("comp")))
     mixed = stored(apart.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key"))
     more = similar(allowed_pairs(met(apart.join(mixed, "key", "left_semi")), least, True).distinct(), nodes, docs, shingle, least, text)
-    return facts.select("doc_id", "mark", "same"), components(stored(links.union(more))).select(F.col("node").alias("of_same"), F.col("component").alias("class"))
+    return facts, components(stored(links.union(more))).select(F.col("node").alias("of_same"), F.col("component").alias("class"))
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -608,7 +617,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8, doc_id: s
         again = stored(judged.filter("stays and rows > 1").select("_id", "_mark"), keep=True)
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"))
     on = lambda side: d["id"].eqNullSafe(side["_id"]) & (d["mark"] == side["_mark"])
-    kept = d.join(gone, on(gone), "left_anti")
+    sifted = sieved(d, F.xxhash64("id", "mark"), gone, F.xxhash64("_id", "_mark"))  # most rows stay, and need not meet those that go
+    kept = sifted.filter("not sieved").drop("sieved").unionByName(sifted.filter("sieved").drop("sieved").join(gone, [F.col("id").eqNullSafe(gone["_id"]), F.col("mark") == gone["_mark"]], "left_anti"))
     if not again.isEmpty():
-        kept = kept.join(again, on(again), "left_anti").unionByName(d.join(again, on(again), "left_semi").dropDuplicates(["id", "mark"]))
+        kept = kept.join(again, [F.col("id").eqNullSafe(again["_id"]), F.col("mark") == again["_mark"]], "left_anti").unionByName(d.join(again, on(again), "left_semi").dropDuplicates(["id", "mark"]))
     return kept.select("row.*")

@@ -329,6 +329,74 @@ def test_maximal_repeats(parts):
     assert covered == {g for g, c in grams.items() if c > 1}
 
 
+def test_keys_that_the_same_sets_share_come_as_one(spark, monkeypatch):
+    """Two long documents with one passage in common share one key, not one for each shingle of the passage; so do many."""
+    rng, made = random.Random(2), []
+    passage = [f"common{i}" for i in range(120)]
+    rows = [(i, " ".join([*passage, *[f"w{i}x{rng.randrange(10**6)}" for _ in range(30)]])) for i in range(6)]
+    rows += [(100 + i, " ".join([*[f"other{i // 2}x{k}" for k in range(120)], *[f"y{i}x{k}" for k in range(30)]])) for i in range(20)]
+    keys = simhash.prefix_keys
+    monkeypatch.setattr(simhash, "COMMON", 0)
+    monkeypatch.setattr(simhash, "prefix_keys", lambda *a: made.append(keys(*a).collect()) or spark.createDataFrame(made[-1], "key long, same long"))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows)
+    times = collections.Counter(r["same"] for r in made[0])
+    assert len(made[0]) == len(set(made[0])) and len(times) == 26 and max(times.values()) <= 12
+    assert sum(times.values()) < 26 * 4
+
+
+def test_groups_of_one_name_lose_no_pair(spark, monkeypatch):
+    """Whatever groups get one name: the same classes."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(40):
+        words = [f"w{rng.randrange(500)}" for _ in range(40)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "end"]))]
+    monkeypatch.setattr(simhash, "short", lambda hashes: (hashes >> np.uint64(60)).view(np.int64))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows)
+
+
+def test_a_sieve_holds_back_no_key(spark, monkeypatch):
+    """Every key passes, few other rows do; more keys than the map has bits for let more pass."""
+    d = spark.range(-4000, 4000).select("id", F.xxhash64("id").alias("h"), F.lit("t").alias("text"))
+    for bits, most in (((16, 1 << 25), 0.12), ((16, 64), 1.0)):
+        monkeypatch.setattr(common, "SIEVE", bits)
+        for keys in (d.filter("id % 20 = 0"), d.limit(0)):
+            rows = common.sieved(d, "h", keys.select(F.col("h").alias("k")), "k")
+            assert rows.columns == ["id", "h", "text", "sieved"] and rows.count() == 8000
+            passed = {r["id"] for r in rows.filter("sieved").collect()}
+            want = {r["id"] for r in keys.collect()}
+            assert want <= passed and len(passed) <= 8000 * (most if want else 0)
+
+
+def test_rows_that_stay_are_not_shuffled(spark):
+    """Of documents of which few go, the texts of those that stay meet no join, however many go."""
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 40, "a copy of one text").otherwise(F.concat_ws(" ", *[F.sha2(F.concat("id", F.lit(k)), 256) for k in range(8)])).alias("text"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = simhash.one_of_each(d)
+        assert sorted(r[0] for r in out.select("doc_id").collect()) == [0, *range(40, 3000)]
+        branches = out._jdf.queryExecution().optimizedPlan().toString().split("LeftAnti")
+        assert len(branches) == 2 and "Union" in branches[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_stored_outside_the_innermost_block(spark):
+    """Such a table is there after its block, and goes with the block around it."""
+    with common.temporary(spark):
+        with common.temporary(spark):
+            inner, outer = common.stored(spark.range(3)), common.stored(spark.range(5), outer=True)
+            kept = common.stored(spark.range(7), keep=True)
+        assert outer.count() == 5
+        with pytest.raises(Exception, match="(?i)not.?exist|not.?found"):
+            inner.collect()
+    with pytest.raises(Exception, match="(?i)not.?exist|not.?found"):
+        outer.collect()
+    assert kept.count() == 7
+
+
 # --- language model
 
 
