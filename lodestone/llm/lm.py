@@ -24,6 +24,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,9 @@ SUMS = 16
 #: Distinct words that a counting task holds, and tokens learned from or scored together.
 HELD, TOGETHER = 400_000, 1_500_000
 #: States whose classes are scored at once.
-NEAR = 1024
+NEAR = 512
+#: Sums of rows are products with these.
+ONES = np.ones(1 << 10, dtype=np.float32)
 
 
 def words_of(content: bytes) -> list[bytes]:
@@ -65,18 +68,27 @@ def tail_column(word):
     return (byte(1) * 31 + byte(2)) % TAILS
 
 
-def exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
-    """exp(x - shift) in the place of x, the sums of its rows, and the shift: none unless numbers are large."""
+def within(states: np.ndarray, weights: np.ndarray) -> bool:
+    """Whether none of these states gives one of these rows of weights a logit that needs a shift."""
+    return float(max(states.max(initial=0), -states.min(initial=0)) * np.abs(weights).sum(axis=1).max(initial=0)) < 60
+
+
+def exponentials(x: np.ndarray, small: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp(x - shift) in the place of x, the sums of its rows, and the shift: none unless numbers are large.
+
+    ``small``: they are known not to be, and not looked at.
+    """
     shift: np.ndarray | float = 0.0
-    if max(x.max(initial=0), -x.min(initial=0)) > 60:
+    if not small and max(x.max(initial=0), -x.min(initial=0)) > 60:
         shift = x.max(axis=1)
         x -= shift[:, None]
     np.exp(x, out=x)
-    return x, x @ np.ones(x.shape[1], dtype=x.dtype), shift
+    ones = ONES[: x.shape[1]] if x.shape[1] <= len(ONES) and x.dtype == ONES.dtype else np.ones(x.shape[1], dtype=x.dtype)
+    return x, x @ ones, shift
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    x, total, _ = exponentials(x)
+def softmax(x: np.ndarray, small: bool = False) -> np.ndarray:
+    x, total, _ = exponentials(x, small)
     x *= (1 / total)[:, None]
     return x
 
@@ -109,7 +121,7 @@ class Model:
         """Class of each number: those of the known words in order, then a class for each tail."""
         if self._table is None:
             sizes = np.diff(self.classes)
-            self._table = np.concatenate((np.repeat(np.arange(len(sizes)), sizes), len(sizes) + np.arange(TAILS))).astype(np.int32)
+            self._table = np.concatenate((np.repeat(np.arange(len(sizes)), sizes), len(sizes) + np.arange(TAILS))).astype(np.int16)  # sorted by digits, and there are few
         return self._table
 
     def class_of(self, targets: np.ndarray) -> np.ndarray:
@@ -122,11 +134,12 @@ class Model:
         states = with_one(states)
         words = np.concatenate((p["word.W"], p["word.b"][:, None]), axis=1)
         of_class = np.concatenate((p["class.W"], p["class.b"][None]))
+        small, small_class = within(states, words), within(states, of_class.T)
         out = np.empty(len(own), dtype=states.dtype)
         for a in range(0, len(own), NEAR):  # so few that they stay in the processor's cache
             logits = states[a : a + NEAR] @ of_class
             hit = logits[np.arange(len(logits)), own[a : a + NEAR]]
-            _, total, shift = exponentials(logits)
+            _, total, shift = exponentials(logits, small_class)
             out[a : a + NEAR] = hit - np.log(total) - shift
         order = np.argsort(own, kind="stable")
         edges = np.searchsorted(own[order], np.arange(len(self.classes)))
@@ -136,7 +149,7 @@ class Model:
                 a, b = self.classes[c], self.classes[c + 1]
                 inner = states[rows] @ words[a:b].T
                 hit = inner[np.arange(len(rows)), targets[rows] - a]
-                _, total, shift = exponentials(inner)
+                _, total, shift = exponentials(inner, small)
                 out[rows] += hit - np.log(total) - shift
         return out
 
@@ -149,6 +162,7 @@ class Model:
             return total
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         order = np.argsort(-sizes, kind="stable")
+        falling = -sizes[order]
         first = np.cumsum(sizes) - sizes
         flat = np.concatenate(texts)
         before = np.concatenate(([self.start], flat[:-1]))
@@ -156,11 +170,11 @@ class Model:
         h = np.zeros((len(texts), HIDDEN), dtype=np.float32)
         step = 0
         while len(order) and step < sizes[order[0]]:
-            live = order[: int(np.searchsorted(-sizes[order], -step, side="left"))]
+            live = order[: int(np.searchsorted(falling, -step, side="left"))]
             span = min(WINDOW, int(sizes[order[0]]) - step)
             states, rows = [], []
             for t in range(step, step + span):
-                n = int(np.searchsorted(-sizes[live], -t, side="left"))
+                n = int(np.searchsorted(falling, -t, side="left"))
                 at = first[live[:n]] + t
                 h[:n] = gru_step(gates[before[at]], h[:n], p["gru.U"])
                 states.append(h[:n].copy())
@@ -200,7 +214,7 @@ def segments(texts: list[np.ndarray]) -> list[np.ndarray]:
 
 def summed(rows: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     """Sum of the rows that belong to each of n numbers."""
-    order = np.argsort(of, kind="stable")
+    order = np.argsort(of.astype(np.int16) if n < 1 << 15 else of, kind="stable")  # by digits, if numbers are short
     sorted_of = of[order]
     first = np.flatnonzero(np.append(True, sorted_of[1:] != sorted_of[:-1]))
     out = np.zeros((n, rows.shape[1]), dtype=rows.dtype)
@@ -214,8 +228,9 @@ def gradients(model: Model, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tupl
     n_classes = len(model.classes) - 1
     valid = y >= 0
     mask = None if valid.all() else valid.astype(np.float32)
-    used, inverse = np.unique(x, return_inverse=True)
-    inverse = inverse.reshape(x.shape)
+    seen = np.zeros(model.start + 1, dtype=bool)
+    seen[x] = True
+    used, inverse = np.flatnonzero(seen), (np.cumsum(seen) - 1)[x]
     e = p["embed"][used]
     states, kept = gru_forward((e @ p["gru.W"] + p["gru.b"])[inverse], h, p["gru.U"], mask)
     flat, target = states.reshape(-1, HIDDEN), y.ravel()
@@ -225,18 +240,24 @@ def gradients(model: Model, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tupl
     on, own_class = on[order], own_class[order]
     s, target = with_one(flat[on]), target[on]
     scale = np.float32(1 / max(1, len(on)))
-    d = softmax(s @ np.concatenate((p["class.W"], p["class.b"][None])))
-    d[np.arange(len(on)), own_class] -= 1
-    of_class = (s.T @ d) * scale
+    of_classes = np.concatenate((p["class.W"], p["class.b"][None]))
+    back, small = np.ascontiguousarray(p["class.W"].T), within(s, of_classes.T)
+    of_class, d_s = np.zeros_like(of_classes), np.empty((len(on), HIDDEN), dtype=np.float32)
+    for a in range(0, len(on), NEAR):  # so few that they stay in the processor's cache
+        near = s[a : a + NEAR]
+        d = softmax(near @ of_classes, small)
+        d[np.arange(len(near)), own_class[a : a + NEAR]] -= 1
+        of_class += near.T @ d
+        np.matmul(d, back, out=d_s[a : a + NEAR])
+    of_class *= scale
     grads["class.W"], grads["class.b"] = of_class[:-1], of_class[-1]
-    d_s = d @ p["class.W"].T
     words = np.concatenate((p["word.W"], p["word.b"][:, None]), axis=1)
-    of_word = np.zeros_like(words)
+    of_word, small, every = np.zeros_like(words), within(s, words), np.arange(len(on))
     edges = np.searchsorted(own_class, np.arange(n_classes + 1))
     for c in np.flatnonzero(np.diff(edges)).tolist():
         a, b, lo, hi = edges[c], edges[c + 1], model.classes[c], model.classes[c + 1]
-        d = softmax(s[a:b] @ words[lo:hi].T)
-        d[np.arange(b - a), target[a:b] - lo] -= 1
+        d = softmax(s[a:b] @ words[lo:hi].T, small)
+        d[every[: b - a], target[a:b] - lo] -= 1
         of_word[lo:hi] = d.T @ s[a:b]
         d_s[a:b] += d @ p["word.W"][lo:hi]
     of_word *= scale
@@ -313,7 +334,7 @@ def numbers_of(model: Model, content: bytes) -> np.ndarray:
     known, none = model.known.get, len(model.known)
     words = words_of(content)
     words.append(END)
-    return np.array([none + tail_of(w) if (i := known(w)) is None else i for w in words], dtype=np.int64)
+    return np.fromiter([none + tail_of(w) if (i := known(w)) is None else i for w in words], dtype=np.int64, count=len(words))
 
 
 def packed_weights(tokens: int, params: Params) -> pa.RecordBatch:
@@ -423,7 +444,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             for row, d, x in zip(*(c.to_pylist() for c in batch.columns)):
                 words = words_of(x or b"")
                 words.append(END)
-                places = np.array([at.get(w, none) for w in words], dtype=np.int64)
+                places = np.fromiter(map(at.get, words, repeat(none)), dtype=np.int64, count=len(words))
                 ids = numbers[places]
                 outside = np.flatnonzero(places == none).tolist()
                 rest: dict[bytes, int] = {}

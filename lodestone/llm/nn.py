@@ -26,39 +26,48 @@ def gru_step(gx: np.ndarray, h: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Next state from the input's share of the gates (update, reset, new)."""
     n = h.shape[1]
     gh = h @ u
-    zr = sigmoid(gx[:, : 2 * n] + gh[:, : 2 * n])
-    new = np.tanh(gx[:, 2 * n :] + zr[:, n:] * gh[:, 2 * n :])
-    return new + zr[:, :n] * (h - new)
-
-
-def gru_forward(gx: np.ndarray, h: np.ndarray, u: np.ndarray, mask: np.ndarray | None) -> tuple[np.ndarray, list]:
+    zr = gx[:, : 2 * n] + gh[:, : 2 * n]
+    zr *= np.float32(0.5)
+    np.tanh(zr, out=zr)
+    zr *= np.float32(0.5)
+    zr += np.float32(0.5)
+    new = zr[:, n:] * gh[:, 2 * n :]
+    new += gx[:, 2 * n :]
+    np.tanh(new, out=new)
+    after = h - new
+    after *= zr[:, :n]
+    after += new
+    return after
+
+
+def gru_forward(gx: np.ndarray, h: np.ndarray, u: np.ndarray, mask: np.ndarray | None) -> tuple[np.ndarray, tuple]:
     """States (steps, rows, hidden) after each step of gx (steps, rows, 3 * hidden); mask 0 keeps the state, no mask: none does."""
-    out, kept = np.empty((len(gx), *h.shape), dtype=np.float32), []
-    n = h.shape[1]
+    n, first = h.shape[1], h
+    out, zrs, news, ghs = (np.empty((len(gx), len(h), k * n), dtype=np.float32) for k in (1, 2, 1, 3))
     for t in range(len(gx)):
-        gh = h @ u
-        zr = gx[t, :, : 2 * n] + gh[:, : 2 * n]
+        gh, zr, new = ghs[t], zrs[t], news[t]
+        np.matmul(h, u, out=gh)
+        np.add(gx[t, :, : 2 * n], gh[:, : 2 * n], out=zr)
         zr *= np.float32(0.5)
         np.tanh(zr, out=zr)
         zr *= np.float32(0.5)
         zr += np.float32(0.5)
-        new = zr[:, n:] * gh[:, 2 * n :]
+        np.multiply(zr[:, n:], gh[:, 2 * n :], out=new)
         new += gx[t, :, 2 * n :]
         np.tanh(new, out=new)
         after = out[t]
         np.subtract(h, new, out=after)
         after *= zr[:, :n]
         after += new
-        m = None if mask is None else mask[t][:, None]
-        kept.append((h, zr, new, gh[:, 2 * n :], m))
-        if m is not None:
+        if mask is not None:
+            m = mask[t][:, None]
             after *= m
             after += h * (1 - m)
         h = after
-    return out, kept
+    return out, (np.concatenate((first[None], out))[: len(out)], zrs, news, ghs[:, :, 2 * n :], mask)
 
 
-def gru_backward(d_out: np.ndarray, kept: list, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gru_backward(d_out: np.ndarray, kept: tuple, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of gx and of u, given those of all states."""
     steps, rows, n = d_out.shape
     d_gx = np.empty((steps, rows, 3 * n), dtype=np.float32)
@@ -66,7 +75,7 @@ def gru_backward(d_out: np.ndarray, kept: list, u: np.ndarray) -> tuple[np.ndarr
     d_h = np.zeros_like(d_out[0])
     back = np.ascontiguousarray(u.T)
     # what the gradient of a state is multiplied by on its way to each gate, for all steps together
-    before, zr, new, ghn = (np.stack([k[i] for k in kept]) for i in range(4))
+    before, zr, new, ghn, mask = kept
     z, r = zr[:, :, :n], zr[:, :, n:]
     slope = 1 - zr
     to_new = new * new
@@ -77,7 +86,7 @@ def gru_backward(d_out: np.ndarray, kept: list, u: np.ndarray) -> tuple[np.ndarr
     to_z *= slope[:, :, :n]
     to_r = ghn * slope[:, :, n:]
     for t in range(steps - 1, -1, -1):
-        m = kept[t][4]
+        m = None if mask is None else mask[t][:, None]
         d = d_h
         d += d_out[t]
         d_after = d if m is None else d * m
@@ -105,8 +114,12 @@ class Adam:
         norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads.values())))
         scale = min(1.0, clip / (norm + 1e-9))
         for k, g in grads.items():
-            g = g * np.float32(scale)
-            self.m[k] = 0.9 * self.m[k] + 0.1 * g
-            self.v[k] = 0.99 * self.v[k] + 0.01 * g * g
+            if scale < 1:
+                g = g * np.float32(scale)
+            m, v = self.m[k], self.v[k]
+            m *= 0.9
+            m += 0.1 * g
+            v *= 0.99
+            v += 0.01 * g * g
             rate = self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
-            self.params[k] -= (rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-7)).astype(np.float32)
+            self.params[k] -= (rate * m / (np.sqrt(v) + 1e-7)).astype(np.float32)

@@ -461,6 +461,46 @@ def test_lm_carries_its_state_and_sums_to_one():
     assert abs(np.exp(model.log_likelihood(np.repeat(h, len(every), axis=0), every)).sum() - 1) < 1e-4
 
 
+def test_lm_learns_from_classes_in_small_runs(monkeypatch):
+    """The gradients of a window are the same for any run of rows, against plain ones; no run is longer than NEAR."""
+    rng = np.random.default_rng(6)
+    model = lm.init([(b"", 5), *[(f"w{i}".encode(), 50 - i) for i in range(49)]], np.ones(lm.TAILS) * 3)
+    x, y = rng.integers(0, 50 + lm.TAILS, (2, 32, 90))
+    y[20:, 70:] = -1
+    sizes, found, plain = [], [], lm.softmax
+    monkeypatch.setattr(lm, "softmax", lambda d, *a: sizes.append(d.shape) or plain(d, *a))
+    for near in (64, lm.NEAR, 1 << 20):
+        monkeypatch.setattr(lm, "NEAR", near)
+        sizes.clear()
+        found.append(lm.gradients(model, x, y, np.zeros((90, lm.HIDDEN), dtype=np.float32))[0])
+        assert max(n for n, k in sizes if k > lm.TAILS) == min(near, int((y >= 0).sum()))
+    for k, v in found[0].items():
+        assert all(np.allclose(v, other[k], rtol=1e-3, atol=1e-6) for other in found[1:]), k
+    used, inverse = np.unique(x, return_inverse=True)
+    assert not found[0]["embed"][np.setdiff1d(np.arange(len(model.params["embed"])), used)].any()
+    p = model.params
+    states, _ = nn.gru_forward((p["embed"][used] @ p["gru.W"] + p["gru.b"])[inverse.reshape(x.shape)], np.zeros((90, lm.HIDDEN), dtype=np.float32), p["gru.U"], (y >= 0).astype(np.float32))
+    on = y >= 0
+    z = states[on].astype(np.float64) @ p["class.W"] + p["class.b"]
+    d = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    d[np.arange(len(d)), model.class_of(y[on])] -= 1
+    assert np.allclose(d.mean(axis=0), found[0]["class.b"], atol=1e-6) and np.allclose(states[on].T @ d / len(d), found[0]["class.W"], atol=1e-6)
+
+
+def test_lm_looks_at_logits_only_if_weights_are_large():
+    """A bound on all logits spares the look at each of them; large ones are still shifted."""
+    rng = np.random.default_rng(7)
+    states = lm.with_one(rng.uniform(-1, 1, (200, lm.HIDDEN)).astype(np.float32))
+    for size in (1, 40):
+        weights = rng.standard_normal((90, lm.HIDDEN + 1)).astype(np.float32) * size
+        small = lm.within(states, weights)
+        logits = states @ weights.T
+        assert small == (size == 1) and (not small or np.abs(logits).max() < 60)
+        want = np.exp(logits.astype(np.float64) - logits.max(axis=1, keepdims=True))
+        assert np.allclose(lm.softmax(logits.copy(), small), want / want.sum(axis=1, keepdims=True), rtol=1e-3, atol=1e-6)
+    assert lm.within(states[:0], states[:0])
+
+
 def test_gru_gradients():
     rng = np.random.default_rng(0)
     p = nn.init_gru(rng, 3, 4, "g")
