@@ -172,15 +172,15 @@ class Model:
         while len(order) and step < sizes[order[0]]:
             live = order[: int(np.searchsorted(falling, -step, side="left"))]
             span = min(WINDOW, int(sizes[order[0]]) - step)
-            states, rows = [], []
+            states, rows, places = [], [], []
             for t in range(step, step + span):
                 n = int(np.searchsorted(falling, -t, side="left"))
                 at = first[live[:n]] + t
                 h[:n] = gru_step(gates[before[at]], h[:n], p["gru.U"])
                 states.append(h[:n].copy())
                 rows.append(live[:n])
-            joined, docs = np.concatenate(states), np.concatenate(rows)
-            at = np.concatenate([first[r] + step + i for i, r in enumerate(rows)])
+                places.append(at)
+            joined, docs, at = np.concatenate(states), np.concatenate(rows), np.concatenate(places)
             for a in range(0, len(docs), 1 << 15):
                 s = slice(a, a + (1 << 15))
                 total += np.bincount(docs[s], weights=self.log_likelihood(joined[s], flat[at[s]]), minlength=len(total))

@@ -70,37 +70,39 @@ def gru_forward(gx: np.ndarray, h: np.ndarray, u: np.ndarray, mask: np.ndarray |
 def gru_backward(d_out: np.ndarray, kept: tuple, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of gx and of u, given those of all states."""
     steps, rows, n = d_out.shape
-    d_gx = np.empty((steps, rows, 3 * n), dtype=np.float32)
-    d_gh = np.empty_like(d_gx)
+    d_gh, d_news = np.empty((steps, rows, 3 * n), dtype=np.float32), np.empty((steps, rows, n), dtype=np.float32)
     d_h = np.zeros_like(d_out[0])
     back = np.ascontiguousarray(u.T)
     # what the gradient of a state is multiplied by on its way to each gate, for all steps together
     before, zr, new, ghn, mask = kept
-    z, r = zr[:, :, :n], zr[:, :, n:]
-    slope = 1 - zr
+    z, r = np.ascontiguousarray(zr[:, :, :n]), np.ascontiguousarray(zr[:, :, n:])
     to_new = new * new
     np.subtract(1, to_new, out=to_new)
-    to_new *= slope[:, :, :n]
-    slope *= zr
+    slope = 1 - z
+    to_new *= slope
+    slope *= z
     to_z = before - new
-    to_z *= slope[:, :, :n]
-    to_r = ghn * slope[:, :, n:]
+    to_z *= slope
+    np.subtract(1, r, out=slope)
+    slope *= r
+    slope *= ghn
+    to_r = slope
     for t in range(steps - 1, -1, -1):
         m = None if mask is None else mask[t][:, None]
         d = d_h
         d += d_out[t]
         d_after = d if m is None else d * m
-        d_new = d_after * to_new[t]
-        d_gx[t, :, 2 * n :] = d_new
-        np.multiply(d_after, to_z[t], out=d_gx[t, :, :n])
-        np.multiply(d_new, to_r[t], out=d_gx[t, :, n : 2 * n])
-        d_gh[t, :, : 2 * n] = d_gx[t, :, : 2 * n]
+        d_new = np.multiply(d_after, to_new[t], out=d_news[t])
+        np.multiply(d_after, to_z[t], out=d_gh[t, :, :n])
+        np.multiply(d_new, to_r[t], out=d_gh[t, :, n : 2 * n])
         np.multiply(d_new, r[t], out=d_gh[t, :, 2 * n :])
         d_h = d_gh[t] @ back
         d_h += d_after * z[t]
         if m is not None:
             d_h += d * (1 - m)
-    return d_gx, before.reshape(-1, n).T @ d_gh.reshape(-1, 3 * n)
+    d_u = before.reshape(-1, n).T @ d_gh.reshape(-1, 3 * n)
+    d_gh[:, :, 2 * n :] = d_news
+    return d_gh, d_u
 
 
 class Adam:
