@@ -17,6 +17,10 @@ import numpy as np
 #: Entries kept by one Python worker.
 CACHE = 300_000
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: White space as UTF-8: which single bytes, and which numbers of two and of three bytes (there is none of four).
+WHITE = [c.encode() for c in map(chr, range(1 << 16)) if c.isspace()]
+WHITE_1 = np.isin(np.arange(256), [c[0] for c in WHITE if len(c) == 1])
+WHITE_2, WHITE_3 = (np.array([int.from_bytes(c) for c in WHITE if len(c) == n]) for n in (2, 3))
 
 
 def units_of(text: str) -> list[str]:
@@ -29,6 +33,24 @@ def units_of(text: str) -> list[str]:
     return parts[:1] + [" " + p for p in parts[1:]]
 
 
+def unit_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where the units of many texts begin in their joined UTF-8; ``bounds`` has the texts' own ends, 0 first. An empty text has none."""
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[bounds] = True
+    at = np.flatnonzero(data == 32)
+    at = at[~edge[at] & ~edge[at + 1]]
+    white = WHITE_1[data[at - 1]] | WHITE_1[data[at + 1]]
+
+    def number(x: np.ndarray, n: int) -> np.ndarray:
+        return functools.reduce(lambda a, i: a << 8 | data.take(x + i, mode="clip"), range(n), np.zeros(len(x), dtype=np.int64))
+
+    for side, two, three in ((1, 1, 1), (-1, -2, -3)):
+        wide = np.flatnonzero(data[at + side] >= 128)
+        white[wide] |= np.isin(number(at[wide] + two, 2), WHITE_2) | np.isin(number(at[wide] + three, 3), WHITE_3)
+    edge[at[~white]] = True
+    return np.flatnonzero(edge[:-1])
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

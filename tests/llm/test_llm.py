@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, common, html_extract, jpeg, lm, media, nn, packing, quality, sharding, simhash, suffixes, toxicity
-from lodestone.llm.tokens import byte_ranks, unit_encoder, units_of
+from lodestone.llm.tokens import byte_ranks, unit_encoder, unit_starts, units_of
 
 SCHEMA = "doc_id long, text string, size long, score double, source string"
 LONG = " ".join(f"word{i % 997} x{i % 31}" for i in range(4000))
@@ -921,6 +921,57 @@ def test_forms_of_units_join_to_those_of_whole_texts():
             assert len(made) <= len({u for t in texts for u in units_of(t)})
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("  ab.é」語\n\t\x1c\x85\xa0\u1680\u2003\u2028\u202f\u3000\u200b«😀"), max_size=12), max_size=6))
+def test_units_of_many_texts_at_once(texts):
+    """Cutting all texts' bytes gives each text's units, and their ids are those of the library."""
+    import tiktoken
+
+    coded = [t.encode() for t in texts]
+    data, bounds = np.frombuffer(b"".join(coded), np.uint8), np.cumsum([0, *map(len, coded)])
+    ends = [*unit_starts(data, bounds).tolist(), len(data)]
+    assert [bytes(data[a:b]).decode() for a, b in zip(ends, ends[1:])] == [u for t in texts if t for u in units_of(t)]
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    e = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=byte_ranks(path), special_tokens={})
+    got = list(bpe.codec(path, P.PATTERN).round_trip(texts))
+    assert got == [(len(x), ",".join(map(str, x)), t) for x, t in zip(map(e.encode_ordinary, texts), coded)]
+
+
+def test_units_are_split_and_merged_together():
+    """Few calls split a run's units, however many differ; a piece that is met again outlives those that are not."""
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    own = bpe.ByteBPE(path, P.PATTERN, 100)
+    findall, merge, calls, merged = own.findall, getattr(own, "merge", None), [], []
+    own.findall = lambda t: calls.append(t) or findall(t)
+    own.merge = lambda pieces: merged.extend(pieces.to_pylist()) or merge(pieces)
+    rng = np.random.default_rng(5)
+    for _ in range(8):
+        words = ["often" * 3, *("".join(rng.choice(list("qzxvké"), 14)) for _ in range(300)), "."]
+        list(own.round_trip([" ".join(words), "second " + " ".join(words)]))
+    assert len(calls) <= 8 * 5
+    assert merged.count(" " + "often" * 3) == 1 and len(merged) >= 8 * 300
+    assert len(own.young) + len(own.old) < 3 * 310
+
+
+def test_pieces_of_all_widths():
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    e = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=byte_ranks(path), special_tokens={})
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcdeéinostr语"), n)) for n in [*range(1, 40), 63, 64, 65, 128, 129, 200, 255, 256, 257, 300, 500, 512, 513] * 3]
+    texts += ["a" * n for n in (31, 64, 255, 256, 511, 512)]
+    assert list(bpe.ByteBPE(path, P.PATTERN).encode_batch(texts)) == [e.encode_ordinary(t) for t in texts]
+
+
+def test_patterns_that_leave_something_out():
+    own = bpe.ByteBPE(P.path("byte_bpe_multi_50k.tiktoken"), "[a-z]+")
+    texts = ["some words 12 here", "", "34 5", " x"]
+    assert [(n, c) for n, _, c in own.round_trip(texts)] == [(len(x), own.decode(x)) for x in own.encode_batch(texts)]
+    assert [c for _, _, c in own.round_trip(texts)] == [b"somewordshere", b"", b"", b"x"]
+    assert all(d == ",".join(map(str, x)) for (_, d, _), x in zip(own.round_trip(texts), own.encode_batch(texts)))
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.tuples(st.text("ab\0", min_size=1, max_size=16), st.integers(0, 9), st.integers(0, 3)), max_size=10, unique_by=lambda x: x[0]))
 def test_smallest_holders_of_strings_and_their_copies(parts):
