@@ -99,6 +99,19 @@ def shuffled(df) -> int:
     return most(df._jdf.queryExecution().executedPlan())
 
 
+def written(df) -> int:
+    """The rows that all shuffles of the plan have written."""
+    df.collect()
+
+    def total(node) -> int:
+        kind, children = node.getClass().getSimpleName(), node.children()
+        rows = node.metrics().get("shuffleRecordsWritten")
+        inner = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        return (rows.get().value() if rows.isDefined() else 0) + sum(total(x) for x in inner + [children.apply(i) for i in range(children.size())])
+
+    return total(df._jdf.queryExecution().executedPlan())
+
+
 @pytest.mark.parametrize("language", ["php", "cpp", "csharp"])
 def test_scopes_shuffle_no_pairs(spark, language):
     """500 calls mean 100 symbols each: the 50,000 rows come out, but none of them is shuffled; calls that repeat count once."""
@@ -115,6 +128,41 @@ def test_scopes_shuffle_no_pairs(spark, language):
     assert len(rows) == len(set(rows)) and set(rows) == {(c, f"m{k}") for c in range(500) for k in range(100)} | {(c, f"o{k}") for c in range(2) for k in range(100)}
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_csharp_calls_are_dealt_once(spark, monkeypatch, few):
+    """5,000 calls of 14 kinds made 31,255 shuffled rows; where callers are few, nearly all are shuffled by call and by task only.
+    Where nothing is few enough to travel, the rows are the same."""
+    i = F.col("id")
+    row = lambda n, handle, kind, name, qualified, parent, path="p": spark.range(n).select(F.concat(F.lit(handle), i.cast("string")).alias("handle"), F.lit(path).alias("path"), F.lit("csharp").alias("language"), F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.lit(qualified).alias("qualified_name"), F.lit(parent).cast("string").alias("parent_handle"))
+    # a type in a type, a method with a function in a function, partial declarations, and functions outside types
+    symbols = row(1, "t", "class", "T", "A.T", None).unionByName(row(1, "u", "class", "U", "A.T.U", "t0")).unionByName(row(3, "m", "method", "M", "A.T.U.M", "u0")).unionByName(row(2, "n", "method", "N", "A.T.N", "t0"))
+    symbols = symbols.unionByName(row(1, "f", "local-function", "F", "A.T.U.M.F", "m0")).unionByName(row(1, "g", "local-function", "G", "A.T.U.M.F.G", "f0")).unionByName(row(2, "x", "function", "X", "X", None)).unionByName(row(1, "y", "function", "X", "X", None, "q"))
+    asks = [("m0", "M"), ("m0", "this.M"), ("m1", "T.N"), ("m1", "U.M"), ("g0", "F"), ("g0", "M"), ("m1", "F"), ("m0", "base.M"), ("m2", "other.M"), ("x0", "X"), ("x0", "A.T.N"), ("none", "A.T.N"), ("u0", "M"), ("m0", " global::T.N ")]
+    want = [["m0", "m1", "m2"]] * 2 + [["n0", "n1"], ["m0", "m1", "m2"], ["f0"], ["m0", "m1", "m2"], [], [], [], ["x0", "x1"], ["n0", "n1"], [], ["m0", "m1", "m2"], ["n0", "n1"]]
+    number = (i % len(asks)).cast("int")
+    pick = lambda k: F.element_at(F.array(*[F.lit(a[k]) for a in asks]), number + 1)
+    calls = spark.range(5000).select(i.alias("call_id"), pick(0).alias("from_handle"), pick(1).alias("target"))
+    real, rows = scopes.stored, []
+
+    def seen(df):
+        rows.append(written(df))
+        return real(df)
+
+    monkeypatch.setattr(scopes, "stored", seen)
+    if not few:
+        monkeypatch.setattr(scopes, "FEW_SCOPES", 0)
+        monkeypatch.setattr(scopes, "FEW_MEMBERS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = scopes.csharp(calls, symbols)
+        rows.append(written(found))
+        got = sorted((r["call_id"], r["to_handle"]) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == sorted((c, h) for c in range(5000) for h in want[c % len(asks)])
+    assert not few or sum(rows) <= 3 * 5000
+
+
 def test_ranges_that_repeat_merge_alike(spark):
     """Ranges with equal ends, in any number, are one: the ties of the two windows don't fall apart."""
     once = spark.createDataFrame([("a", 1, 3), ("a", 5, 7), ("a", 9, 12), ("b", 2, 2)], "path string, first long, last long")
